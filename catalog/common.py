@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from newsloom.functions import html as H
 from newsloom.functions.stopwords import STOP_WORDS
 from newsloom.functions.summary import SENTENCE
-from newsloom.functions.text import EDGE_SPACE, SPACE, TOKEN
+from newsloom.functions.text import SPACE_CHARACTERS, TOKEN
+from newsloom.session import spread
 
 # Words that do occur in the test documents; the polarity is ours.
 LEXICON = {
@@ -18,7 +19,7 @@ LEXICON = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def sql_list(values) -> str:
@@ -33,7 +34,7 @@ STOP_SQL = sql_list(STOP_WORDS)
 
 
 def sql_strip(expr: str) -> str:
-    return f"regexp_replace({expr}, '{EDGE_SPACE}', '', 'g')"
+    return f"trim({expr}, '{SPACE_CHARACTERS}')"
 
 
 def sql_tokens(expr: str) -> str:
@@ -44,8 +45,12 @@ def sql_content_tokens(expr: str) -> str:
     return f"list_filter({sql_tokens(expr)}, lambda w: NOT list_contains({STOP_SQL}, w))"
 
 
+# White space in RE2, whose \\s is ASCII only.
+_SPACE_RUN = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]+"
+
+
 def sql_words(expr: str) -> str:
-    return f"list_filter(regexp_split_to_array({expr}, '[{SPACE}]+'), lambda w: length(w) > 0)"
+    return f"list_filter(regexp_split_to_array({expr}, '{_SPACE_RUN}'), lambda w: length(w) > 0)"
 
 
 # ---------------------------------------------------------------- feed

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.common import (
     LEXICON, STOP_SQL, sentiment_sql, sql_content_tokens, sql_tokens, sql_words, summary_sql, table,
 )
+from newsloom.functions.once import with_once
 from newsloom.functions.sentiment import with_sentiment
 from newsloom.functions.stopwords import STOP_WORDS
 from newsloom.functions.summary import with_summary
@@ -53,7 +54,9 @@ def sentiment_capitalize(spark, sf_dir):
 def stopword_anti(spark, sf_dir):
     """Word counts without stop words, by an anti join with the stop-word table."""
     stop = spark.createDataFrame([(w,) for w in STOP_WORDS], "word string")
-    words = _articles(spark, sf_dir).select(F.explode(tokens(F.col("content"))).alias("word"))
+    words = with_once(_articles(spark, sf_dir), words=tokens(F.col("content"))).select(
+        F.explode("words").alias("word")
+    )
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return counted.join(F.broadcast(stop), "word", "left_anti")
 

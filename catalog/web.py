@@ -131,7 +131,7 @@ WHERE length(url) > 0"""
 
 def page_extract(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").where(U.is_valid_url(F.col("url")))
-    return extract(pages).where(F.col("text").isNotNull()).select("page_id", "url", "title", "text")
+    return extract(pages).select("page_id", "url", "title", "text")
 
 
 PAGE_EXTRACT_SQL = f"WITH {page_text_sql('paragraphs')} SELECT page_id, url, title, text FROM page_text WHERE {_VALID}"

@@ -20,6 +20,8 @@ TAG = r"<[^>]*>"
 TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title"
 ARTICLE = r"(?is)<article(?:\s[^>]*)?>(.*?)</article"
 
+ALL = 1 << 30  # a slice to the end
+
 # The ampersand comes last, so that a decoded one starts no new reference.
 ENTITIES = (
     ("&lt;", "<"),
@@ -42,9 +44,12 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(html, INVISIBLE, "")
 
 
-def page_title(visible_html: Column) -> Column:
+def raw_title(visible_html: Column) -> Column:
+    return F.regexp_extract(visible_html, TITLE, 1)
+
+
+def clean_title(raw: Column) -> Column:
     """Trimmed title; a page without one is "Untitled"."""
-    raw = F.regexp_extract(visible_html, TITLE, 1)
     return F.when(raw == "", UNTITLED).otherwise(strip(decode_entities(raw)))
 
 
@@ -54,19 +59,13 @@ def paragraph_text(visible_html: Column) -> Column:
     A new paragraph ends the one before, so no text is counted twice.
     """
     pieces = F.split(visible_html, PARAGRAPH_START)
-    bodies = F.slice(pieces, F.lit(2), F.size(pieces))
+    bodies = F.slice(pieces, 2, ALL)
     texts = F.transform(
         bodies, lambda p: F.regexp_replace(F.regexp_replace(p, PARAGRAPH_END, ""), TAG, "")
     )
     return strip(decode_entities(F.array_join(texts, " ")))
 
 
-def article_scope(visible_html: Column) -> Column:
-    """The main article element where there is one, else the whole page."""
-    inner = F.regexp_extract(visible_html, ARTICLE, 1)
-    return F.when(inner == "", visible_html).otherwise(inner)
-
-
-def long_enough(text: Column, min_length: int = MIN_LENGTH) -> Column:
-    """The text, or null if it is too short to be an article."""
-    return F.when(F.length(text) >= min_length, text)
+def article_element(visible_html: Column) -> Column:
+    """Inner HTML of the main article element, or ''."""
+    return F.regexp_extract(visible_html, ARTICLE, 1)

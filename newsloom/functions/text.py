@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.stopwords import STOP_WORDS
 
-# Unicode white space plus the four ASCII separators U+001C to U+001F, spelled
-# out as the members of a regex class because \s differs between engines.
-SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-EDGE_SPACE = rf"\A[{SPACE}]+|[{SPACE}]+\z"
+# Unicode white space plus the four ASCII separators U+001C to U+001F: as a
+# java.util.regex class, and as a list of characters.
+SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+SPACE_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 # Words of this many characters or more are dropped, and chunks
@@ -23,7 +26,7 @@ CHUNK_WORDS = 512
 
 def strip(text: Column) -> Column:
     """Trim white space of any kind, not only the space character."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def is_blank(text: Column) -> Column:
@@ -32,7 +35,7 @@ def is_blank(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Split on runs of white space, without empty pieces."""
-    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: F.length(w) > 0)
+    return F.filter(F.split(text, SPACE_RUN), lambda w: F.length(w) > 0)
 
 
 def clean_text(text: Column) -> Column:

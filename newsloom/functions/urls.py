@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import SPACE
 
 # Fixed values.
 PAYWALL_INDICATORS = ("paywall", "subscription", "premium")
@@ -24,7 +23,7 @@ URL_HOST = (
     r"\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}|"
     r"\[?[A-F0-9]*:[A-F0-9:]+\]?)"
 )
-URL_TAIL = rf"(?::\p{{Nd}}+)?(?:/?|[/?][^{SPACE}]+)$"
+URL_TAIL = r"(?::\p{Nd}+)?(?:/?|[/?][^\s\p{Z}\x0b\x1c-\x1f\x{85}]+)$"
 URL_PATTERN = URL_SCHEME + URL_HOST + URL_TAIL
 
 

@@ -17,10 +17,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.once import with_once
 from newsloom.functions.stopwords import STOP_WORDS
 from newsloom.functions.text import content_tokens, with_bigrams
 from newsloom.operators.topk import top_k_per_group
-from newsloom.session import broadcast_if_small
+from newsloom.session import broadcast_if_small, materialize
 
 # Fixed values.
 GROUP_VOCABULARY = 50
@@ -33,7 +34,9 @@ LARGEST_TERM_FIRST = F.desc  # ties go to the term that sorts last
 def with_terms(
     df: DataFrame, content: str = "content", stop_words: Iterable[str] = STOP_WORDS
 ) -> DataFrame:
-    return df.withColumn("terms", with_bigrams(content_tokens(F.col(content), stop_words)))
+    # Two steps, so that the tokens are made once and not once per use.
+    tokenized = df.withColumn("_tokens", content_tokens(F.col(content), stop_words))
+    return with_once(tokenized, terms=with_bigrams(F.col("_tokens"))).drop("_tokens")
 
 
 def term_counts(docs: DataFrame, *group: str) -> DataFrame:
@@ -79,6 +82,7 @@ def group_weights(docs: DataFrame, group: str, size: int = GROUP_VOCABULARY) ->
         .join(sizes, group)
         .select(group, "term", idf(F.col("n"), F.col("df")).alias("idf"))
     )
+    vocab = materialize(vocab, "vocabulary")
     hits = (
         docs.select("id", group, F.explode("terms").alias("term"))
         .join(broadcast_if_small(vocab), [group, "term"])

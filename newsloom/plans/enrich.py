@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.once import with_once
 from newsloom.functions.sentiment import with_sentiment
 from newsloom.functions.summary import NO_INPUT, with_summary
 from newsloom.functions.text import CHUNK_WORDS, LONG_WORD, chunks_of, is_blank, words
@@ -80,9 +81,8 @@ def union_paths(*paths: DataFrame) -> DataFrame:
 def clean_chunks(df: DataFrame, content: str = "content", size: int = CHUNK_WORDS) -> DataFrame:
     """``(id, i, chunk)``: cleaned text in runs of ``size`` words."""
     kept = F.filter(words(F.col(content)), lambda w: F.length(w) < LONG_WORD)
-    return df.withColumn("_w", kept).select(
-        "id", F.posexplode(chunks_of(F.col("_w"), size)).alias("i", "chunk")
-    )
+    pieces = with_once(df.select("id", kept.alias("_w")), chunks=chunks_of(F.col("_w"), size))
+    return pieces.select("id", F.posexplode("chunks").alias("i", "chunk"))
 
 
 def summarize_by_chunks(

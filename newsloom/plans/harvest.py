@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.urls import is_acceptable_url, is_paywalled_content
 from newsloom.operators.lookup import first_per_key
+from newsloom.session import materialize
 from newsloom.sources.pages import PARAGRAPHS, page_texts
 
 OK = 200  # fixed value: the status of a link that works
@@ -42,6 +43,7 @@ def harvest(
     chosen = distinct_urls(urls.where(is_acceptable_url(F.col("url"))))
     if link_status is not None:
         chosen = reachable(chosen, link_status)
+    chosen = materialize(chosen, "harvest-urls")  # short rows, used more than once
     texts = page_texts(chosen, pages, extractor)
     return (
         chosen.join(texts, "url")

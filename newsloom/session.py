@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+MAX_BROADCAST = 50_000  # rows
+MAX_BROADCAST_BYTES = 32 << 20
+
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -47,7 +50,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_in_broadcast(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 32 << 20) -> bool:
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over all cores if its files give too few partitions.
+
+    For the per-row work on text and pages. A large table has more partitions
+    than the cluster has cores and is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def fits_in_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
     """True if ``df`` has at most ``max_rows`` rows and about ``max_bytes`` bytes.
 
     ``take`` stops after the first ``max_rows + 1`` rows, so a large table is
@@ -65,6 +78,6 @@ def fits_in_broadcast(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 32
     return (total or 0) <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 32 << 20) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint behind a size check; beyond it Spark shuffles both sides."""
     return F.broadcast(df) if fits_in_broadcast(df, max_rows, max_bytes) else df

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.once import with_once
 from newsloom.functions.text import tokens, words
 from newsloom.operators.topk import top_k_per_group
 from newsloom.schema import API_RESPONSE, FEED_FIELDS, RSS_ITEM
-from newsloom.session import broadcast_if_small
+from newsloom.session import MAX_BROADCAST, fits_in_broadcast
 
 PAGE_SIZE = 20  # fixed value: entries asked of a feed
 LATEST = 10  # fixed value: entries used in a digest
@@ -103,18 +104,22 @@ def search(
         .where(F.size("_words") > 0)
         .select("topic", F.size("_words").alias("_n"), F.explode("_words").alias("_word"))
     )
+    few = fits_in_broadcast(wanted, MAX_BROADCAST // limit)  # then the found rows are few too
+    small = F.broadcast if few else lambda df: df
     order = F.col("pos") if order is None else order
+    english = with_once(
+        articles.where(F.col(lang) == "en"), _own=F.array_distinct(tokens(F.col(text)))
+    )
     hits = (
-        articles.where(F.col(lang) == "en")
-        .select("pos", order.alias("_order"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("_word"))
-        .join(broadcast_if_small(wanted), "_word")
+        english.select("pos", order.alias("_order"), F.explode("_own").alias("_word"))
+        .join(small(wanted), "_word")
         .groupBy("topic", "_n", "pos", "_order")
         .agg(F.count(F.lit(1)).alias("_hits"))
         .where(F.col("_hits") == F.col("_n"))
     )
     best = top_k_per_group(hits, ["topic"], [F.col("_order"), F.col("pos")], limit)
     found = best.select("topic", "pos", "rank")
-    return articles.join(broadcast_if_small(found), "pos").select(
+    return articles.join(small(found), "pos").select(
         "topic", "rank", *articles.columns
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import html as H
+from newsloom.functions.once import with_once
 from newsloom.operators.lookup import first_per_key, lookup
 from newsloom.session import fits_in_broadcast
 
@@ -16,21 +17,24 @@ ARTICLE = "article"
 def extract(
     pages: DataFrame, extractor: str = PARAGRAPHS, min_length: int = H.MIN_LENGTH
 ) -> DataFrame:
-    """Replace ``html`` by ``title`` and ``text``; both are null for a short text.
+    """Replace ``html`` by ``title`` and ``text``; pages with a short text are dropped.
 
     ``extractor`` is ``"paragraphs"`` (whole page) or ``"article"`` (main article
     element where the page has one).
     """
     if extractor not in (PARAGRAPHS, ARTICLE):
         raise ValueError(f"unknown extractor {extractor!r}")
-    visible = pages.withColumn("_visible", H.visible(F.col("html")))
-    scope = H.article_scope(F.col("_visible")) if extractor == ARTICLE else F.col("_visible")
-    return (
-        visible.withColumn("title", H.page_title(F.col("_visible")))
-        .withColumn("text", H.long_enough(H.paragraph_text(scope), min_length))
-        .withColumn("title", F.when(F.col("text").isNotNull(), F.col("title")))
-        .drop("_visible", "html")
+    seen = pages.withColumn("_scope", H.visible(F.col("html")))
+    seen = seen.withColumn("_raw", H.raw_title(F.col("_scope")))
+    if extractor == ARTICLE:
+        seen = seen.withColumn("_article", H.article_element(F.col("_scope"))).withColumn(
+            "_scope", F.when(F.col("_article") == "", F.col("_scope")).otherwise(F.col("_article"))
+        )
+    found = with_once(
+        seen,
+        title=H.clean_title(F.col("_raw")), text=H.paragraph_text(F.col("_scope")),
     )
+    return found.drop("_scope", "_raw", "_article", "html").where(F.length("text") >= min_length)
 
 
 def fetch(urls: DataFrame, pages: DataFrame) -> DataFrame:
@@ -59,9 +63,7 @@ def page_texts(
     missing pages and short texts give no row."""
     distinct_urls = rows.select("url").where(F.col("url") != "").distinct()
     texts = extract(fetch(distinct_urls, pages), extractor, min_length)
-    return texts.where(F.col("text").isNotNull()).select(
-        "url", F.col("title").alias("page_title"), "text"
-    )
+    return texts.select("url", F.col("title").alias("page_title"), "text")
 
 
 def fetch_text(
