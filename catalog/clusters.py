@@ -13,7 +13,7 @@ from newsloom.operators.cluster import (
 from newsloom.operators.embed import embed
 from newsloom.operators.silhouette import silhouette
 from newsloom.operators.similar import filter_similar
-from newsloom.operators.tfidf import TfidfSpace, with_terms
+from newsloom.operators.tfidf import TfidfSpace
 from newsloom.operators.topics import cluster_topics, primary_topics
 from newsloom.session import materialize
 
@@ -157,11 +157,11 @@ def fit_best_k(spark, sf_dir):
 def _language_clusters(spark, sf_dir):
     languages = F.create_map(*[F.lit(x) for pair in zip(("en", "fr", "de", "es"), range(4)) for x in pair])
     docs = _articles(spark, sf_dir).withColumn("cluster_id", languages[F.col("lang")])
-    return with_terms(docs).select("id", "cluster_id", "terms")
+    return docs.select("id", "cluster_id", "content")
 
 
 def lda_topics(spark, sf_dir):
-    return cluster_topics(materialize(_language_clusters(spark, sf_dir), "lda-docs"))
+    return cluster_topics(_language_clusters(spark, sf_dir))
 
 
 def lda_primary(spark, sf_dir):

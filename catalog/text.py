@@ -83,11 +83,11 @@ def tfidf_cluster_vocabulary(spark, sf_dir):
 
 
 def tfidf_cluster_keywords(spark, sf_dir):
-    return cluster_keywords(_docs(spark, sf_dir), "lang")
+    return cluster_keywords(_articles(spark, sf_dir), "lang")
 
 
 def tfidf_global_labels(spark, sf_dir):
-    return global_labels(_docs(spark, sf_dir), "lang")
+    return global_labels(_articles(spark, sf_dir), "lang")
 
 
 _GROUP_VOCABULARY_SQL = f"""

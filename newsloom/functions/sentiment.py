@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.once import with_once
 from newsloom.functions.summary import NO_INPUT
 from newsloom.functions.text import is_blank, tokens
 
@@ -50,8 +51,11 @@ def with_sentiment(
     blank = is_blank(F.col(text))
     named = F.when(x > 0, "POSITIVE").when(x < 0, "NEGATIVE").otherwise("NEUTRAL")
     return (
-        df.withColumn("_polarity", polarity(tokens(F.col(text)), lexicon))
+        with_once(
+            df.withColumn("_tokens", tokens(F.col(text))),
+            _polarity=polarity(F.col("_tokens"), lexicon),
+        )
         .withColumn(label, F.when(blank, NO_INPUT).otherwise(named))
         .withColumn(score, F.when(blank, 0.0).otherwise(F.round(F.greatest(p, 1 - p), 9)))
-        .drop("_polarity")
+        .drop("_tokens", "_polarity")
     )

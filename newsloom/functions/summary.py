@@ -41,8 +41,14 @@ def _run_ends(sorted_array: Column, field: str) -> Column:
     )
 
 
-def _run_length(ends: Column, run: Column, end: Column) -> Column:
-    return end - F.when(run == 0, F.lit(-1)).otherwise(F.get(ends, run - 1))
+def _runs(ends: Column) -> Column:
+    """First position (from 1) and length of each run."""
+
+    def run(end, number):
+        before = F.when(number == 0, F.lit(-1)).otherwise(F.get(ends, number - 1))
+        return F.struct((before + 2).alias("first"), (end - before).alias("length"))
+
+    return F.transform(ends, run)
 
 
 def with_summary(
@@ -61,24 +67,25 @@ def with_summary(
             content_tokens(sentence, stop), lambda w: F.struct(w.alias("w"), number.alias("s"))
         )
 
-    def counted_words(end, run):
-        length = _run_length(c("_word_ends"), run, end)
-        members = F.slice(c("_tagged"), end - length + 2, length)
-        return F.transform(members, lambda m: F.struct(m["s"].alias("s"), length.alias("n")))
+    def counted_words(run):
+        members = F.slice(c("_tagged"), run["first"], run["length"])
+        return F.transform(members, lambda m: F.struct(m["s"].alias("s"), run["length"].alias("n")))
 
-    def scored_sentence(end, run):
-        length = _run_length(c("_sentence_ends"), run, end)
-        members = F.slice(c("_counted"), end - length + 2, length)
+    def scored_sentence(run):
+        members = F.slice(c("_counted"), run["first"], run["length"])
         total = F.aggregate(members, F.lit(0).cast("long"), lambda acc, m: acc + m["n"])
-        return F.struct((-total / length).alias("rank"), F.get(c("_counted"), end)["s"].alias("s"))
+        sentence = F.get(c("_counted"), run["first"] - 1)["s"]
+        return F.struct((-total / run["length"]).alias("rank"), sentence.alias("s"))
 
     return (
         df.withColumn("_sentences", sentences(c(content)))
         .withColumn("_tagged", F.array_sort(F.flatten(F.transform("_sentences", tagged_words))))
         .withColumn("_word_ends", _run_ends(c("_tagged"), "w"))
-        .withColumn("_counted", F.array_sort(F.flatten(F.transform("_word_ends", counted_words))))
+        .withColumn("_word_runs", _runs(c("_word_ends")))
+        .withColumn("_counted", F.array_sort(F.flatten(F.transform("_word_runs", counted_words))))
         .withColumn("_sentence_ends", _run_ends(c("_counted"), "s"))
-        .withColumn("_scored", F.array_sort(F.transform("_sentence_ends", scored_sentence)))
+        .withColumn("_sentence_runs", _runs(c("_sentence_ends")))
+        .withColumn("_scored", F.array_sort(F.transform("_sentence_runs", scored_sentence)))
         .withColumn("_ranked", F.transform("_scored", lambda x: x["s"]))
         .withColumn(
             "_unscored",
@@ -96,7 +103,7 @@ def with_summary(
             ),
         )
         .drop(
-            "_sentences", "_tagged", "_word_ends", "_counted", "_sentence_ends",
-            "_scored", "_ranked", "_unscored", "_kept",
+            "_sentences", "_tagged", "_word_ends", "_word_runs", "_counted", "_sentence_ends",
+            "_sentence_runs", "_scored", "_ranked", "_unscored", "_kept",
         )
     )

@@ -21,7 +21,7 @@ from newsloom.session import materialize
 
 SEED = 42  # fixed value
 MIN_CLUSTERS, MAX_CLUSTERS = 2, 10  # fixed values
-SMALL = 20_000
+SMALL = 2_000
 PARALLEL_FITS = 4
 
 
@@ -102,7 +102,7 @@ def choose_k(
     try:
         with ThreadPool(min(PARALLEL_FITS, len(ks))) as pool:
             fit = partial(fit_kmeans, points, seed=seed)
-            models = pool.map(inheritable_thread_target(fit), ks)
+            models = pool.map(inheritable_thread_target(points.sparkSession)(fit), ks)
         labelled = points
         for k, model in zip(ks, models):
             labelled = model.setPredictionCol(f"c{k}").transform(labelled)

@@ -12,8 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 20_000
-BLOCK = 1024
+EXACT_LIMIT = 10_000
+BLOCK = 2048
 
 _SUMS = "id long, run int, own boolean, cluster int, total double, n long"
 
@@ -38,26 +38,35 @@ def distance_sums(points: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
     def sums(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
         if left_rows.empty or right_rows.empty:
             return pd.DataFrame(columns=["id", "run", "own", "cluster", "total", "n"])
-        x = np.stack(left_rows["vec"].to_numpy())
-        y = np.stack(right_rows["vec"].to_numpy())
-        # Differences, not the expanded square, so that equal points are at 0.
-        distances = np.stack([np.sqrt(((y - row) ** 2).sum(axis=1)) for row in x])
+        x, y = np.stack(left_rows["vec"].to_numpy()), np.stack(right_rows["vec"].to_numpy())
+        scale = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+        squares = scale - 2 * (x @ y.T)
+        # Close pairs lose their digits in that difference: equal vectors get 0,
+        # the rest are measured directly.
+        codes: dict[bytes, int] = {}
+        x_code = np.array([codes.setdefault(row.tobytes(), len(codes)) for row in x])
+        y_code = np.array([codes.setdefault(row.tobytes(), len(codes)) for row in y])
+        equal = x_code[:, None] == y_code[None, :]
+        squares[equal] = 0.0
+        close = np.argwhere((squares < 1e-6 * scale) & ~equal)
+        for at in range(0, len(close), 4096):
+            i, j = close[at:at + 4096].T
+            squares[i, j] = ((x[i] - y[j]) ** 2).sum(axis=1)
+        distances = np.sqrt(np.maximum(squares, 0.0))
         x_labels = np.stack(left_rows["labels"].to_numpy())
         y_labels = np.stack(right_rows["labels"].to_numpy())
-        ids = left_rows["id"].to_numpy()
-        parts = []
-        for run in range(y_labels.shape[1]):
-            for cluster in np.unique(y_labels[:, run]):
-                members = y_labels[:, run] == cluster
-                parts.append(pd.DataFrame({
-                    "id": ids,
-                    "run": run,
-                    "own": x_labels[:, run] == cluster,
-                    "cluster": int(cluster),
-                    "total": distances[:, members].sum(axis=1),
-                    "n": int(members.sum()),
-                }))
-        return pd.concat(parts, ignore_index=True)
+        groups = [(r, c) for r in range(y_labels.shape[1]) for c in np.unique(y_labels[:, r])]
+        member = np.stack([y_labels[:, r] == c for r, c in groups], axis=1)
+        run, cluster = (np.array(values) for values in zip(*groups))
+        rows = len(x)
+        return pd.DataFrame({
+            "id": np.repeat(left_rows["id"].to_numpy(), len(groups)),
+            "run": np.tile(run, rows),
+            "own": (x_labels[:, run] == cluster[None, :]).ravel(),
+            "cluster": np.tile(cluster, rows),
+            "total": (distances @ member.astype(float)).ravel(),
+            "n": np.tile(member.sum(axis=0), rows),
+        })
 
     pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(sums, _SUMS)
     return pairs.groupBy("id", "run", "own", "cluster").agg(

@@ -8,6 +8,7 @@ scaled to unit length. Groups are ranked by mean weight over all their texts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -70,13 +71,16 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> DataFrame:
     return term_counts(docs).orderBy(F.desc("ctf"), F.asc("term")).limit(size)
 
 
-def group_weights(docs: DataFrame, group: str, size: int = GROUP_VOCABULARY) -> DataFrame:
+def group_weights(
+    articles: DataFrame, group: str, content: str = "content", size: int = GROUP_VOCABULARY
+) -> DataFrame:
     """``(group, term, mean)``: mean weight per term, each group fitted alone.
 
-    ``docs`` has ``id``, ``group`` and ``terms``. Only occurrences of vocabulary
-    terms leave the scan; they are shuffled once, by text.
+    ``articles`` has ``id``, ``group`` and ``content``. Only occurrences of
+    vocabulary terms leave the scan; they are shuffled once, by text.
     """
-    sizes = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    sizes = articles.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    docs = with_terms(articles, content).select("id", group, "terms")
     vocab = (
         group_vocabulary(docs, group, size)
         .join(sizes, group)
@@ -120,12 +124,14 @@ def join_keywords(ranked: DataFrame, group: str, out: str) -> DataFrame:
 
 
 def cluster_keywords(
-    docs: DataFrame, group: str = "cluster_id", size: int = GROUP_VOCABULARY, k: int = KEYWORDS
+    articles: DataFrame, group: str = "cluster_id", content: str = "content",
+    size: int = GROUP_VOCABULARY, k: int = KEYWORDS,
 ) -> DataFrame:
     """``(group, keywords)`` with a vocabulary and idf per group; '' if a group has no terms."""
-    labels = join_keywords(top_keywords(group_weights(docs, group, size), group, k), group, "keywords")
+    weights = group_weights(articles, group, content, size)
+    labels = join_keywords(top_keywords(weights, group, k), group, "keywords")
     return (
-        docs.select(group).distinct()
+        articles.select(group).distinct()
         .join(labels, group, "left")
         .withColumn("keywords", F.coalesce("keywords", F.lit("")))
     )
@@ -138,34 +144,30 @@ class TfidfSpace:
     are made by JVM transformers inside each row; no shuffle is needed.
     """
 
-    def __init__(self, docs: DataFrame, size: int = VOCABULARY):
-        self.n = docs.count()
-        rows = vocabulary(docs, size).collect()
+    def __init__(self, articles: DataFrame, content: str = "content", size: int = VOCABULARY):
+        self.content = content
+        self.n = articles.count()
+        rows = vocabulary(with_terms(articles, content).select("terms"), size).collect()
         # Terms in sorted order: a higher index is a later term, as ties need.
         rows.sort(key=lambda r: r["term"].encode())
         self.terms = [r["term"] for r in rows]
-        self.df = [r["df"] for r in rows]
+        self.idf = [math.log((1 + self.n) / (1 + r["df"])) + 1 for r in rows]
+        self._stages = []
         if self.terms:
-            spark = docs.sparkSession
-            idfs = (
-                spark.createDataFrame([(i, d) for i, d in enumerate(self.df)], "i int, df long")
-                .select("i", idf(F.lit(self.n), F.col("df")).alias("idf"))
-                .orderBy("i").collect()
-            )
             self._stages = [
                 CountVectorizerModel.from_vocabulary(self.terms, inputCol="terms", outputCol="_tf"),
                 ElementwiseProduct(
-                    scalingVec=Vectors.dense([r["idf"] for r in idfs]),
-                    inputCol="_tf", outputCol="_tfidf",
+                    scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_tfidf"
                 ),
                 Normalizer(p=2.0, inputCol="_tfidf", outputCol="tfidf"),
             ]
 
-    def transform(self, docs: DataFrame) -> DataFrame:
+    def transform(self, articles: DataFrame) -> DataFrame:
         """Add the unit weight vector ``tfidf``; needs a non-empty vocabulary."""
+        docs = with_terms(articles, self.content)
         for stage in self._stages:
             docs = stage.transform(docs)
-        return docs.drop("_tf", "_tfidf")
+        return docs.drop("terms", "_tf", "_tfidf")
 
     def mean_weights(self, vectors: DataFrame, group: str) -> DataFrame:
         """``(group, term, mean)``, terms a group lacks included with mean 0."""
@@ -185,10 +187,11 @@ class TfidfSpace:
 
 
 def global_labels(
-    docs: DataFrame, group: str = "cluster_id", size: int = VOCABULARY, k: int = KEYWORDS
+    articles: DataFrame, group: str = "cluster_id", content: str = "content",
+    size: int = VOCABULARY, k: int = KEYWORDS,
 ) -> DataFrame:
     """``(group, cluster_label)`` with one vocabulary and idf for all groups."""
-    space = TfidfSpace(docs, size)
+    space = TfidfSpace(articles, content, size)
     if not space.terms:
-        return docs.select(group).distinct().withColumn("cluster_label", F.lit(""))
-    return space.labels(space.transform(docs), group, k)
+        return articles.select(group).distinct().withColumn("cluster_label", F.lit(""))
+    return space.labels(space.transform(articles), group, k)

@@ -61,7 +61,7 @@ def _per_cluster(sizes: DataFrame, work) -> list:
     clusters = [(r["cluster_id"], r["n"]) for r in sizes.orderBy("cluster_id").collect()]
     if not clusters:
         return []
-    run = inheritable_thread_target(lambda c: work(*c))
+    run = inheritable_thread_target(sizes.sparkSession)(lambda c: work(*c))
     with ThreadPool(min(PARALLEL_FITS, len(clusters))) as pool:
         return pool.map(run, clusters)
 
@@ -89,21 +89,21 @@ def primary_topics(
 
 
 def cluster_topics(
-    docs: DataFrame, topics: int = TOPICS, size: int = VOCABULARY
+    articles: DataFrame, content: str = "content", topics: int = TOPICS, size: int = VOCABULARY
 ) -> DataFrame:
     """``(cluster_id, topics)``: each cluster fitted alone, topics joined by " | ".
 
-    ``docs`` has ``id``, ``cluster_id`` and ``terms``.
+    ``articles`` has ``id``, ``cluster_id`` and ``content``.
     """
-    docs = docs.select("id", "cluster_id", "terms")
+    articles = articles.select("id", "cluster_id", content)
 
     def work(cluster_id, n):
-        rows = docs.where(F.col("cluster_id") == cluster_id)
-        space = TfidfSpace(rows, size)
+        rows = articles.where(F.col("cluster_id") == cluster_id)
+        space = TfidfSpace(rows, content, size)
         if not space.terms:
             return cluster_id, ""
         vectors = materialize(space.transform(rows).select("id", "tfidf"), "cluster-tfidf")
         return cluster_id, " | ".join(t for _, t in fit_topics(vectors, n, topics, space.terms))
 
-    rows = _per_cluster(_sizes(docs), work)
-    return docs.sparkSession.createDataFrame(rows, "cluster_id int, topics string")
+    rows = _per_cluster(_sizes(articles), work)
+    return articles.sparkSession.createDataFrame(rows, "cluster_id int, topics string")

@@ -12,7 +12,7 @@ from newsloom.operators.cluster import (
     MAX_CLUSTERS, MIN_CLUSTERS, choose_k,
 )
 from newsloom.operators.embed import embed
-from newsloom.operators.tfidf import TfidfSpace, with_terms
+from newsloom.operators.tfidf import TfidfSpace
 from newsloom.operators.topics import MAX_TOPICS, TOPICS_SCHEMA, primary_topics
 from newsloom.plans.enrich import enrich_feed, enrich_files, enrich_urls, union_paths
 from newsloom.session import materialize
@@ -65,11 +65,10 @@ def cluster_and_label(
         clustering = choose_k(base, min_clusters, max_clusters)
         k, clustered = clustering.k, clustering.assign(base)
 
-    docs = with_terms(clustered.select("id", "cluster_id", F.col(content)), content)
-    space = TfidfSpace(docs)
+    space = TfidfSpace(base, content)
     if space.terms:
         vectors = materialize(
-            space.transform(docs).select("id", "cluster_id", "tfidf"), "tfidf"
+            space.transform(clustered).select("id", "cluster_id", "tfidf"), "tfidf"
         )
         labels = materialize(space.labels(vectors, "cluster_id"), "cluster-labels")
         topics = primary_topics(vectors, space, max_topics)

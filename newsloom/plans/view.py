@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import capitalize
+from newsloom.session import materialize
 
 COLUMNS_SHOWN = 5  # fixed value
 NOTHING = "### ⚠️ No matching articles."  # fixed value
@@ -56,7 +57,7 @@ def cluster_markdown(
     The heading has a null ``id``. A block is its rows in order of ``id``, heading
     first; entries stay separate rows, so a cluster of any size can be written.
     """
-    view = cluster_view(articles, topics, sentiments, columns)
+    view = materialize(cluster_view(articles, topics, sentiments, columns), "view")
     related = F.array_join("related_topics", ", ")
     heading = F.concat(
         F.lit("### 🧩 Cluster "), F.col("cluster_label"), F.lit("\n"),
