@@ -55,10 +55,10 @@ def cluster_and_label(
     once; clusters and weights are then added row by row, without joins.
     Returns None for no articles; a lone article is cluster 0.
     """
+    if articles.isEmpty():
+        return None
     base = materialize(embedder(articles, content), "articles")
     n = base.count()
-    if n == 0:
-        return None
     if n == 1:
         k, clustered = 1, base.withColumn("cluster_id", F.lit(0))
     else:
