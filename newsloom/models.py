@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.functions import predict_batch_udf
+import numpy as np
+from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,8 @@ def _slot(make_model: Callable[[], Model], result_type: T.DataType, batch_size:
                 return [guarded([t])[0] for t in texts]
 
         def predict(texts):
-            return [{"value": v, "error": e} for v, e in guarded([str(t) for t in texts])]
+            values, errors = zip(*guarded([str(t) for t in texts]))
+            return {"value": np.array(values, dtype=object), "error": np.array(errors, dtype=object)}
 
         return predict
 
@@ -107,11 +109,11 @@ def embed_with(
     df: DataFrame, make_model, content: str = "content", out: str = "features", batch_size: int = 64
 ) -> DataFrame:
     """``make_model()(texts)`` gives one list of floats per text."""
-    from pyspark.ml.functions import array_to_vector
+    def make_predict():
+        model = make_model()
+        return lambda texts: np.array(model([str(t) for t in texts]), dtype=float)
 
     udf = predict_batch_udf(
-        lambda: (lambda model: lambda texts: [list(map(float, v)) for v in model([str(t) for t in texts])])(make_model()),
-        return_type=T.ArrayType(T.DoubleType()),
-        batch_size=batch_size,
+        make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size
     )
     return df.withColumn(out, array_to_vector(udf(F.coalesce(F.col(content), F.lit("")))))

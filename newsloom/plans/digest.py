@@ -37,7 +37,8 @@ def fetch_content(first: DataFrame, second: DataFrame, by_time: bool = False) ->
     """Per topic the latest entries of the first feed, or of the second if the
     first has none. Both feeds are cut first, so the fallback meets few rows."""
     return with_fallback(
-        latest_per_topic(first, LATEST, by_time), latest_per_topic(second, LATEST, by_time)
+        latest_per_topic(first, LATEST, by_time), latest_per_topic(second, LATEST, by_time),
+        covered=first,
     )
 
 
@@ -68,8 +69,8 @@ def cluster_and_label(
     space = TfidfSpace(base, content)
     if space.terms:
         vectors = materialize(
-            space.transform(clustered).select("id", "cluster_id", "tfidf"), "tfidf"
-        )
+            space.transform(clustered).select("id", "cluster_id", "tfidf"), "tfidf", "cluster_id"
+        )  # a folder per cluster, as each cluster is fitted alone
         labels = materialize(space.labels(vectors, "cluster_id"), "cluster-labels")
         topics = primary_topics(vectors, space, max_topics)
     else:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.urls import is_acceptable_url, is_paywalled_content
 from newsloom.operators.lookup import first_per_key
 from newsloom.session import materialize
-from newsloom.sources.pages import PARAGRAPHS, page_texts
+from newsloom.sources.pages import PARAGRAPHS, texts_of
 
 OK = 200  # fixed value: the status of a link that works
 
@@ -44,7 +44,7 @@ def harvest(
     if link_status is not None:
         chosen = reachable(chosen, link_status)
     chosen = materialize(chosen, "harvest-urls")  # short rows, used more than once
-    texts = page_texts(chosen, pages, extractor)
+    texts = texts_of(chosen.select("url"), pages, extractor)
     return (
         chosen.join(texts, "url")
         .where(~is_paywalled_content(F.col("url"), F.col("text")))

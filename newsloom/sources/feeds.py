@@ -154,7 +154,13 @@ def latest_per_topic(feed: DataFrame, limit: int = LATEST, by_time: bool = False
     return top_k_per_group(feed, ["topic"], latest_order(by_time), limit)
 
 
-def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Rows of ``first``, and rows of ``second`` for topics that ``first`` lacks."""
-    covered = first.select("topic").distinct()
+def with_fallback(
+    first: DataFrame, second: DataFrame, covered: DataFrame | None = None
+) -> DataFrame:
+    """Rows of ``first``, and rows of ``second`` for topics that ``first`` lacks.
+
+    ``covered`` names the topics of ``first`` where that is cheaper than reading
+    them from it.
+    """
+    covered = (first if covered is None else covered).select("topic").distinct()
     return first.unionByName(second.join(covered, "topic", "left_anti"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import html as H
 from newsloom.functions.once import with_once
 from newsloom.operators.lookup import first_per_key, lookup
-from newsloom.session import fits_in_broadcast
+from newsloom.session import fits_in_broadcast, materialize
 
 PARAGRAPHS = "paragraphs"
 ARTICLE = "article"
@@ -56,14 +56,23 @@ def fetch(urls: DataFrame, pages: DataFrame) -> DataFrame:
     return bodies.join(picked, ["url", "page_id"])
 
 
+def texts_of(
+    urls: DataFrame, pages: DataFrame, extractor: str = ARTICLE, min_length: int = H.MIN_LENGTH
+) -> DataFrame:
+    """``(url, page_title, text)`` for distinct ``urls``, a stored table.
+
+    Missing pages and short texts give no row.
+    """
+    texts = extract(fetch(urls, pages), extractor, min_length)
+    return texts.select("url", F.col("title").alias("page_title"), "text")
+
+
 def page_texts(
     rows: DataFrame, pages: DataFrame, extractor: str = ARTICLE, min_length: int = H.MIN_LENGTH
 ) -> DataFrame:
-    """``(url, page_title, text)`` of the distinct URLs in ``rows``, each parsed once;
-    missing pages and short texts give no row."""
+    """:func:`texts_of` the URLs in ``rows``; a repeated URL is fetched and parsed once."""
     distinct_urls = rows.select("url").where(F.col("url") != "").distinct()
-    texts = extract(fetch(distinct_urls, pages), extractor, min_length)
-    return texts.select("url", F.col("title").alias("page_title"), "text")
+    return texts_of(materialize(distinct_urls, "urls"), pages, extractor, min_length)
 
 
 def fetch_text(
