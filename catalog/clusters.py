@@ -6,13 +6,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog.common import table
+from newsloom.functions.text import content_tokens
 from newsloom.functions.vectors import cosine, euclidean
 from newsloom.operators.cluster import (
     array_features, centroids, choose_k, kmeans, nearest_centroid, representatives,
 )
 from newsloom.operators.embed import embed
 from newsloom.operators.silhouette import silhouette
-from newsloom.operators.similar import filter_similar
+from newsloom.operators.similar import filter_similar, filter_similar_topics
 from newsloom.operators.tfidf import TfidfSpace
 from newsloom.operators.topics import cluster_topics, primary_topics
 from newsloom.session import materialize
@@ -89,10 +90,10 @@ def distance_to_centroid(spark, sf_dir):
 
 
 def cluster_representatives(spark, sf_dir):
-    """The summary here is the start of the document with the vector's number."""
+    """The summary here is the text of the document with the vector's number."""
     points = _points(spark, sf_dir)
     documents = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("summary")
+        F.col("doc_id").alias("id"), F.col("text").alias("summary")
     )
     rows = points.join(documents, "id", "left")
     found = representatives(rows, centroids(points))
@@ -103,7 +104,7 @@ REPRESENTATIVES_SQL = f"""
 WITH {_POINTS_SQL},
 d AS (SELECT cluster_id, id, list_distance(v, c) AS distance FROM points JOIN centres USING (cluster_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY distance, id) AS r FROM d)
-SELECT cluster_id, id, round(distance, 9) AS distance, substring(text, 1, 80) AS summary
+SELECT cluster_id, id, round(distance, 9) AS distance, text AS summary
 FROM r LEFT JOIN documents ON doc_id = id WHERE r = 1"""
 
 
@@ -129,7 +130,7 @@ walk AS (
 SELECT vec_id AS pos FROM v WHERE i IN (SELECT unnest(kept) FROM walk WHERE i = (SELECT max(i) FROM v))"""
 
 
-# ------------------------------------------------- no SQL for a random fit
+# ------------------------------------------------- no SQL for hashing and fits
 
 def _articles(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
@@ -142,6 +143,13 @@ def embed_texts(spark, sf_dir):
     return vectors.select("id", vector_to_array("features", "float32").alias("embedding"))
 
 
+def similar_keywords(spark, sf_dir):
+    """Each document's first content words as a topic, by the default vectors."""
+    words = F.slice(content_tokens(F.col("content")), 1, 3)
+    topics = _articles(spark, sf_dir).select(F.col("id").alias("pos"), words.alias("keywords"))
+    return filter_similar_topics(topics)
+
+
 def fit_kmeans(spark, sf_dir):
     points = _points(spark, sf_dir).select("id", "features")
     return kmeans(points, 5).assign(points).select("id", "cluster_id")
@@ -179,6 +187,7 @@ QUERIES = {
     "distance_to_centroid": distance_to_centroid,
     "representatives": cluster_representatives,
     "similar_topics": similar_topics,
+    "similar_topic_keywords": similar_keywords,
     "embed": embed_texts,
     "kmeans": fit_kmeans,
     "choose_k": fit_best_k,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog.common import (
@@ -11,6 +12,7 @@ from catalog.common import (
     sentiment_sql, sql_strip, summary_sql, table,
 )
 from newsloom.functions.sentiment import with_sentiment
+from newsloom.models import embed_with, score_with, summarize_with
 from newsloom.plans import digest as D
 from newsloom.plans.enrich import enrich_feed, enrich_files, enrich_urls, union_paths
 from newsloom.plans.view import cluster_counts, cluster_markdown, cluster_view
@@ -93,7 +95,7 @@ def _labelled(spark, sf_dir):
     """Documents as labelled articles: the source stands for the cluster label."""
     scored = with_sentiment(feed(spark, sf_dir), "content", lexicon=LEXICON)
     return scored.select(
-        F.col("pos").alias("id"), "title", "url", "source", F.substring("content", 1, 50).alias("summary"),
+        F.col("pos").alias("id"), "title", "url", "source", F.col("content").alias("summary"),
         "sentiment", F.col("source").alias("cluster_label"),
     )
 
@@ -119,7 +121,7 @@ scored_in AS (SELECT doc_id AS id, text AS summary FROM documents),
 labelled AS (
   SELECT doc_id AS id, substring(text, 1, 60) AS title,
          'https://' || source || '.example.org/' || lang || '/' || doc_id AS url, source,
-         substring(text, 1, 50) AS summary,
+         text AS summary,
          upper(substring(sentiment, 1, 1)) || lower(substring(sentiment, 2)) AS sentiment, source AS cluster_label
   FROM documents JOIN scored ON id = doc_id),
 shown AS (SELECT * FROM labelled WHERE sentiment IN ('Positive', 'Negative')),
@@ -192,14 +194,75 @@ def json_roundtrip(spark, sf_dir):
     return spark.read.schema(FEED).json(path)
 
 
+FILE_SIZE = 50  # documents per text file
+
+
 def text_files(spark, sf_dir):
-    """One file per document, written by Spark and read back whole."""
+    """Text files of 50 documents each, written by Spark and read back whole."""
+    number = (F.col("pos") - F.col("pos") % FILE_SIZE).alias("file_no")
     path = scratch_path(spark, "texts")
-    _files(spark, sf_dir).select("content").write.option("maxRecordsPerFile", 1).text(path)
-    return read_text_files(spark, path).select("content")
+    (
+        _files(spark, sf_dir).select(number, "pos", "content")
+        .repartitionByRange("file_no").sortWithinPartitions("file_no", "pos").drop("pos")
+        .write.partitionBy("file_no").text(path)
+    )
+    number = F.regexp_extract("file", r"file_no=(\d+)", 1).cast("long").alias("file_no")
+    return read_text_files(spark, f"{path}/*").select(number, "content")
+
+
+TEXT_FILES_SQL = f"""
+SELECT file_no, content FROM (
+  SELECT doc_id - doc_id % {FILE_SIZE} AS file_no, string_agg(text || chr(10), '' ORDER BY doc_id) AS content
+  FROM documents GROUP BY ALL)
+WHERE length({sql_strip('content')}) > 0"""
+
+
+# ---------------------------------------------------------------- model slots
+
+def _joined(texts):
+    return [text.replace(" ", "_") for text in texts]
+
+
+def _by_length(texts):
+    return [("POSITIVE", 0.75) if len(text) > 1000 else ("NEGATIVE", 0.5) for text in texts]
+
 
+def _two_numbers(texts):
+    return [(len(text), text.count(" ")) for text in texts]
 
-TEXT_FILES_SQL = f"SELECT text || chr(10) AS content FROM documents WHERE length({sql_strip('text')}) > 0"
+
+def _slot(model):
+    """A stand-in for loading a model, which happens once per Python worker."""
+    return lambda: model
+
+
+def model_summary(spark, sf_dir):
+    rows = summarize_with(_files(spark, sf_dir), _slot(_joined))
+    return rows.select("pos", "summary", "error")
+
+
+def model_sentiment(spark, sf_dir):
+    rows = score_with(_files(spark, sf_dir), _slot(_by_length), text="content")
+    return rows.select("pos", "sentiment", "score", "error")
+
+
+def model_vectors(spark, sf_dir):
+    vectors = vector_to_array(F.col("features"))
+    rows = embed_with(_files(spark, sf_dir), _slot(_two_numbers))
+    return rows.select("pos", vectors[0].alias("characters"), vectors[1].alias("spaces"))
+
+
+_BLANK = f"length({sql_strip('text')}) = 0"
+_NO_INPUT = "'No input provided.'"
+MODEL_SQL = {
+    "model_summary": f"SELECT doc_id AS pos, CASE WHEN {_BLANK} THEN {_NO_INPUT} ELSE replace(text, ' ', '_') END AS summary, CAST(NULL AS VARCHAR) AS error FROM documents",
+    "model_sentiment": f"""
+SELECT doc_id AS pos, CASE WHEN {_BLANK} THEN {_NO_INPUT} WHEN length(text) > 1000 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS sentiment,
+       CAST(CASE WHEN {_BLANK} THEN 0 WHEN length(text) > 1000 THEN 0.75 ELSE 0.5 END AS DOUBLE) AS score,
+       CAST(NULL AS VARCHAR) AS error
+FROM documents""",
+    "model_vectors": "SELECT doc_id AS pos, CAST(length(text) AS DOUBLE) AS characters, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS spaces FROM documents",
+}
 
 
 # ---------------------------------------------------------------- digests
@@ -244,6 +307,9 @@ QUERIES = {
     "csv_roundtrip": csv_roundtrip,
     "json_roundtrip": json_roundtrip,
     "read_text_files": text_files,
+    "model_summary": model_summary,
+    "model_sentiment": model_sentiment,
+    "model_vectors": model_vectors,
     "cluster_and_label": label_all,
     "digest": whole_digest,
     "latest_headlines": latest_headlines,
@@ -264,4 +330,5 @@ SELECT {_COLUMNS} FROM feed_rows UNION ALL SELECT {_COLUMNS} FROM file_rows UNIO
     "csv_roundtrip": RECORDS_SQL,
     "json_roundtrip": RECORDS_SQL,
     "read_text_files": TEXT_FILES_SQL,
+    **MODEL_SQL,
 }

@@ -46,9 +46,8 @@ def text_chunks(spark, sf_dir):
 
 
 def sentiment_capitalize(spark, sf_dir):
-    """First letter up, the rest down, on the first words of each text."""
-    start = F.substring("content", 1, 30)
-    return _articles(spark, sf_dir).select("id", capitalize(start).alias("capitalized"))
+    """First letter up, the rest down."""
+    return _articles(spark, sf_dir).select("id", capitalize(F.col("content")).alias("capitalized"))
 
 
 def stopword_anti(spark, sf_dir):
@@ -169,7 +168,7 @@ QUERIES = {
 ORACLE = {
     "text_clean": f"WITH {_ARTICLES_SQL} SELECT id, array_to_string({_KEPT}, ' ') AS cleaned FROM articles",
     "text_chunks": f"WITH {_CHUNKS_SQL} SELECT id, i, chunk FROM chunks",
-    "sentiment_capitalize": f"WITH {_ARTICLES_SQL} SELECT id, upper(substring(content, 1, 1)) || lower(substring(content, 2, 29)) AS capitalized FROM articles",
+    "sentiment_capitalize": f"WITH {_ARTICLES_SQL} SELECT id, upper(substring(content, 1, 1)) || lower(substring(content, 2)) AS capitalized FROM articles",
     "stopword_anti": f"""
 WITH {_ARTICLES_SQL}, words AS (SELECT unnest({sql_tokens('content')}) AS word FROM articles)
 SELECT word, count(*) AS n FROM words WHERE NOT list_contains({STOP_SQL}, word) GROUP BY word""",

@@ -73,7 +73,7 @@ def article_checks(spark, sf_dir):
     """Content predicates on pages with text, with blank text and without text."""
     pages = table(spark, sf_dir, "pages")
     texts = F.array(
-        F.substring("html", 1, 40), F.lit(""), F.lit(" "), F.lit(None).cast("string")
+        F.col("html"), F.lit(""), F.lit(" "), F.lit(None).cast("string")
     )
     rows = pages.select("page_id", "url", F.posexplode(texts).alias("variant", "text"))
     paywalled = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("/premium"))).otherwise(F.col("url"))
@@ -92,7 +92,7 @@ SELECT page_id, variant, (text IS NULL OR text = '') AS is_empty,
        NOT (text IS NULL OR text = '') AND {_contains(U.BLOCKED_SITES)} AS blocked
 FROM (SELECT page_id, variant,
              CASE WHEN page_id % 2 = 0 THEN url || '/premium' ELSE url END AS url,
-             CASE variant WHEN 0 THEN substring(html, 1, 40) WHEN 1 THEN '' WHEN 2 THEN ' ' END AS text
+             CASE variant WHEN 0 THEN html WHEN 1 THEN '' WHEN 2 THEN ' ' END AS text
       FROM pages, (VALUES (0), (1), (2), (3)) AS t(variant))"""
 
 

@@ -17,12 +17,13 @@ from newsloom.functions.vectors import euclidean
 from newsloom.operators.silhouette import (
     EXACT_LIMIT, mean_silhouettes, mean_silhouettes_squared,
 )
-from newsloom.session import materialize
+from newsloom.session import broadcast_if_small, materialize
 
 SEED = 42  # fixed value
 MIN_CLUSTERS, MAX_CLUSTERS = 2, 10  # fixed values
 SMALL = 2_000
 PARALLEL_FITS = 4
+MAX_CENTRES = 1_000
 
 
 @dataclass
@@ -47,7 +48,7 @@ def steady(points: DataFrame, n: int) -> DataFrame:
     A large one keeps its partitions."""
     if n > SMALL:
         return points
-    return points.repartitionByRange(1, "id").sortWithinPartitions("id")
+    return points.coalesce(1).sortWithinPartitions("id")
 
 
 def fit_kmeans(points: DataFrame, k: int, seed: int = SEED, features: str = "features"):
@@ -143,9 +144,14 @@ def array_features(df: DataFrame, vector: str, out: str = "features") -> DataFra
 def nearest_centroid(
     points: DataFrame, centres: DataFrame, cluster: str = "cluster_id", features: str = "features"
 ) -> DataFrame:
-    """``(id, nearest, distance)``. Centres are as many as clusters, a parameter of
-    the fit, so they travel inside the plan; ties go to the lowest cluster."""
-    rows = centres.select(cluster, "centroid").orderBy(cluster).collect()
+    """``(id, nearest, distance)``; ties go to the lowest cluster.
+
+    Centres are as many as clusters, a parameter of the fit, so they travel inside
+    the plan; more than ``MAX_CENTRES`` are refused.
+    """
+    rows = centres.select(cluster, "centroid").orderBy(cluster).take(MAX_CENTRES + 1)
+    if len(rows) > MAX_CENTRES:
+        raise ValueError(f"more than {MAX_CENTRES} centres")
     table = F.array(*[
         F.struct(F.lit(r["centroid"]).cast("array<double>").alias("v"), F.lit(r[cluster]).alias("c"))
         for r in rows
@@ -174,13 +180,14 @@ def representatives(
     On equal distance the lowest id wins; clusters without rows are absent. The
     minimum is folded per task, and the summary is looked up for winners only.
     """
-    measured = points.join(F.broadcast(centres.select(cluster, "centroid")), cluster).select(
+    centres = materialize(centres.select(cluster, "centroid"), "centres")
+    measured = points.join(broadcast_if_small(centres), cluster).select(
         cluster, "id", euclidean(vector_to_array(features), F.col("centroid")).alias("distance")
     )
     least = measured.groupBy(cluster).agg(
         F.min_by(F.struct("id", "distance"), F.struct("distance", "id")).alias("_w")
     )
     winners = least.select(cluster, F.col("_w.id").alias("id"), F.col("_w.distance").alias("distance"))
-    return points.select("id", summary).join(F.broadcast(winners), "id").select(
+    return points.select("id", summary).join(winners, "id").select(
         cluster, "id", "distance", summary
     )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.vectors import norm
+from newsloom.operators.embed import embed
 from newsloom.session import materialize, scratch_path
 
 THRESHOLD = 0.75  # fixed value
@@ -78,6 +82,21 @@ def filter_similar(
     return topics.join(spark.read.schema("pos long").parquet(kept_path), "pos", "left_semi")
 
 
-def topic_sentences(topics: DataFrame, keywords: str = "keywords") -> DataFrame:
-    """The text that stands for a list of keywords when it is embedded."""
-    return topics.withColumn("sentence", F.array_join(keywords, ", "))
+def filter_similar_topics(
+    topics: DataFrame,
+    keywords: str = "keywords",
+    threshold: float = THRESHOLD,
+    embedder: Callable[[DataFrame, str], DataFrame] = embed,
+) -> DataFrame:
+    """:func:`filter_similar` for topics ``(pos, keywords array<string>)``.
+
+    Each list is embedded as one text, its keywords joined by ", ".
+    """
+    if topics.isEmpty():
+        return topics
+    sentences = topics.select("pos", F.array_join(keywords, ", ").alias("_sentence"))
+    vectors = embedder(sentences, "_sentence").select(
+        "pos", vector_to_array("features").alias("vec")
+    )
+    kept = filter_similar(vectors, "vec", threshold).select("pos")
+    return topics.join(kept, "pos", "left_semi")

@@ -12,7 +12,7 @@ from newsloom.functions.stopwords import STOP_WORDS
 from newsloom.models import embed_with, score_with, summarize_with
 from newsloom.operators import cluster as C
 from newsloom.operators import silhouette as S
-from newsloom.operators.similar import filter_similar
+from newsloom.operators.similar import filter_similar, filter_similar_topics
 from newsloom.operators.tfidf import TfidfSpace, cluster_keywords, global_labels
 from newsloom.operators.topics import cluster_topics, rank_topics
 from newsloom.plans import digest as D
@@ -126,6 +126,13 @@ def test_filter_similar_chain_and_equality(spark):
     assert filter_similar(df.limit(0)).count() == 0
 
 
+def test_filter_similar_topics(spark):
+    topics = [(0, ["bank", "rates"]), (1, ["rates", "bank"]), (2, ["rain"]), (3, ["bank", "rates", "rain", "wind", "fog"])]
+    df = spark.createDataFrame(topics, "pos long, keywords array<string>")
+    assert [tuple(r) for r in filter_similar_topics(df).orderBy("pos").collect()] == [topics[0], topics[2], topics[3]]
+    assert filter_similar_topics(df.limit(0)).count() == 0
+
+
 def plain_labels(texts, size, global_fit):
     """texts: {cluster: [text]} -> {cluster: label}, step by step."""
     def terms(text):
