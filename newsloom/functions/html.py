@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,22 +23,42 @@ TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title"
 ARTICLE = r"(?is)<article(?:\s[^>]*)?>(.*?)</article"
 
 ALL = 1 << 30  # a slice to the end
+REFERENCE = r"^#?[A-Za-z0-9]+;"
+
+# The named references of HTML 4, and the one XML adds.
+NAMED = {"apos": "'", **{name: chr(code) for name, code in sorted(name2codepoint.items())}}
 
-# The ampersand comes last, so that a decoded one starts no new reference.
-ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", "\u00a0"),
-    ("&amp;", "&"),
-)
+
+def _numbered(name: Column) -> Column:
+    """The character of ``#233`` or ``#xE9``, null if there is none."""
+    is_hex = F.lower(F.substring(name, 2, 1)) == "x"
+    code = F.when(is_hex, F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(
+        F.substr(name, F.lit(2))
+    ).try_cast("int")
+    in_range = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(in_range, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def decode_entities(text: Column) -> Column:
-    for reference, character in ENTITIES:
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return text
+    """Replace character references, each once: ``&amp;lt;`` becomes ``&lt;``.
+
+    References end with a semicolon; unknown ones stay as they are.
+    """
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def decoded(piece, number):
+        reference = F.regexp_extract(piece, REFERENCE, 0)
+        name = F.substr(reference, F.lit(1), F.length(reference) - 1)
+        character = F.when(F.substring(name, 1, 1) == "#", _numbered(name)).otherwise(named[name])
+        rest = F.substr(piece, F.length(reference) + 1)
+        kept = F.concat(F.lit("&"), piece)
+        return (
+            F.when(number == 0, piece)
+            .when(reference == "", kept)
+            .otherwise(F.coalesce(F.concat(character, rest), kept))
+        )
+
+    return F.array_join(F.transform(F.split(text, "&"), decoded), "")
 
 
 def visible(html: Column) -> Column:
@@ -54,7 +76,7 @@ def clean_title(raw: Column) -> Column:
 
 
 def paragraph_text(visible_html: Column) -> Column:
-    """Texts of all paragraphs, joined by a space and trimmed.
+    """Texts of all paragraphs, joined by a space; character references stay.
 
     A new paragraph ends the one before, so no text is counted twice.
     """
@@ -63,7 +85,11 @@ def paragraph_text(visible_html: Column) -> Column:
     texts = F.transform(
         bodies, lambda p: F.regexp_replace(F.regexp_replace(p, PARAGRAPH_END, ""), TAG, "")
     )
-    return strip(decode_entities(F.array_join(texts, " ")))
+    return F.array_join(texts, " ")
+
+
+def clean_body(paragraphs: Column) -> Column:
+    return strip(decode_entities(paragraphs))
 
 
 def article_element(visible_html: Column) -> Column:

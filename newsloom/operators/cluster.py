@@ -114,7 +114,7 @@ def choose_k(
     scores: dict[int, float] = {}
     if candidates:
         columns = [f"c{k}" for k in ks]
-        counts = labelled.agg(*[F.countDistinct(c).alias(c) for c in columns]).first()
+        counts = labelled.agg(*[F.size(F.collect_set(c)).alias(c) for c in columns]).first()
         used = [k for k in ks if 2 <= counts[f"c{k}"] <= n - 1]
         if used and n <= exact_limit:
             vectors = labelled.select(

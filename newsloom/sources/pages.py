@@ -31,10 +31,12 @@ def extract(
             "_scope", F.when(F.col("_article") == "", F.col("_scope")).otherwise(F.col("_article"))
         )
     found = with_once(
-        seen,
-        title=H.clean_title(F.col("_raw")), text=H.paragraph_text(F.col("_scope")),
+        seen.withColumn("_body", H.paragraph_text(F.col("_scope"))),
+        title=H.clean_title(F.col("_raw")), text=H.clean_body(F.col("_body")),
+    )
+    return found.drop("_scope", "_raw", "_article", "_body", "html").where(
+        F.length("text") >= min_length
     )
-    return found.drop("_scope", "_raw", "_article", "html").where(F.length("text") >= min_length)
 
 
 def fetch(urls: DataFrame, pages: DataFrame) -> DataFrame:

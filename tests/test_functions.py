@@ -115,7 +115,7 @@ def test_html(spark):
         '<script>var t="</p><p>no";</script></head><body><p class="a">One <b>bold</b>'
         "<p>Two &lt;3&nbsp;&quot;x&quot;</p> outside <pre>no</pre><p>Three</p>tail</body></html>"
     )
-    body = lambda c: H.paragraph_text(H.visible(c))
+    body = lambda c: H.clean_body(H.paragraph_text(H.visible(c)))
     title = lambda c: H.clean_title(H.raw_title(H.visible(c)))
     assert values(spark, [page, "", "<p>"], body) == ['One bold Two <3 "x" Three', "", ""]
     assert values(spark, [page, "", "<title></title>", "<title> </title>"], title) == [
@@ -123,6 +123,15 @@ def test_html(spark):
     ]
 
 
+def test_entities(spark):
+    cases = {
+        "a &amp;lt; b": "a &lt; b", "&eacute;&#233;&#xE9;&#x1F4F0;": "ééé📰", "&copy; &middot; &apos;": "© · '",
+        "AT&T & co": "AT&T & co", "&nope; &#0; &#xD800; &#99999999999; &;": "&nope; &#0; &#xD800; &#99999999999; &;",
+        "": "", "&amp;": "&", "a&nbsp;b": "a\u00a0b", "&#12a;": "&#12a;",
+    }
+    assert values(spark, list(cases), H.decode_entities) == list(cases.values())
+
+
 def test_summary(spark):
     text = (
         "Markets rose. The weather was calm! Markets fell and markets rose again?\n"
