@@ -16,7 +16,7 @@ from newsloom.operators.silhouette import silhouette
 from newsloom.operators.similar import filter_similar, filter_similar_topics
 from newsloom.operators.tfidf import TfidfSpace
 from newsloom.operators.topics import cluster_topics, primary_topics
-from newsloom.session import materialize
+from newsloom.session import broadcast_if_small, materialize
 
 SIMILAR = 0.3  # cosines of the test vectors stay below the default threshold
 
@@ -73,7 +73,7 @@ SELECT id, nearest, round(distance, 9) AS distance FROM (
 
 def _own_centre(spark, sf_dir):
     points = _points(spark, sf_dir)
-    centres = F.broadcast(centroids(points))  # one row per cluster
+    centres = broadcast_if_small(materialize(centroids(points), "centroids"))
     return points.join(centres, "cluster_id").withColumn("v", vector_to_array("features"))
 
 

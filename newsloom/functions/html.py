@@ -25,8 +25,11 @@ ARTICLE = r"(?is)<article(?:\s[^>]*)?>(.*?)</article"
 ALL = 1 << 30  # a slice to the end
 REFERENCE = r"^#?[A-Za-z0-9]+;"
 
-# The named references of HTML 4, and the one XML adds.
-NAMED = {"apos": "'", **{name: chr(code) for name, code in sorted(name2codepoint.items())}}
+# The named references of HTML 4 and XML, the frequent ones first.
+NAMED = {
+    "amp": "&", "nbsp": "\u00a0", "quot": '"', "lt": "<", "gt": ">", "apos": "'",
+    **{name: chr(code) for name, code in sorted(name2codepoint.items())},
+}
 
 
 def _numbered(name: Column) -> Column:
@@ -46,19 +49,23 @@ def decode_entities(text: Column) -> Column:
     """
     named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
 
-    def decoded(piece, number):
+    def parted(piece):
         reference = F.regexp_extract(piece, REFERENCE, 0)
-        name = F.substr(reference, F.lit(1), F.length(reference) - 1)
+        return F.struct(piece.alias("piece"), F.rtrim(reference, F.lit(";")).alias("name"))
+
+    def decoded(part, number):
+        piece, name = part["piece"], part["name"]
         character = F.when(F.substring(name, 1, 1) == "#", _numbered(name)).otherwise(named[name])
-        rest = F.substr(piece, F.length(reference) + 1)
+        rest = F.substr(piece, F.length(name) + 2)
         kept = F.concat(F.lit("&"), piece)
         return (
             F.when(number == 0, piece)
-            .when(reference == "", kept)
+            .when(name == "", kept)
             .otherwise(F.coalesce(F.concat(character, rest), kept))
         )
 
-    return F.array_join(F.transform(F.split(text, "&"), decoded), "")
+    parts = F.transform(F.split(text, "&"), parted)
+    return F.array_join(F.transform(parts, decoded), "")
 
 
 def visible(html: Column) -> Column:

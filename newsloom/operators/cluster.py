@@ -187,7 +187,10 @@ def representatives(
     least = measured.groupBy(cluster).agg(
         F.min_by(F.struct("id", "distance"), F.struct("distance", "id")).alias("_w")
     )
-    winners = least.select(cluster, F.col("_w.id").alias("id"), F.col("_w.distance").alias("distance"))
-    return points.select("id", summary).join(winners, "id").select(
+    winners = materialize(
+        least.select(cluster, F.col("_w.id").alias("id"), F.col("_w.distance").alias("distance")),
+        "representatives",
+    )
+    return points.select("id", summary).join(broadcast_if_small(winners), "id").select(
         cluster, "id", "distance", summary
     )
