@@ -23,13 +23,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.components import components
-from newsloom.session import materialize
+from newsloom.llm.urlrules import MAX_BLOCKS, bloom_filter, possible
+from newsloom.session import broadcast_if_small, materialize
 
 #: Characters whose shingles are made at a time.
 PART = 2_000_000
 CACHE_WORDS = 400_000
 BAND = 1.5
 MAX_BITS = 1 << 16
+#: Members of a tile that are compared in one task.
+TILE = 4_096
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -149,13 +152,18 @@ def bitmap(hashes: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _folded(bits: bytes, width: int) -> bytes:
+    """The bitmap of the same set with fewer bits."""
+    while len(bits) > width:
+        half = len(bits) // 2
+        bits = (int.from_bytes(bits[:half], "little") ^ int.from_bytes(bits[half:], "little")).to_bytes(half, "little")
+    return bits
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """Bits in which two bitmaps differ; the wider one is folded to the other's width."""
-    if len(a) < len(b):
-        a, b = b, a
-    while len(a) > len(b):
-        half = len(a) // 2
-        a = (int.from_bytes(a[:half], "little") ^ int.from_bytes(a[half:], "little")).to_bytes(half, "little")
+    width = min(len(a), len(b))
+    a, b = _folded(a, width), _folded(b, width)
     return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
 
 
@@ -247,10 +255,11 @@ def _possible(pairs: DataFrame, signatures: DataFrame, bands: Bands) -> DataFram
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by intersecting their sorted arrays."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    arrays = materialize(_arrays(texts, k), "jaccard-arrays")
-    both = pairs.join(_side(arrays, "a", "hashes"), "a").join(_side(arrays, "b", "hashes"), "b")
+    wanted = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-wanted")
+    blocks = MAX_BLOCKS  # a filter of fixed size keeps nearly all other texts from being moved
+    held = possible(docs.select("doc_id", "text"), "doc_id", bloom_filter(wanted, "doc_id", blocks), blocks)
+    arrays = materialize(_arrays(held.join(wanted, "doc_id", "left_semi"), k), "jaccard-arrays")
+    both = _side(arrays, "a", "hashes").join(broadcast_if_small(pairs), "a").join(_side(arrays, "b", "hashes"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,14 +326,63 @@ def _nodes(signatures: DataFrame) -> DataFrame:
 def _crossing(
     stars: DataFrame, found: DataFrame, near: DataFrame, signatures: DataFrame, bands: Bands
 ) -> DataFrame:
-    """Pairs of a tile that are in different components, were not compared yet and may be similar."""
+    """Pairs of a tile that are in different components, were not compared yet and may be similar.
+
+    The bitmaps of a tile are compared where its rows are; only pairs that they
+    do not rule out leave the task. A tile with more than ``TILE`` members is cut
+    into blocks, and every two of its blocks meet in a task of their own.
+    """
     apart = _labelled(_labelled(stars, found, "leader"), found, "doc_id").where("leader_c != doc_id_c")
     open_tiles = materialize(apart.select("tile").distinct(), "jaccard-open")
     members = stars.join(open_tiles, "tile", "left_semi")
     everyone = members.select("tile", "doc_id").union(members.select("tile", "leader")).distinct()
-    placed = materialize(_labelled(everyone, found, "doc_id"), "jaccard-members")
-    left = placed.select("tile", F.col("doc_id").alias("a"), F.col("doc_id_c").alias("ca"))
-    right = placed.select("tile", F.col("doc_id").alias("b"), F.col("doc_id_c").alias("cb"))
-    pairs = left.join(right, "tile").where("a < b and ca != cb").select("a", "b").distinct()
-    fresh = pairs.join(near, ["a", "b"], "left_anti")
-    return materialize(_possible(fresh, signatures, bands), "jaccard-crossing")
+    sizes = everyone.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    facts = signatures.where(F.col("bits").isNotNull()).select("doc_id", "n", "bits")
+    placed = _labelled(everyone.join(facts, "doc_id"), found, "doc_id").join(sizes, "tile")
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    dealt = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
+    rows = dealt.select(*keys, "block", "doc_id", F.col("doc_id_c").alias("component"), "n", "bits")
+    sorted_ = rows.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high", "doc_id")
+    pairs = sorted_.mapInArrow(lambda batches: _tile_pairs(batches, bands), "a long, b long").distinct()
+    return materialize(pairs.join(near, ["a", "b"], "left_anti"), "jaccard-crossing")
+
+
+def _tile_pairs(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
+    """The possible pairs of each run of rows with the same tile, low and high block."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        keys = [held.column(i).to_numpy() for i in range(3)]
+        cut = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(held) else []
+        if len(cut) > 1:
+            yield _pairs_of(held.slice(0, int(cut[-1])), cut[:-1], bands)
+            held = held.slice(int(cut[-1]))
+    if held is not None and len(held):
+        yield _pairs_of(held, np.zeros(1, dtype=np.int64), bands)
+
+
+def _pairs_of(table: pa.Table, cut: np.ndarray, bands: Bands) -> pa.RecordBatch:
+    low, high, block, ids, component, n = (table.column(i).to_numpy() for i in range(1, 7))
+    bits = table.column(7).to_pylist()
+    out: set[tuple[int, int]] = set()
+    for start, end in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
+        if (component[start:end] == component[start]).all():
+            continue
+        width = min(len(b) for b in bits[start:end])
+        own = np.frombuffer(b"".join(_folded(b, width) for b in bits[start:end]), dtype=np.uint64).reshape(end - start, -1)
+        crossed = low[start] != high[start]
+        for i in range(start, end - 1):
+            rest = slice(i + 1, end)
+            keep = component[rest] != component[i]
+            if crossed:
+                keep &= block[rest] != block[i]
+            keep &= 100 * np.minimum(n[rest], n[i]) >= bands.percent * np.maximum(n[rest], n[i])
+            at = np.flatnonzero(keep) + i + 1
+            if len(at):
+                differ = np.bitwise_count(own[at - start] ^ own[i - start]).sum(axis=1)
+                for j in at[differ <= bands.allowed(n[at], n[i])].tolist():
+                    out.add((int(ids[i]), int(ids[j])))
+    a, b = zip(*sorted(out)) if out else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
