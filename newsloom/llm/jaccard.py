@@ -28,7 +28,7 @@ from newsloom.session import broadcast_if_small, materialize
 
 #: Characters whose shingles are made at a time.
 PART = 2_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 BAND = 1.5
 MAX_BITS = 1 << 16
 #: Members of a tile that are compared in one task.
