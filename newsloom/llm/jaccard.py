@@ -116,8 +116,9 @@ class Bands:
         above = self.of(np.maximum(sizes * 100 // self.percent, 1))
         keys: list[list[np.ndarray]] = [[] for _ in sets]
         joined = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-        for band, some in ((own, sizes > 0), (above, (sizes > 0) & (above > own))):
-            some = some & (self.differ[band] > 0)
+        for step in range(int((above - own).max(initial=0)) + 1):
+            band = np.minimum(own + step, above)  # of the larger set of a pair
+            some = (sizes > 0) & (own + step <= above) & (self.differ[band] > 0)
             if not some.any():
                 continue
             doc = np.repeat(np.arange(len(sets)), sizes)

@@ -21,8 +21,8 @@ THRESHOLD = 0.65
 #: Half width of the first windows, and their growth; in units of the longest vector.
 FIRST, GROWTH = 0.9, 1.06
 #: So much of a block is compared exactly for a query, at least.
-VERIFIED = 0.18
-LEAST = 64
+VERIFIED = 0.2
+LEAST = 320
 #: Rows of a block of vectors and of queries.
 BLOCK, QUERY_BLOCK = 8_192, 1_024
 SEED = 11
