@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.common import table
@@ -18,6 +19,7 @@ from newsloom.operators.tfidf import TfidfSpace
 from newsloom.operators.topics import cluster_topics, primary_topics
 from newsloom.session import broadcast_if_small, materialize
 
+DIGEST = 30  # topics of a digest: ten clusters with three each
 SIMILAR = 0.3  # cosines of the test vectors stay below the default threshold
 
 
@@ -36,13 +38,13 @@ centres AS (SELECT cluster_id, list(m ORDER BY i) AS c FROM means GROUP BY clust
 
 
 def cluster_silhouette(spark, sf_dir):
-    result = silhouette(_points(spark, sf_dir))
+    result = silhouette(_points(spark, sf_dir), metric="euclidean", block=128)
     return result.select("metric", "n", F.round("silhouette", 9).alias("silhouette"))
 
 
 def cluster_silhouette_squared(spark, sf_dir):
-    """The form used for large inputs, linear in the number of points."""
-    result = silhouette(_points(spark, sf_dir), exact_limit=0)
+    """The default form, linear in the number of points."""
+    result = silhouette(_points(spark, sf_dir))
     return result.select("metric", "n", F.round("silhouette", 9).alias("silhouette"))
 
 
@@ -109,25 +111,30 @@ FROM r LEFT JOIN documents ON doc_id = id WHERE r = 1"""
 
 
 def similar_topics(spark, sf_dir):
+    """All vectors, as the topics of digests of ``DIGEST`` rows."""
     rows = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("pos"), F.col("embedding").alias("vec")
+        (F.col("vec_id") - F.col("vec_id") % DIGEST).alias("digest"),
+        F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"),
     )
-    return filter_similar(rows, threshold=SIMILAR).select("pos")
+    return filter_similar(rows, threshold=SIMILAR).select("digest", "pos")
 
 
 SIMILAR_SQL = f"""
 WITH RECURSIVE v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+  SELECT vec_id, vec_id - vec_id % {DIGEST} AS digest, embedding::DOUBLE[] AS e,
+         row_number() OVER (PARTITION BY vec_id - vec_id % {DIGEST} ORDER BY vec_id) AS i FROM embeddings),
 near AS (
-  SELECT b.i, list(a.i) AS earlier FROM v a JOIN v b ON a.i < b.i AND list_cosine_similarity(a.e, b.e) >= {SIMILAR}
-  GROUP BY b.i),
-steps AS (SELECT v.i, coalesce(earlier, []) AS earlier FROM v LEFT JOIN near ON near.i = v.i),
+  SELECT b.vec_id, list(a.i) AS earlier
+  FROM v a JOIN v b ON a.digest = b.digest AND a.i < b.i AND list_cosine_similarity(a.e, b.e) >= {SIMILAR}
+  GROUP BY b.vec_id),
+steps AS (SELECT v.digest, v.i, v.vec_id, coalesce(earlier, []) AS earlier FROM v LEFT JOIN near USING (vec_id)),
 walk AS (
-  SELECT CAST(1 AS BIGINT) AS i, [CAST(1 AS BIGINT)] AS kept
+  SELECT digest, CAST(1 AS BIGINT) AS i, [CAST(1 AS BIGINT)] AS kept FROM steps WHERE i = 1
   UNION ALL
-  SELECT steps.i, CASE WHEN list_has_any(kept, earlier) THEN kept ELSE list_append(kept, steps.i) END
-  FROM walk JOIN steps ON steps.i = walk.i + 1)
-SELECT vec_id AS pos FROM v WHERE i IN (SELECT unnest(kept) FROM walk WHERE i = (SELECT max(i) FROM v))"""
+  SELECT s.digest, s.i, CASE WHEN list_has_any(kept, earlier) THEN kept ELSE list_append(kept, s.i) END
+  FROM walk JOIN steps s ON s.digest = walk.digest AND s.i = walk.i + 1),
+last AS (SELECT digest, arg_max(kept, i) AS kept FROM walk GROUP BY digest)
+SELECT digest, vec_id AS pos FROM v JOIN last USING (digest) WHERE list_contains(kept, i)"""
 
 
 # ------------------------------------------------- no SQL for hashing and fits
@@ -144,9 +151,11 @@ def embed_texts(spark, sf_dir):
 
 
 def similar_keywords(spark, sf_dir):
-    """Each document's first content words as a topic, by the default vectors."""
-    words = F.slice(content_tokens(F.col("content")), 1, 3)
-    topics = _articles(spark, sf_dir).select(F.col("id").alias("pos"), words.alias("keywords"))
+    """Each document's content words as a topic, by the default vectors."""
+    topics = _articles(spark, sf_dir).select(
+        (F.col("id") - F.col("id") % DIGEST).alias("digest"), F.col("id").alias("pos"),
+        content_tokens(F.col("content")).alias("keywords"),
+    )
     return filter_similar_topics(topics)
 
 
@@ -163,9 +172,13 @@ def fit_best_k(spark, sf_dir):
 
 
 def _language_clusters(spark, sf_dir):
-    languages = F.create_map(*[F.lit(x) for pair in zip(("en", "fr", "de", "es"), range(4)) for x in pair])
-    docs = _articles(spark, sf_dir).withColumn("cluster_id", languages[F.col("lang")])
-    return docs.select("id", "cluster_id", "content")
+    """The languages as clusters, numbered in their order."""
+    docs = _articles(spark, sf_dir)
+    numbers = Window.orderBy("lang")  # over the distinct languages only
+    languages = docs.where("lang IS NOT NULL").select("lang").distinct().select(
+        "lang", (F.row_number().over(numbers) - 1).alias("cluster_id")
+    )
+    return docs.join(broadcast_if_small(languages), "lang").select("id", "cluster_id", "content")
 
 
 def lda_topics(spark, sf_dir):

@@ -111,7 +111,7 @@ def _label_topics(spark, sf_dir):
         F.substring("source", 4, 9).cast("int").alias("cluster_id"),
         F.col("source").alias("cluster_label"),
         F.get("langs", F.lit(0)).alias("primary_focus"),
-        F.slice("langs", 2, 9).alias("related_topics"),
+        F.slice("langs", F.lit(2), F.size("langs")).alias("related_topics"),
     )
 
 

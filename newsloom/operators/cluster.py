@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.vectors import euclidean
 from newsloom.operators.silhouette import (
-    EXACT_LIMIT, mean_silhouettes, mean_silhouettes_squared,
+    EUCLIDEAN, SQUARED, mean_silhouettes, mean_silhouettes_squared,
 )
 from newsloom.session import broadcast_if_small, materialize
 
 SEED = 42  # fixed value
 MIN_CLUSTERS, MAX_CLUSTERS = 2, 10  # fixed values
-SMALL = 2_000
+#: Partitions of every fit. Its result depends on how rows are dealt, so they are dealt
+#: by id whatever the input; raise it for data that so many tasks cannot hold.
+FIT_PARTITIONS = 16
 PARALLEL_FITS = 4
 MAX_CENTRES = 1_000
 
@@ -43,12 +45,9 @@ class Clustering:
         return predicted.withColumn("cluster_id", mapping[F.col("_index")].cast("int")).drop("_index")
 
 
-def steady(points: DataFrame, n: int) -> DataFrame:
-    """A small input in one sorted partition, for k-means depends on partitioning.
-    A large one keeps its partitions."""
-    if n > SMALL:
-        return points
-    return points.coalesce(1).sortWithinPartitions("id")
+def steady(points: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """The rows dealt and sorted by ``id``: a fit on them does not depend on files or cores."""
+    return points.repartition(partitions, "id").sortWithinPartitions("id")
 
 
 def fit_kmeans(points: DataFrame, k: int, seed: int = SEED, features: str = "features"):
@@ -61,11 +60,13 @@ def number_by_lowest_id(labelled: DataFrame, label: str) -> dict[int, int]:
     return {row[label]: i for i, row in enumerate(firsts)}
 
 
-def kmeans(points: DataFrame, k: int, seed: int = SEED) -> Clustering:
+def kmeans(
+    points: DataFrame, k: int, seed: int = SEED, partitions: int = FIT_PARTITIONS
+) -> Clustering:
     """K-means for a given k; ``points`` has ``id`` and ``features``."""
     points = points.select("id", "features")
-    points = materialize(steady(points, points.count()), "points")
-    model = fit_kmeans(points, k, seed)
+    points = materialize(points, "points")
+    model = fit_kmeans(steady(points, partitions), k, seed)
     labelled = model.setPredictionCol("_index").transform(points)
     return Clustering(model, k, number_by_lowest_id(labelled, "_index"), {})
 
@@ -84,9 +85,10 @@ def choose_k(
     min_clusters: int = MIN_CLUSTERS,
     max_clusters: int = MAX_CLUSTERS,
     seed: int = SEED,
-    exact_limit: int = EXACT_LIMIT,
+    metric: str = SQUARED,
+    partitions: int = FIT_PARTITIONS,
 ) -> Clustering:
-    """Fit every k and keep the fit with the best mean silhouette.
+    """Fit every k and keep the fit with the best mean silhouette, in the given metric.
 
     Fits run side by side. Labels of all fits go through one distance pass, and
     the winner is kept, not fitted again.
@@ -95,28 +97,28 @@ def choose_k(
     n = points.count()
     if n < 2:
         raise ValueError("clustering needs at least 2 samples")
-    points = materialize(steady(points, n), "points")
+    points = materialize(points, "points")
     candidates = list(range(min_clusters, min(max_clusters, n - 1) + 1))
     ks = candidates or [min_clusters]
 
-    points.cache()
+    dealt = steady(points, partitions).cache()
     try:
         with ThreadPool(min(PARALLEL_FITS, len(ks))) as pool:
-            fit = partial(fit_kmeans, points, seed=seed)
+            fit = partial(fit_kmeans, dealt, seed=seed)
             models = pool.map(inheritable_thread_target(points.sparkSession)(fit), ks)
         labelled = points
         for k, model in zip(ks, models):
             labelled = model.setPredictionCol(f"c{k}").transform(labelled)
         labelled = materialize(labelled, "labels")
     finally:
-        points.unpersist()
+        dealt.unpersist()
 
     scores: dict[int, float] = {}
     if candidates:
         columns = [f"c{k}" for k in ks]
-        counts = labelled.agg(*[F.size(F.collect_set(c)).alias(c) for c in columns]).first()
+        counts = labelled.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
         used = [k for k in ks if 2 <= counts[f"c{k}"] <= n - 1]
-        if used and n <= exact_limit:
+        if used and metric == EUCLIDEAN:
             vectors = labelled.select(
                 "id", vector_to_array("features").alias("vec"),
                 F.array(*[f"c{k}" for k in used]).alias("labels"),

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 10_000
+SQUARED, EUCLIDEAN = "squared_euclidean", "euclidean"
 BLOCK = 2048
 
 _SUMS = "id long, run int, own boolean, cluster int, total double, n long"
@@ -110,23 +110,23 @@ def mean_silhouettes_squared(
 
 def silhouette(
     points: DataFrame, features: str = "features", label: str = "cluster_id",
-    exact_limit: int = EXACT_LIMIT,
+    metric: str = SQUARED, block: int = BLOCK,
 ) -> DataFrame:
     """One row ``(metric, n, silhouette)`` for points with ``id``, vectors and labels.
 
-    Euclidean up to ``exact_limit`` points. That form needs every distance, so
-    beyond the limit the squared form is used and named in ``metric``.
+    ``metric`` decides the form at every size: the squared one is linear in the
+    number of points, the Euclidean one needs every distance.
     """
     n = points.count()
-    if n <= exact_limit:
+    if metric == EUCLIDEAN:
         vectors = points.select(
             "id", vector_to_array(features).alias("vec"),
             F.array(F.col(label).cast("int")).alias("labels"),
         )
-        return mean_silhouettes(vectors, n).select(
-            F.lit("euclidean").alias("metric"), F.lit(n).cast("long").alias("n"), "silhouette"
+        return mean_silhouettes(vectors, n, block).select(
+            F.lit(EUCLIDEAN).alias("metric"), F.lit(n).cast("long").alias("n"), "silhouette"
         )
     score = dict(mean_silhouettes_squared(points, features, [label]))[0]
     return points.sparkSession.createDataFrame(
-        [("squared_euclidean", n, float(score))], "metric string, n long, silhouette double"
+        [(SQUARED, n, float(score))], "metric string, n long, silhouette double"
     )

@@ -5,16 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.vectors import norm
 from newsloom.operators.embed import embed
-from newsloom.session import materialize, scratch_path
 
 THRESHOLD = 0.75  # fixed value
-BATCH = 1024
 
 
 def _keep_in_order(units: np.ndarray, threshold: float) -> list[int]:
@@ -26,69 +25,37 @@ def _keep_in_order(units: np.ndarray, threshold: float) -> list[int]:
 
 
 def filter_similar(
-    topics: DataFrame, vec: str = "vec", threshold: float = THRESHOLD, batch: int = BATCH
+    topics: DataFrame, vec: str = "vec", threshold: float = THRESHOLD, digest: str = "digest"
 ) -> DataFrame:
-    """Rows of ``topics`` that stay: in order of ``pos``, a row is kept if its
-    cosine with every row kept before is below ``threshold``.
+    """Rows of ``topics`` that stay in their ``digest``: in order of ``pos``, a row is
+    kept if its cosine with every row kept before is below ``threshold``.
 
-    Equal to the one-by-one loop, in rounds: the first ``batch`` open rows are
-    settled on the driver, then all later rows are compared with the newly kept
-    ones where they lie. No pair of rows is ever formed by a join, and a large
-    group of near copies falls away in the round of its first member.
+    A digest has at most as many topics as clusters times topics per cluster, so
+    each is settled whole in one task, and many digests side by side.
     """
-    spark = topics.sparkSession
     length = norm(F.col("_v"))
-    units = (
-        topics.select("pos", F.col(vec).cast("array<double>").alias("_v"))
-        .withColumn("_l", length)
-        .select(
-            "pos", (F.col("_l") == 0).alias("zero"),
-            F.when(F.col("_l") == 0, F.col("_v"))
-            .otherwise(F.transform("_v", lambda x: x / F.col("_l"))).alias("unit"),
-        )
+    units = topics.select(digest, "pos", F.col(vec).cast("array<double>").alias("_v")).select(
+        digest, "pos",
+        F.when(length == 0, F.col("_v")).otherwise(F.transform("_v", lambda x: x / length)).alias("unit"),
     )
-    if threshold < 1 - 1e-9:
-        # A copy of an earlier vector never stays, so only first copies go on.
-        # (Zero vectors have cosine 0 even with each other.)
-        copy_of = F.when(F.col("zero"), F.col("pos"))
-        units = units.groupBy("unit", copy_of.alias("_z")).agg(F.min("pos").alias("pos"))
-    open_rows = materialize(units.select("pos", "unit"), "similar-open")
-    kept_path = scratch_path(spark, "similar-kept")
-    spark.createDataFrame([], "pos long").write.parquet(kept_path)
-    while True:
-        head = open_rows.orderBy("pos").limit(batch).collect()  # at most `batch` rows
-        if head:
-            block = np.array([r["unit"] for r in head], dtype=float)
-            kept = _keep_in_order(block, threshold)
-            spark.createDataFrame([(head[i]["pos"],) for i in kept], "pos long").coalesce(
-                1
-            ).write.mode("append").parquet(kept_path)
-        if len(head) < batch:
-            break
-        kept_units = spark.sparkContext.broadcast(block[kept])
 
-        def far_from_kept(frames):
-            for frame in frames:
-                if len(frame):
-                    similarity = np.stack(frame["unit"].to_numpy()) @ kept_units.value.T
-                    frame = frame[similarity.max(axis=1) < threshold]
-                yield frame
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        return rows.iloc[_keep_in_order(np.stack(rows["unit"].to_numpy()), threshold)][[digest, "pos"]]
 
-        later = open_rows.where(F.col("pos") > head[-1]["pos"])
-        open_rows = materialize(
-            later.mapInPandas(far_from_kept, "pos long, unit array<double>"), "similar-open"
-        )
-        kept_units.unpersist()
-    return topics.join(spark.read.schema("pos long").parquet(kept_path), "pos", "left_semi")
+    kept = units.groupBy(digest).applyInPandas(settle, topics.select(digest, "pos").schema)
+    return topics.join(kept, [digest, "pos"], "left_semi")
 
 
 def filter_similar_topics(
     topics: DataFrame,
     keywords: str = "keywords",
     threshold: float = THRESHOLD,
+    digest: str = "digest",
     embedder: Callable[[DataFrame, str], DataFrame] = embed,
 ) -> DataFrame:
-    """:func:`filter_similar` for topics ``(pos, keywords array<string>)``.
+    """:func:`filter_similar` for topics ``(digest, pos, keywords array<string>)``;
+    ``pos`` is unique over all digests.
 
     Each list is embedded as one text, its keywords joined by ", ".
     """
@@ -98,5 +65,5 @@ def filter_similar_topics(
     vectors = embedder(sentences, "_sentence").select(
         "pos", vector_to_array("features").alias("vec")
     )
-    kept = filter_similar(vectors, "vec", threshold).select("pos")
+    kept = filter_similar(topics.select(digest, "pos").join(vectors, "pos"), "vec", threshold, digest).select("pos")
     return topics.join(kept, "pos", "left_semi")

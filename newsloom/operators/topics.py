@@ -39,7 +39,7 @@ def fit_topics(
     if topics == 1:
         total = vectors.select(Summarizer.sum(F.col("tfidf")).alias("s")).first()["s"].toArray()
         return [(float(total.sum()), _top_terms(total, terms))]
-    rows = steady(vectors, n).select("tfidf").cache()
+    rows = steady(vectors).select("tfidf").cache()
     try:
         model = LDA(
             k=topics, featuresCol="tfidf", optimizer="online", subsamplingRate=1.0, maxIter=10,

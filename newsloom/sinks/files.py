@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.functions.text import capitalize
 from newsloom.functions.topics import topic_slug
 
 # Quotes are doubled, and text with line breaks or quotes is quoted, as CSV
@@ -32,9 +34,15 @@ def create_table(spark: SparkSession, records: Iterable, schema: T.StructType) -
 
 
 def save_digest(df: DataFrame, folder: str, topic: str | None) -> str | None:
-    """Write the digest under a name made from the topic; nothing if it is empty."""
+    """Write the digest under a name made from the topic; nothing if it is empty.
+
+    The file has all articles, with capitalised sentiment and without row ids.
+    """
     if df.isEmpty():
         return None
+    if "sentiment" in df.columns:
+        df = df.withColumn("sentiment", capitalize(F.col("sentiment")))
+    df = df.drop("id")
     path = f"{folder.rstrip('/')}/{topic_slug(topic)}_clustered_articles"
     write_csv(df, path)
     return path

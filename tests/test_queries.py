@@ -23,8 +23,7 @@ def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
 
-# The recursive walk of this one is slow in SQL; test_vectors has a loop for it.
-@pytest.mark.parametrize("name", sorted(set(ORACLE) - {"similar_topics"}))
+@pytest.mark.parametrize("name", sorted(n for n in ORACLE if not n.startswith("op")))
 def test_same_as_sql(spark, con, name):
     got = spark_result(QUERIES[name](spark, SF))
     assert difference(got, duckdb_result(con, ORACLE[name])) is None
