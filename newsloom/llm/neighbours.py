@@ -39,48 +39,73 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 class SortedProjections:
-    """One block: projections of its vectors, each as a sorted array."""
+    """One block: projections of its vectors, each as a sorted array, and the queries that meet it."""
 
-    def __init__(self, vectors: np.ndarray, longest: float):
-        self.vectors = vectors
+    def __init__(self, vectors: np.ndarray, queries: np.ndarray, longest: float):
+        self._vectors, self._queries = vectors, queries
         rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
-        self._axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
-        values = np.c_[vectors, rest] @ self._axes  # equal lengths: the nearest has the largest product
+        axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
+        values = np.c_[vectors, rest] @ axes  # equal lengths: the nearest has the largest product
         order = np.argsort(values, axis=0, kind="stable")
         self._sorted = np.take_along_axis(values, order, axis=0).T.copy()
         #: Where each vector stands in each sorted array; a window is a range of these.
         self._places = np.empty(values.T.shape, dtype=np.uint32 if len(values) >= 1 << 16 else np.uint16)
         for places, own in zip(self._places, order.T):
             places[own] = np.arange(len(own))
+        self._centres = (queries * (longest / np.linalg.norm(queries, axis=1))[:, None] @ axes[:-1]).T
         self._longest = longest
         self._level = 0
-
-    def _collisions(self, centre: np.ndarray, half: float) -> np.ndarray:
+        self._ranges: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._shifted, self._inside = np.empty_like(self._places), np.empty(self._places.shape, dtype=bool)
+
+    def _windows(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """First place and width of every query's windows, a row per query, at a level."""
+        if level not in self._ranges:
+            half = FIRST * self._longest * GROWTH**level
+            ends = [(np.searchsorted(v, c - half), np.searchsorted(v, c + half)) for v, c in zip(self._sorted, self._centres)]
+            low, high = (np.stack(e, axis=1) for e in zip(*ends))
+            self._ranges[level] = low.astype(self._places.dtype), (high - low).astype(self._places.dtype)
+        return self._ranges[level]
+
+    def _collisions(self, q: int, level: int) -> np.ndarray:
         """In how many projections each vector lies in the query's window."""
-        counts = np.zeros(len(self.vectors), dtype=np.uint8)
-        for values, places, c in zip(self._sorted, self._places, centre):
-            low, high = np.searchsorted(values, (c - half, c + half))
-            counts += (places - places.dtype.type(low)) < places.dtype.type(high - low)  # below ``low`` it wraps around
-        return counts
+        low, width = self._windows(level)
+        np.subtract(self._places, low[q][:, None], out=self._shifted)  # below ``low`` it wraps around
+        np.less(self._shifted, width[q][:, None], out=self._inside)
+        return np.add.reduce(self._inside.view(np.uint8), axis=0, dtype=np.uint8)
 
-    def candidates(self, query: np.ndarray) -> np.ndarray:
-        """Indices of vectors with enough collisions, from windows as narrow as that allows.
+    def candidates(self, q: int) -> np.ndarray:
+        """Indices of vectors with enough collisions: windows grow until these are enough.
 
-        The windows begin one step narrower than those of the query before.
+        The windows begin as the query before has left them, one step narrower
+        if that one found half as many again as it wanted.
         """
-        n = len(self.vectors)
+        n = len(self._vectors)
         wanted = max(LEAST, int(np.ceil(VERIFIED * n)))
         if n <= wanted:
             return np.arange(n)
-        centre = (query * (self._longest / np.linalg.norm(query))) @ self._axes[:-1]
-        self._level = max(0, self._level - 1)
         while True:
-            counts = self._collisions(centre, FIRST * self._longest * GROWTH**self._level)
-            found = np.flatnonzero(counts >= THRESHOLD * PROJECTIONS)
+            found = np.flatnonzero(self._collisions(q, self._level) >= THRESHOLD * PROJECTIONS)
             if len(found) >= wanted:
+                self._level = max(0, self._level - (2 * len(found) > 3 * wanted))
                 return found
             self._level += 1
 
+    def best(self, q: int, at: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and products of the ``k`` nearest of the vectors ``at``, ties to the smaller id.
+
+        A matrix product, whose last bits vary with the place of a row, leaves out
+        what is clearly behind; products summed alike for all rows decide.
+        """
+        query = self._queries[q]
+        if len(at) > k:
+            about = self._vectors[at] @ query
+            slack = 1e-9 * self._longest * np.linalg.norm(query)
+            at = at[about >= np.partition(about, -k)[-k] - slack]
+        score = (self._vectors[at] * query).sum(axis=1)
+        order = np.lexsort((ids[at], -score))[:k]
+        return ids[at][order], score[order]
+
 
 def nearest(rows: DataFrame, key: str, vector: str, k: int = 20, every: int = 20) -> DataFrame:
     """The ``k`` rows of largest inner product for every row whose key is divisible by ``every``.
@@ -109,14 +134,12 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 20, every: int = 20
         found: list[tuple[np.ndarray, ...]] = []
         if len(own) and len(queries):
             ids = own["vec_id"].to_numpy()
-            block = SortedProjections(np.stack(own["vector"].to_numpy()), longest)
             queries = queries.sort_values("vec_id")
-            for query_id, query in zip(queries["vec_id"], queries["vector"]):
-                at = block.candidates(query)
-                at = at[ids[at] != query_id]
-                score = (block.vectors[at] * query).sum(axis=1)
-                best = np.lexsort((ids[at], -score))[:k]
-                found.append((np.full(len(best), query_id), ids[at][best], score[best]))
+            block = SortedProjections(np.stack(own["vector"].to_numpy()), np.stack(queries["vector"].to_numpy()), longest)
+            for q, query_id in enumerate(queries["vec_id"]):
+                at = block.candidates(q)
+                near, score = block.best(q, at[ids[at] != query_id], ids, k)
+                found.append((np.full(len(near), query_id), near, score))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
 
