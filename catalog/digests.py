@@ -6,6 +6,7 @@ from functools import partial
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog.common import (
     LEXICON, PAGE_FEED_SQL, PAGE_URLS_SQL, feed, page_feed, page_text_sql, page_urls,
@@ -16,9 +17,9 @@ from newsloom.models import embed_with, score_with, summarize_with
 from newsloom.plans import digest as D
 from newsloom.plans.enrich import enrich_feed, enrich_files, enrich_urls, union_paths
 from newsloom.plans.view import cluster_counts, cluster_markdown, cluster_view
-from newsloom.schema import DIGEST_FIELDS, FEED
+from newsloom.schema import DIGEST, DIGEST_FIELDS, FEED
 from newsloom.session import scratch_path
-from newsloom.sinks.files import read_csv, write_csv, write_json
+from newsloom.sinks.files import read_csv, save_digest, write_csv, write_json
 from newsloom.sources.feeds import latest
 from newsloom.sources.files import read_text_files
 
@@ -194,6 +195,22 @@ def json_roundtrip(spark, sf_dir):
     return spark.read.schema(FEED).json(path)
 
 
+def digest_csv(spark, sf_dir):
+    """Every document as a digest row, saved under a topic and read back whole."""
+    label = F.concat(F.lit("label "), F.col("pos") % 7).alias("cluster_label")
+    rows = file_rows(spark, sf_dir).select(F.col("pos").alias("id"), *DIGEST_FIELDS, label)
+    path = save_digest(rows, scratch_path(spark, "digest"), "All files")
+    return read_csv(spark, path, T.StructType([*DIGEST.fields, T.StructField("cluster_label", T.StringType())]))
+
+
+DIGEST_CSV_SQL = f"""
+WITH {_FILE_ROWS_SQL}
+SELECT title, url, source, author, "publishedAt", content, summary,
+       upper(substring(sentiment, 1, 1)) || lower(substring(sentiment, 2)) AS sentiment, score,
+       'label ' || (pos % 7) AS cluster_label
+FROM file_rows"""
+
+
 FILE_SIZE = 50  # documents per text file
 
 
@@ -306,6 +323,7 @@ QUERIES = {
     "cluster_markdown": view_markdown,
     "csv_roundtrip": csv_roundtrip,
     "json_roundtrip": json_roundtrip,
+    "digest_csv": digest_csv,
     "read_text_files": text_files,
     "model_summary": model_summary,
     "model_sentiment": model_sentiment,
@@ -329,6 +347,7 @@ SELECT {_COLUMNS} FROM feed_rows UNION ALL SELECT {_COLUMNS} FROM file_rows UNIO
     "cluster_markdown": MARKDOWN_SQL,
     "csv_roundtrip": RECORDS_SQL,
     "json_roundtrip": RECORDS_SQL,
+    "digest_csv": DIGEST_CSV_SQL,
     "read_text_files": TEXT_FILES_SQL,
     **MODEL_SQL,
 }

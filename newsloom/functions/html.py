@@ -20,7 +20,8 @@ PARAGRAPH_START = r"(?i)<p(?:\s[^>]*)?>"
 PARAGRAPH_END = r"(?is)</(?:p|article|body)[\s>].*"
 TAG = r"<[^>]*>"
 TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title"
-ARTICLE = r"(?is)<article(?:\s[^>]*)?>(.*?)</article"
+# From the first article element to the end of the last: nested and sibling ones are kept whole.
+ARTICLE = r"(?is)<article(?:\s[^>]*)?>(.*)</article"
 
 ALL = 1 << 30  # a slice to the end
 REFERENCE = r"^#?[A-Za-z0-9]+;"
@@ -100,5 +101,5 @@ def clean_body(paragraphs: Column) -> Column:
 
 
 def article_element(visible_html: Column) -> Column:
-    """Inner HTML of the main article element, or ''."""
+    """Inner HTML from the first article element to the end of the last, or ''."""
     return F.regexp_extract(visible_html, ARTICLE, 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.session import broadcast_if_small, materialize
+
 HOT_ROWS = 1_000_000
 
 
@@ -20,18 +22,21 @@ def lookup(
 
     A key with more than ``hot_rows`` rows is split over several join keys, by
     the hash of ``spread`` (a column that tells the rows apart), and its one
-    table row is repeated for each part. At most ``count(rows) / hot_rows`` keys
-    can be hot, so their list is small by construction.
+    table row is repeated for each part. The hot keys are counted once, stored and
+    broadcast if they are few. Rows with a null key meet nothing: they are kept out
+    of the join, and come back unmatched with ``how="left"``.
     """
-    hot = F.broadcast(
-        rows.groupBy(key)
+    given = rows.where(F.col(key).isNotNull())
+    counted = (
+        given.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > hot_rows)
         .select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
     )
+    hot = broadcast_if_small(materialize(counted, "hot-keys"))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     split_rows = (
-        rows.join(hot, key, "left")
+        given.join(hot, key, "left")
         .withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int"))
         .drop("_parts")
     )
@@ -40,7 +45,10 @@ def lookup(
         .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
         .drop("_parts")
     )
-    return split_rows.join(split_table, [key, "_part"], how).drop("_part")
+    met = split_rows.join(split_table, [key, "_part"], how).drop("_part")
+    if how != "left":
+        return met
+    return met.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -12,8 +12,11 @@ from newsloom.functions.text import capitalize
 from newsloom.functions.topics import topic_slug
 
 # Quotes are doubled, and text with line breaks or quotes is quoted, as CSV
-# readers expect.
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "emptyValue": ""}
+# readers expect. Blanks at the ends of a text stay.
+CSV_OPTIONS = {
+    "header": True, "quote": '"', "escape": '"', "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -163,3 +163,13 @@ def test_vectors(spark):
     a, b, z = F.col("a"), F.col("b"), F.col("z")
     row = df.select(cosine(a, b), cosine(a, z), euclidean(a, z)).first()
     assert list(row) == [0.96, 0.0, 5.0]
+
+
+def test_nested_and_sibling_articles(spark):
+    pages = {
+        "<article><p>one</p><article><p>inner</p></article><p>two</p></article><article><p>three</p></article><p>no</p>": "one inner two three",
+        "<p>no</p><article class='x'><p>one</p></article><p>no</p>": "one",
+        "<article><p>never closed</p>": "", "<p>none</p>": "",
+    }
+    got = values(spark, list(pages), lambda c: H.clean_body(H.paragraph_text(H.article_element(c))))
+    assert got == list(pages.values())

@@ -190,3 +190,11 @@ def test_markdown_blocks(spark):
     assert blocks[1].startswith("### 🧩 Cluster d\n**Articles:** 1") and blocks[2:] == ["", "", ""]
     nothing = render_blocks(cluster_markdown(articles, topics, ["Neutral"]))
     assert nothing == ["### ⚠️ No matching articles.", "", "", "", ""]
+
+
+def test_lookup_null_keys(spark):
+    rows = spark.createDataFrame([(0, "a"), (1, None), (2, None), (3, "b")], "pos long, key string")
+    table = spark.createDataFrame([("a", 1), (None, 9)], "key string, v int")
+    got = {r["pos"]: r["v"] for r in lookup(rows, table, "key", "pos", "left", hot_rows=1).collect()}
+    assert got == {0: 1, 1: None, 2: None, 3: None}
+    assert [r["pos"] for r in lookup(rows, table, "key", "pos").collect()] == [0]

@@ -260,3 +260,24 @@ def test_model_slots(spark):
     assert [tuple(r) for r in blank] == [("No input provided.", None)] * 2
     vectors = embed_with(df.where("pos = 0"), lambda: lambda texts: [[len(t), 1] for t in texts]).first()
     assert vectors["features"].toArray().tolist() == [4.0, 1.0]
+
+
+def test_model_slots_keep_errors_and_see_no_blanks(spark):
+    df = spark.createDataFrame([(0, "good"), (1, " "), (2, None), (3, "bad")], "pos long, content string")
+
+    def summarizer():
+        def run(texts):
+            assert all(t.strip() for t in texts), "blank"
+            if "bad" in texts:
+                raise ValueError("boom")
+            return [t.upper() for t in texts]
+        return run
+
+    rows = score_with(summarize_with(df, summarizer), lambda: lambda texts: [("POSITIVE", 0.5)] * len(texts))
+    got = [(r["summary"], r["error"]) for r in rows.orderBy("pos").collect()]
+    assert got == [
+        ("GOOD", None), ("No input provided.", None), ("No input provided.", None),
+        ("Error generating summary: boom", "boom"),
+    ]
+    short = summarize_with(df.where("pos = 0"), lambda: lambda texts: []).first()
+    assert short["error"] == "0 results for 1 texts"
