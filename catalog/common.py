@@ -62,7 +62,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_add(F.lit("2024-01-01").cast("date"), (i % 97).cast("int"))
     return d.select(
         i.alias("pos"),
-        F.substring("text", 1, 60).alias("title"),
+        F.concat("source", F.lit(" "), "lang", F.lit(" "), i.cast("string")).alias("title"),
         F.concat_ws("/", F.concat(F.lit("https://"), "source", F.lit(".example.org")), "lang", i.cast("string")).alias("url"),
         "source",
         F.when(i % 7 != 0, F.concat(F.lit("author"), (i % 13).cast("string"))).alias("author"),
@@ -74,7 +74,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FEED_SQL = """
 feed AS (
-  SELECT doc_id AS pos, substring(text, 1, 60) AS title,
+  SELECT doc_id AS pos, source || ' ' || lang || ' ' || doc_id AS title,
          'https://' || source || '.example.org/' || lang || '/' || doc_id AS url, source,
          CASE WHEN doc_id % 7 <> 0 THEN 'author' || (doc_id % 13) END AS author,
          CASE WHEN doc_id % 11 <> 0

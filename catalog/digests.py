@@ -120,7 +120,7 @@ _VIEW_SQL = f"""
 scored_in AS (SELECT doc_id AS id, text AS summary FROM documents),
 {sentiment_sql('scored_in', LEXICON)},
 labelled AS (
-  SELECT doc_id AS id, substring(text, 1, 60) AS title,
+  SELECT doc_id AS id, source || ' ' || lang || ' ' || doc_id AS title,
          'https://' || source || '.example.org/' || lang || '/' || doc_id AS url, source,
          text AS summary,
          upper(substring(sentiment, 1, 1)) || lower(substring(sentiment, 2)) AS sentiment, source AS cluster_label
@@ -167,32 +167,35 @@ FROM shown WHERE cluster_label IN (SELECT cluster_label FROM view)"""
 # ---------------------------------------------------------------- files
 
 def _records(spark, sf_dir):
-    """Rows with quotes, commas, line breaks, blanks and nulls."""
+    """Rows with quotes, commas, line breaks, blanks and nulls, and the whole text."""
     quoted = F.concat(F.lit('"'), F.col("title"), F.lit('", \\n'))
     return feed(spark, sf_dir).select(
-        "pos", quoted.alias("title"), "url", "source", "author", "publishedAt"
+        "pos", quoted.alias("title"), "url", "source", "author", "publishedAt", "content"
     )
 
 
 RECORDS_SQL = """
-SELECT doc_id AS pos, '"' || substring(text, 1, 60) || '", \\n' AS title,
+SELECT doc_id AS pos, '"' || source || ' ' || lang || ' ' || doc_id || '", \\n' AS title,
        'https://' || source || '.example.org/' || lang || '/' || doc_id AS url, source,
        CASE WHEN doc_id % 7 <> 0 THEN 'author' || (doc_id % 13) END AS author,
        CASE WHEN doc_id % 11 <> 0
-            THEN CAST(DATE '2024-01-01' + CAST(doc_id % 97 AS INTEGER) AS VARCHAR) END AS "publishedAt"
+            THEN CAST(DATE '2024-01-01' + CAST(doc_id % 97 AS INTEGER) AS VARCHAR) END AS "publishedAt",
+       text AS content
 FROM documents"""
 
+RECORD = T.StructType([*FEED.fields, T.StructField("content", T.StringType())])
+
 
 def csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "csv")
     write_csv(_records(spark, sf_dir), path)
-    return read_csv(spark, path, FEED)
+    return read_csv(spark, path, RECORD)
 
 
 def json_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "json")
     write_json(_records(spark, sf_dir), path)
-    return spark.read.schema(FEED).json(path)
+    return spark.read.schema(RECORD).json(path)
 
 
 def digest_csv(spark, sf_dir):

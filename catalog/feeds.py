@@ -17,11 +17,11 @@ from newsloom.sources.feeds import (
 
 SEARCHES = ("then only", "Ones than", "rest", "the of", "here here", "no_such_word", "heat thing re")
 
-# Each document gives topics of every kind, by these rules.
+# Each document gives topics of every kind by these rules, and each sentence of its text.
 TOPICS = (
-    "substring(text, 1, 40)",
-    "substring(text, 1, 101)",
-    "substring(text, 1, 100)",
+    "text",
+    "rpad(lang, 101, source)",
+    "rpad(lang, 100, source)",
     "concat(upper(source), ' & ', lang, ' -- News~`')",
     "concat('5g ', lang)",
     "concat(' ', lang)",
@@ -37,15 +37,16 @@ TOPICS = (
 
 def _topics(spark, sf_dir):
     rules = [r.format(text="STRING", tab="char(9)", newline="char(10)") for r in TOPICS]
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.posexplode(F.array(*[F.expr(r) for r in rules])).alias("variant", "topic")
-    )
+    topics = F.concat(F.array(*[F.expr(r) for r in rules]), F.split("text", r"\. "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(topics).alias("variant", "topic"))
 
 
 _TOPICS_SQL = "topics AS (" + " UNION ALL ".join(
     f"SELECT doc_id, {i} AS variant, {r.format(text='VARCHAR', tab='chr(9)', newline='chr(10)')} AS topic FROM documents"
     for i, r in enumerate(TOPICS)
-) + ")"
+) + f"""
+UNION ALL SELECT doc_id, {len(TOPICS)} + unnest(range(len(s))) AS variant, unnest(s) AS topic
+FROM (SELECT doc_id, string_split(text, '. ') AS s FROM documents))"""
 _CLEAN = (
     f"trim(regexp_replace(translate(lower(topic), {sql_text(SPECIAL_CHARACTERS)}, "
     f"'{' ' * len(SPECIAL_CHARACTERS)}'), ' +', ' ', 'g'))"
