@@ -6,14 +6,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from catalog.common import table
+from catalog.common import sql_content_tokens, table
 from newsloom.functions.text import content_tokens
 from newsloom.functions.vectors import cosine, euclidean
 from newsloom.operators.cluster import (
-    array_features, centroids, choose_k, kmeans, nearest_centroid, representatives,
+    MAX_CLUSTERS, MIN_CLUSTERS, array_features, best_k, centroids, choose_k, kmeans,
+    nearest_centroid, representatives,
 )
-from newsloom.operators.embed import embed
-from newsloom.operators.silhouette import silhouette
+from newsloom.operators.embed import DIMENSIONS, embed
+from newsloom.operators.silhouette import mean_silhouettes_squared, silhouette
 from newsloom.operators.similar import filter_similar, filter_similar_topics
 from newsloom.operators.tfidf import TfidfSpace
 from newsloom.operators.topics import cluster_topics, primary_topics
@@ -150,6 +151,20 @@ def embed_texts(spark, sf_dir):
     return vectors.select("id", vector_to_array("features", "float32").alias("embedding"))
 
 
+def embed_norms(spark, sf_dir):
+    """Dimensions and length of every text's vector: 1, or 0 without content words."""
+    v = vector_to_array("features")
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    vectors = embed(_articles(spark, sf_dir))
+    return vectors.select("id", F.size(v).alias("dimensions"), F.round(length, 9).alias("length"))
+
+
+EMBED_NORMS_SQL = f"""
+SELECT doc_id AS id, {DIMENSIONS} AS dimensions,
+       CAST(len({sql_content_tokens("coalesce(text, '')")}) > 0 AS INTEGER)::DOUBLE AS length
+FROM documents"""
+
+
 def similar_keywords(spark, sf_dir):
     """Each document's content words as a topic, by the default vectors."""
     topics = _articles(spark, sf_dir).select(
@@ -164,6 +179,39 @@ def fit_kmeans(spark, sf_dir):
     return kmeans(points, 5).assign(points).select("id", "cluster_id")
 
 
+def kmeans_nearest(spark, sf_dir):
+    """Whether the centre of its cluster is the nearest to a row, which k-means promises."""
+    points = _points(spark, sf_dir).select("id", "features")
+    fitted = kmeans(points, 5)
+    centres = fitted.model.clusterCenters()  # five of them
+    rows = [(number, centres[index].tolist()) for index, number in fitted.numbers.items()]
+    near = nearest_centroid(points, spark.createDataFrame(rows, "cluster_id int, centroid array<double>"))
+    return fitted.assign(points).join(near, "id").select("id", (F.col("cluster_id") == F.col("nearest")).alias("own_is_nearest"))
+
+
+def score_labelings(spark, sf_dir):
+    """The silhouette of nine given labelings of all vectors, and which one is chosen."""
+    ks = range(MIN_CLUSTERS, MAX_CLUSTERS + 1)
+    points = _points(spark, sf_dir)
+    given = points.select("features", *[((F.col("id") + F.col("cluster_id")) % k).cast("int").alias(f"c{k}") for k in ks])
+    runs = mean_silhouettes_squared(materialize(given, "labelings"), "features", [f"c{k}" for k in ks])
+    scores = {ks[run]: round(float(score), 9) for run, score in runs}
+    chosen = best_k(scores, MIN_CLUSTERS)
+    return spark.createDataFrame([(k, s, k == chosen) for k, s in scores.items()], "k int, silhouette double, chosen boolean")
+
+
+SCORES_SQL = f"""
+WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
+d AS (SELECT a.id, a.label, b.id AS other, b.label AS other_label, list_distance(a.v, b.v) ** 2 AS d FROM v a, v b),
+sums AS (SELECT id, CAST(k AS INTEGER) AS k, (id + label) % k AS own, (other + other_label) % k AS c, sum(d) AS total, count(*) AS n
+         FROM d, range({MIN_CLUSTERS}, {MAX_CLUSTERS + 1}) AS t(k) GROUP BY ALL),
+ab AS (SELECT id, k, max(n) FILTER (own = c) AS size, max(total) FILTER (own = c) AS within,
+              min(total / n) FILTER (own <> c) AS b FROM sums GROUP BY id, k),
+s AS (SELECT k, CASE WHEN size = 1 THEN 0 ELSE (b - within / (size - 1)) / greatest(within / (size - 1), b) END AS s FROM ab),
+scores AS (SELECT k, round(avg(s), 9) AS silhouette FROM s GROUP BY k)
+SELECT k, silhouette, row_number() OVER (ORDER BY silhouette DESC, k) = 1 AS chosen FROM scores"""
+
+
 def fit_best_k(spark, sf_dir):
     """The silhouette of each k, and which one was chosen."""
     fitted = choose_k(_points(spark, sf_dir).select("id", "features"))
@@ -201,8 +249,11 @@ QUERIES = {
     "representatives": cluster_representatives,
     "similar_topics": similar_topics,
     "similar_topic_keywords": similar_keywords,
+    "score_labelings": score_labelings,
     "embed": embed_texts,
+    "embed_norms": embed_norms,
     "kmeans": fit_kmeans,
+    "kmeans_nearest": kmeans_nearest,
     "choose_k": fit_best_k,
     "lda_topics": lda_topics,
     "lda_primary": lda_primary,
@@ -216,4 +267,7 @@ ORACLE = {
     "distance_to_centroid": f"WITH {_POINTS_SQL} SELECT id, round(list_distance(v, c), 9) AS distance FROM points JOIN centres USING (cluster_id)",
     "representatives": REPRESENTATIVES_SQL,
     "similar_topics": SIMILAR_SQL,
+    "score_labelings": SCORES_SQL,
+    "embed_norms": EMBED_NORMS_SQL,
+    "kmeans_nearest": "SELECT vec_id AS id, true AS own_is_nearest FROM embeddings",
 }

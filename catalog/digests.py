@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +21,8 @@ from newsloom.plans.view import cluster_counts, cluster_markdown, cluster_view
 from newsloom.schema import DIGEST, DIGEST_FIELDS, FEED
 from newsloom.session import scratch_path
 from newsloom.sinks.files import read_csv, save_digest, write_csv, write_json
-from newsloom.sources.feeds import latest
-from newsloom.sources.files import read_text_files
+from newsloom.sources.feeds import latest, read_api_responses
+from newsloom.sources.files import numbered, read_text_files
 
 SCORER = partial(with_sentiment, lexicon=LEXICON)
 ROW = ["path_ord", "pos", *DIGEST_FIELDS]
@@ -217,8 +218,8 @@ FROM file_rows"""
 FILE_SIZE = 50  # documents per text file
 
 
-def text_files(spark, sf_dir):
-    """Text files of 50 documents each, written by Spark and read back whole."""
+def _landed_texts(spark, sf_dir):
+    """The folder of text files of 50 documents each, written by Spark."""
     number = (F.col("pos") - F.col("pos") % FILE_SIZE).alias("file_no")
     path = scratch_path(spark, "texts")
     (
@@ -226,8 +227,13 @@ def text_files(spark, sf_dir):
         .repartitionByRange("file_no").sortWithinPartitions("file_no", "pos").drop("pos")
         .write.partitionBy("file_no").text(path)
     )
+    return f"{path}/*"
+
+
+def text_files(spark, sf_dir):
+    """Landed text files, read back whole."""
     number = F.regexp_extract("file", r"file_no=(\d+)", 1).cast("long").alias("file_no")
-    return read_text_files(spark, f"{path}/*").select(number, "content")
+    return read_text_files(spark, _landed_texts(spark, sf_dir)).select(number, "content")
 
 
 TEXT_FILES_SQL = f"""
@@ -237,6 +243,45 @@ SELECT file_no, content FROM (
 WHERE length({sql_strip('content')}) > 0"""
 
 
+PAGE_SIZE = 20  # entries per API response
+
+
+def _landed_responses(spark, sf_dir):
+    """The folder of API responses, a JSON document per file."""
+    page = (F.col("pos") - F.col("pos") % PAGE_SIZE).alias("page")
+    article = F.struct("pos", F.struct(F.col("source").alias("name")).alias("source"), "author", "title", "url", "publishedAt")
+    listed = F.array_sort(F.collect_list(article)).alias("articles")  # at most PAGE_SIZE
+    path = scratch_path(spark, "responses")
+    (
+        page_feed(spark, sf_dir).groupBy(page).agg(listed)
+        .select("page", F.to_json(F.struct(F.lit("ok").alias("status"), "articles")).alias("value"))
+        .write.partitionBy("page").text(path)
+    )
+    return f"{path}/*"
+
+
+def landed_rows(spark, sf_dir):
+    """Files on disk to digest rows with ids: API responses and text files are read, numbered, enriched."""
+    entries = numbered(read_api_responses(spark, _landed_responses(spark, sf_dir)), "response", "pos")
+    texts = numbered(read_text_files(spark, _landed_texts(spark, sf_dir)), "file")
+    rows = D.with_row_id(union_paths(
+        enrich_feed(entries, _pages(spark, sf_dir), scorer=SCORER), enrich_files(texts, scorer=SCORER),
+    ))
+    return rows.select(*DIGEST_FIELDS, F.count(F.lit(1)).over(Window.partitionBy("id")).alias("rows_of_id"))
+
+
+_FIELDS = ", ".join(f'"{c}"' for c in DIGEST_FIELDS)
+LANDED_SQL = f"""
+WITH {_PAGE_MODELS_SQL}, {_FEED_ROWS_SQL},
+text_content AS (SELECT file_no AS id, content FROM ({TEXT_FILES_SQL})),
+{summary_sql('text_content', 'text_summary')},
+{sentiment_sql('text_summary', LEXICON, 'text_score')}
+SELECT {_FIELDS}, 1 AS rows_of_id FROM feed_rows
+UNION ALL
+SELECT 'Custom File', 'N/A', 'Uploaded File', 'Unknown', 'Unknown', content, summary, sentiment, score, 1
+FROM text_content JOIN text_summary USING (id) JOIN text_score USING (id)"""
+
+
 # ---------------------------------------------------------------- model slots
 
 def _joined(texts):
@@ -311,6 +356,28 @@ def whole_digest(spark, sf_dir):
     return result.articles.select(*OUTPUT)
 
 
+def digest_articles(spark, sf_dir):
+    """The articles of the whole digest without their clusters, which hang on a fit."""
+    return whole_digest(spark, sf_dir).select(*DIGEST_FIELDS)
+
+
+def headline_articles(spark, sf_dir):
+    return latest_headlines(spark, sf_dir).select(*DIGEST_FIELDS)
+
+
+_LATEST_ROWS_SQL = f"""SELECT {_FIELDS} FROM feed_rows
+WHERE pos IN (SELECT pos FROM page_feed ORDER BY "publishedAt" DESC, pos LIMIT 10)"""
+HEADLINES_SQL = f"WITH {_PAGE_MODELS_SQL}, {_FEED_ROWS_SQL} {_LATEST_ROWS_SQL}"
+DIGEST_SQL = f"""
+WITH {_PAGE_MODELS_SQL}, {_FEED_ROWS_SQL}, {_FILE_ROWS_SQL}
+{_LATEST_ROWS_SQL}
+UNION ALL SELECT {_FIELDS} FROM file_rows
+UNION ALL
+SELECT CASE WHEN page_title <> '' THEN page_title ELSE 'Untitled Article' END, url, 'External Link', 'Unknown', 'Unknown',
+       content, summary, sentiment, score
+FROM pages JOIN enriched USING (url)"""
+
+
 def latest_headlines(spark, sf_dir):
     result = D.latest_headlines(page_feed(spark, sf_dir), _pages(spark, sf_dir), scorer=SCORER)
     return result.articles.select(*OUTPUT)
@@ -334,6 +401,9 @@ QUERIES = {
     "cluster_and_label": label_all,
     "digest": whole_digest,
     "latest_headlines": latest_headlines,
+    "digest_articles": digest_articles,
+    "headline_articles": headline_articles,
+    "landed_rows": landed_rows,
 }
 
 _COLUMNS = ", ".join(f'"{c}"' for c in ROW)
@@ -351,6 +421,9 @@ SELECT {_COLUMNS} FROM feed_rows UNION ALL SELECT {_COLUMNS} FROM file_rows UNIO
     "csv_roundtrip": RECORDS_SQL,
     "json_roundtrip": RECORDS_SQL,
     "digest_csv": DIGEST_CSV_SQL,
+    "digest_articles": DIGEST_SQL,
+    "headline_articles": HEADLINES_SQL,
+    "landed_rows": LANDED_SQL,
     "read_text_files": TEXT_FILES_SQL,
     **MODEL_SQL,
 }

@@ -191,6 +191,10 @@ def feed_latest(spark, sf_dir):
     return latest(feed(spark, sf_dir)).select("pos", *FEED_FIELDS)
 
 
+def feed_latest_by_time(spark, sf_dir):
+    return latest(feed(spark, sf_dir), by_time=True).select("pos", *FEED_FIELDS)
+
+
 _LATEST = "coalesce(\"publishedAt\", 'Unknown') DESC, pos"
 
 QUERIES = {
@@ -202,6 +206,7 @@ QUERIES = {
     "feed_first": feed_first,
     "feed_fallback": feed_fallback,
     "feed_latest": feed_latest,
+    "feed_latest_by_time": feed_latest_by_time,
     "fetch_content": feed_fetch_content,
 }
 
@@ -214,6 +219,9 @@ ORACLE = {
     "feed_first": FEED_FIRST_SQL,
     "feed_fallback": f"{_TWO_FEEDS_SQL} SELECT * FROM fetched",
     "feed_latest": f'WITH {FEED_SQL} SELECT pos, title, url, source, author, "publishedAt" FROM feed ORDER BY {_LATEST} LIMIT 10',
+    "feed_latest_by_time": f"""
+WITH {FEED_SQL} SELECT pos, title, url, source, author, "publishedAt" FROM feed
+ORDER BY TRY_CAST("publishedAt" AS TIMESTAMP) DESC NULLS LAST, pos LIMIT 10""",
     "fetch_content": f"""{_TWO_FEEDS_SQL}
 SELECT * FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY {_LATEST}) AS INTEGER) AS rank FROM fetched)

@@ -16,7 +16,9 @@ from newsloom.operators.tfidf import (
     GROUP_VOCABULARY, VOCABULARY, cluster_keywords, global_labels, group_vocabulary, vocabulary,
     with_terms,
 )
+from newsloom.plans.digest import with_labels
 from newsloom.plans.enrich import clean_chunks, summarize_by_chunks
+from newsloom.session import materialize
 
 
 def _articles(spark, sf_dir):
@@ -89,6 +91,13 @@ def tfidf_global_labels(spark, sf_dir):
     return global_labels(_articles(spark, sf_dir), "lang")
 
 
+def label_clusters(spark, sf_dir):
+    """Every article with the label of its cluster; the language is the cluster."""
+    rows = _articles(spark, sf_dir).withColumnRenamed("lang", "cluster_id")
+    labels = materialize(global_labels(rows, "cluster_id"), "cluster-labels")
+    return with_labels(rows, labels).select("id", "cluster_id", "cluster_label")
+
+
 _GROUP_VOCABULARY_SQL = f"""
 counts AS (SELECT lang, term, count(*) AS ctf, count(DISTINCT id) AS df FROM terms GROUP BY lang, term),
 vocab AS (
@@ -129,6 +138,10 @@ means AS (SELECT lang, term, coalesce(total, 0) / n AS mean FROM sizes CROSS JOI
 {_LABELS_SQL}
 SELECT lang, label AS cluster_label FROM labels"""
 
+LABEL_CLUSTERS_SQL = f"""
+SELECT id, lang AS cluster_id, cluster_label
+FROM (SELECT doc_id AS id, lang FROM documents) JOIN ({TFIDF_GLOBAL_SQL}) USING (lang)"""
+
 
 def summary(spark, sf_dir):
     return with_summary(_articles(spark, sf_dir)).select("id", "summary")
@@ -160,6 +173,7 @@ QUERIES = {
     "tfidf_cluster_vocabulary": tfidf_cluster_vocabulary,
     "tfidf_cluster_keywords": tfidf_cluster_keywords,
     "tfidf_global_labels": tfidf_global_labels,
+    "label_clusters": label_clusters,
     "summary": summary,
     "summary_chunked": summary_chunked,
     "sentiment": sentiment,
@@ -176,6 +190,7 @@ SELECT word, count(*) AS n FROM words WHERE NOT list_contains({STOP_SQL}, word)
     "tfidf_cluster_vocabulary": f"WITH {_TERMS_SQL}, {_GROUP_VOCABULARY_SQL} SELECT * FROM vocab",
     "tfidf_cluster_keywords": TFIDF_CLUSTER_SQL,
     "tfidf_global_labels": TFIDF_GLOBAL_SQL,
+    "label_clusters": LABEL_CLUSTERS_SQL,
     "summary": f"WITH {_ARTICLES_SQL}, {summary_sql('articles')} SELECT id, summary FROM summarised",
     "summary_chunked": SUMMARY_CHUNKED_SQL,
     "sentiment": f"""

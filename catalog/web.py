@@ -9,6 +9,8 @@ from catalog.common import (
 )
 from newsloom.functions import urls as U
 from newsloom.plans.harvest import acceptable, distinct_urls, harvest
+from newsloom.session import scratch_path
+from newsloom.sinks.files import read_csv, write_csv
 from newsloom.sources.files import url_list
 from newsloom.sources.pages import extract, fetch_text
 
@@ -166,6 +168,14 @@ FROM (SELECT url, min(pos) AS pos FROM page_urls WHERE {_ACCEPTABLE} AND {_WORKI
 JOIN page_text USING (url)"""
 
 
+def harvest_csv(spark, sf_dir):
+    """The harvest, written as CSV and read back whole."""
+    rows = _harvest("paragraphs")(spark, sf_dir)
+    path = scratch_path(spark, "harvest-csv")
+    write_csv(rows, path)
+    return read_csv(spark, path, rows.schema)
+
+
 QUERIES = {
     "url_checks": url_checks,
     "article_checks": article_checks,
@@ -176,6 +186,7 @@ QUERIES = {
     "page_lookup": page_lookup,
     "harvest": _harvest("paragraphs"),
     "harvest_article": _harvest("article"),
+    "harvest_csv": harvest_csv,
 }
 
 ORACLE = {
@@ -188,4 +199,5 @@ ORACLE = {
     "page_lookup": PAGE_LOOKUP_SQL,
     "harvest": _harvest_sql("paragraphs"),
     "harvest_article": _harvest_sql("article"),
+    "harvest_csv": _harvest_sql("paragraphs"),
 }

@@ -15,7 +15,7 @@ from newsloom.operators.embed import embed
 from newsloom.operators.tfidf import TfidfSpace
 from newsloom.operators.topics import MAX_TOPICS, TOPICS_SCHEMA, primary_topics
 from newsloom.plans.enrich import enrich_feed, enrich_files, enrich_urls, union_paths
-from newsloom.session import materialize
+from newsloom.session import broadcast_if_small, materialize
 from newsloom.sources.feeds import LATEST, latest, latest_per_topic, with_fallback
 
 HEADLINES = "Top Headlines"  # fixed value: names the headline digest
@@ -76,11 +76,13 @@ def cluster_and_label(
     else:
         labels = clustered.select("cluster_id").distinct().withColumn("cluster_label", F.lit(""))
         topics = base.sparkSession.createDataFrame([], TOPICS_SCHEMA)
-    labels = F.broadcast(labels)  # one row per cluster
-    labelled = clustered.join(labels, "cluster_id").select(
-        *articles.columns, "cluster_id", "cluster_label"
-    )
-    return ClusterResult(labelled, topics.join(labels, "cluster_id"), k)
+    labelled = with_labels(clustered, labels).select(*articles.columns, "cluster_id", "cluster_label")
+    return ClusterResult(labelled, with_labels(topics, labels), k)
+
+
+def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the label of their cluster; ``labels`` has one row per cluster."""
+    return rows.join(broadcast_if_small(labels), "cluster_id")
 
 
 def with_row_id(rows: DataFrame) -> DataFrame:
@@ -96,7 +98,11 @@ def digest(
     pages: DataFrame | None = None,
     **models,
 ) -> ClusterResult | None:
-    """Digest of feed entries, text files ``(pos, content)`` and URLs ``(pos, url)``."""
+    """Digest of feed entries, text files ``(pos, content)`` and URLs ``(pos, url)``.
+
+    ``pos`` is unique within each of them; ``sources.files.numbered`` makes it for
+    rows that were read from several files.
+    """
     paths = []
     if feed is not None:
         paths.append(enrich_feed(feed, pages, **models))

@@ -45,10 +45,13 @@ def unnest_articles(responses: DataFrame, *keys: str) -> DataFrame:
 
 
 def read_api_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Landed API responses, one JSON document per file."""
-    return unnest_articles(
-        spark.read.schema(API_RESPONSE).option("multiLine", True).json(path)
-    )
+    """Landed API responses, one JSON document per file.
+
+    ``response`` is the file and ``pos`` the place in it; a digest of several
+    files takes ``numbered(rows, "response", "pos")``.
+    """
+    landed = spark.read.schema(API_RESPONSE).option("multiLine", True).json(path)
+    return unnest_articles(landed.select(F.col("_metadata.file_path").alias("response"), "articles"), "response")
 
 
 def parse_api_responses(payloads: DataFrame, payload: str, *keys: str) -> DataFrame:
@@ -73,15 +76,19 @@ def rss_fields(items: DataFrame, *keys: str) -> DataFrame:
 def read_rss(spark: SparkSession, path: str, limit: int = PAGE_SIZE) -> DataFrame:
     """The first ``limit`` items of each landed RSS file, in file order.
 
-    One file is one feed. Items of a file keep their order through the row
-    counter of the scan, which grows along a file.
+    One file is one feed. Items of a file keep their order through the start of
+    their part of the file and the row counter of the scan, which grows along it.
+    A digest of several files takes ``numbered(rows, "feed", "pos")``.
     """
     items = (
         spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path)
-        .select("*", F.col("_metadata.file_path").alias("feed"))
+        .select(
+            "*", F.col("_metadata.file_path").alias("feed"),
+            F.col("_metadata.file_block_start").alias("_block"),
+        )
         .withColumn("_at", F.monotonically_increasing_id())
     )
-    ranked = top_k_per_group(rss_fields(items, "feed", "_at"), ["feed"], [F.col("_at")], limit)
+    ranked = top_k_per_group(rss_fields(items, "feed", "_block", "_at"), ["feed"], [F.col("_block"), F.col("_at")], limit)
     return ranked.select("feed", (F.col("rank") - 1).cast("long").alias("pos"), *FEED_FIELDS)
 
 
