@@ -330,20 +330,21 @@ def _crossing(
     """Pairs of a tile that are in different components, were not compared yet and may be similar.
 
     The bitmaps of a tile are compared where its rows are; only pairs that they
-    do not rule out leave the task. A tile with more than ``TILE`` members is cut
+    do not rule out leave the task. The leader has met all of its tile before. A tile with more than ``TILE`` members is cut
     into blocks, and every two of its blocks meet in a task of their own.
     """
     apart = _labelled(_labelled(stars, found, "leader"), found, "doc_id").where("leader_c != doc_id_c")
     open_tiles = materialize(apart.select("tile").distinct(), "jaccard-open")
     members = stars.join(open_tiles, "tile", "left_semi")
-    everyone = members.select("tile", "doc_id").union(members.select("tile", "leader")).distinct()
+    leaders = members.select("tile", "leader", F.lit(True))
+    everyone = members.select("tile", "doc_id", F.lit(False).alias("leads")).union(leaders).distinct()
     sizes = everyone.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
     facts = signatures.where(F.col("bits").isNotNull()).select("doc_id", "n", "bits")
     placed = _labelled(everyone.join(facts, "doc_id"), found, "doc_id").join(sizes, "tile")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
-    rows = dealt.select(*keys, "block", "doc_id", F.col("doc_id_c").alias("component"), "n", "bits")
+    rows = dealt.select(*keys, "block", "doc_id", F.col("doc_id_c").alias("component"), "n", "bits", "leads")
     sorted_ = rows.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high", "doc_id")
     pairs = sorted_.mapInArrow(lambda batches: _tile_pairs(batches, bands), "a long, b long").distinct()
     return materialize(pairs.join(near, ["a", "b"], "left_anti"), "jaccard-crossing")
@@ -366,7 +367,7 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.
 
 def _pairs_of(table: pa.Table, cut: np.ndarray, bands: Bands) -> pa.RecordBatch:
     low, high, block, ids, component, n = (table.column(i).to_numpy() for i in range(1, 7))
-    bits = table.column(7).to_pylist()
+    bits, leads = table.column(7).to_pylist(), table.column(8).to_numpy(zero_copy_only=False)
     out: set[tuple[int, int]] = set()
     for start, end in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
         if (component[start:end] == component[start]).all():
@@ -374,9 +375,9 @@ def _pairs_of(table: pa.Table, cut: np.ndarray, bands: Bands) -> pa.RecordBatch:
         width = min(len(b) for b in bits[start:end])
         own = np.frombuffer(b"".join(_folded(b, width) for b in bits[start:end]), dtype=np.uint64).reshape(end - start, -1)
         crossed = low[start] != high[start]
-        for i in range(start, end - 1):
+        for i in (start + np.flatnonzero(~leads[start : end - 1])).tolist():
             rest = slice(i + 1, end)
-            keep = component[rest] != component[i]
+            keep = (component[rest] != component[i]) & ~leads[rest]
             if crossed:
                 keep &= block[rest] != block[i]
             keep &= 100 * np.minimum(n[rest], n[i]) >= bands.percent * np.maximum(n[rest], n[i])
