@@ -30,6 +30,8 @@ from newsloom.session import broadcast_if_small, materialize
 PART = 2_000_000
 CACHE_WORDS = 250_000
 BAND = 1.5
+#: Bits of a bitmap per hash of its set: the wider, the nearer its bound is to the true difference.
+WIDTH = 4
 MAX_BITS = 1 << 16
 #: Members of a tile that are compared in one task.
 TILE = 4_096
@@ -147,7 +149,7 @@ class Bands:
 def bitmap(hashes: np.ndarray) -> bytes:
     """Parities of hashed bits: two of these differ in no more bits than the sets in hashes."""
     width = 64
-    while width < len(hashes) and width < MAX_BITS:
+    while width < WIDTH * len(hashes) and width < MAX_BITS:
         width *= 2
     bits = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
