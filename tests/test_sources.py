@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from newsloom.operators.lookup import lookup
 from newsloom.operators.topk import top_k_per_group
-from newsloom.plans.digest import fetch_content
+from newsloom.plans.digest import fetch_content, with_row_id
 from newsloom.plans.harvest import harvest
 from newsloom.plans.view import cluster_markdown, cluster_view, render_blocks
 from newsloom.schema import DIGEST
 from newsloom.sinks import files as sinks
 from newsloom.sources import feeds
-from newsloom.sources.files import read_text_files, url_list
+from newsloom.sources.files import numbered, read_text_files, url_list
 from newsloom.sources.pages import fetch_text
 
 FEED_SCHEMA = "pos long, title string, url string, source string, author string, publishedAt string"
@@ -25,7 +25,7 @@ def test_api_response(spark, tmp_path):
     ]
     (tmp_path / "a.json").write_text(json.dumps({"status": "ok", "articles": articles}, indent=1))
     (tmp_path / "b.json").write_text(json.dumps({"status": "ok", "articles": []}))
-    rows = feeds.read_api_responses(spark, str(tmp_path)).orderBy("pos").collect()
+    rows = feeds.read_api_responses(spark, str(tmp_path)).orderBy("pos").drop("response").collect()
     assert [tuple(r) for r in rows] == [
         (0, "T", "u", "S", "A", "D"),
         (1, "No title", "#", "Unknown", "Unknown", "Unknown"),
@@ -33,6 +33,21 @@ def test_api_response(spark, tmp_path):
     ]
 
 
+def test_rows_of_several_files_get_ids_of_their_own(spark, tmp_path):
+    for name in "ab":
+        articles = [{"title": f"{name}{i}", "url": f"u{i}"} for i in range(3)]
+        (tmp_path / f"{name}.json").write_text(json.dumps({"status": "ok", "articles": articles}))
+        (tmp_path / f"{name}.txt").write_text(f"text {name}")
+    entries = numbered(
+        feeds.read_api_responses(spark, f"{tmp_path}/*.json").withColumn("path_ord", F.lit(0)), "response", "pos"
+    )
+    rows = with_row_id(entries).orderBy("id").collect()
+    assert [r["title"] for r in rows] == ["a0", "a1", "a2", "b0", "b1", "b2"]
+    assert len({r["id"] for r in rows}) == 6
+    texts = numbered(read_text_files(spark, str(tmp_path)), "file").orderBy("pos").collect()
+    assert [r["content"] for r in texts] == ["text a", "text b"] and texts[0]["pos"] < texts[1]["pos"]
+
+
 def test_rss(spark, tmp_path):
     items = "".join(
         f"<item><title>t{i}</title><link>l{i}</link>"
