@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact check.
 
-A window that is similar to an item shares a shingle with it, and a shared
-shingle says where the window starts. So the fingerprints are made for the
-item-sized windows that shared shingles point to, which loses no similar window.
+A window that is similar to an item shares shingles with it. Slid right to the
+first of them it loses none, so the windows that start at a shared shingle, or
+last in the text, hold the most similar one wherever the parts of the item stand.
+Those with enough shared shingles to reach the threshold get fingerprints.
 """
 
 from __future__ import annotations
@@ -64,6 +65,17 @@ def _common() -> Column:
     )
 
 
+def _last_common() -> Column:
+    """Place of the last shingle of the window that adds to the common ones.
+
+    A shingle adds to them until the item's multiplicity of it is used up.
+    """
+    return F.expr(
+        "array_max(filter(sequence(0, size(w_hashes) - 1), j -> array_contains(i_hashes, w_hashes[j]) and "
+        "size(filter(slice(w_hashes, 1, j + 1), x -> x = w_hashes[j])) <= size(filter(i_hashes, x -> x = w_hashes[j]))))"
+    )
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int = PERCENT, radius: int = RADIUS
 ) -> DataFrame:
@@ -80,38 +92,57 @@ def leaks(
         .withColumn("i_print", fingerprint("hashes")).withColumnRenamed("hashes", "i_hashes"),
         "leaks-items",
     )
-    places = items.select("item_id", F.size("i_hashes").alias("n"), F.posexplode("i_hashes").alias("at", "h"))
-    found = with_shingles(docs, "doc_id", k).select("doc_id", F.size("hashes").alias("m"), F.posexplode("hashes").alias("pos", "h"))
+    places = items.select("item_id", F.size("i_hashes").alias("n"), F.explode(F.array_distinct("i_hashes")).alias("h"))
+    found = with_shingles(docs, "doc_id", k).select(
+        "doc_id", F.xxhash64("hashes").alias("version"), F.size("hashes").alias("m"), F.posexplode("hashes").alias("pos", "h")
+    )
+    # Rows that share a doc_id but not the text are told apart by ``version``.
+    shared = found.join(broadcast_if_small(places), "h").groupBy("doc_id", "version", "item_id", "m", "n").agg(
+        F.array_sort(F.collect_set("pos")).alias("spots")
+    )
+    # A window of least(m, n) shingles reaches the threshold with so many common ones, and has no more than shared spots.
+    need = F.ceil((F.least("m", "n") + F.col("n")) * percent / F.lit(100 + percent) - 1e-9).cast("int")
     last = F.greatest(F.lit(0), F.col("m") - F.col("n"))
+    starts = F.transform("spots", lambda pos, i: F.struct(
+        F.least(last, pos).alias("start"),
+        F.when(i > 0, F.get("spots", i - 1)).otherwise(F.lit(-1)).alias("before"),
+        F.get("spots", i + F.col("need") - 1).alias("reach"),
+    ))
     windows = materialize(
-        found.join(broadcast_if_small(places), "h")
-        .select("doc_id", "item_id", "n", F.greatest(F.lit(0), F.least(last, F.col("pos") - F.col("at"))).alias("start"))
-        .distinct(),
+        shared.withColumn("need", need).where(F.size("spots") >= F.col("need"))
+        .select("doc_id", "version", "item_id", "n", F.inline(starts))
+        .where((F.col("before") < F.col("start")) & (F.col("reach") < F.col("start") + F.col("n")))
+        .drop("reach"),
         "leaks-windows",
     )
     holders = broadcast_if_small(windows.select("doc_id").distinct())
-    texts = with_shingles(docs.join(holders, "doc_id", "left_semi"), "doc_id", k)
-    cut = texts.join(windows, "doc_id").select(
-        "doc_id", "item_id", "start", F.slice("hashes", F.col("start") + 1, F.col("n")).alias("w_hashes")
+    texts = with_shingles(docs.join(holders, "doc_id", "left_semi"), "doc_id", k).withColumn("version", F.xxhash64("hashes"))
+    cut = texts.join(windows, ["doc_id", "version"]).select(
+        "doc_id", "version", "item_id", "start", "before", F.slice("hashes", F.col("start") + 1, F.col("n")).alias("w_hashes")
     )
     printed = materialize(
         with_once(cut, w_print=fingerprint("w_hashes")).distinct(), "leaks-prints"
     )
-    own = printed.select("doc_id", "item_id", "start", "w_print", F.inline(_blocks("w_print", radius)))
+    own = printed.select("doc_id", "version", "item_id", "start", "w_print", F.inline(_blocks("w_print", radius)))
     theirs = items.select("item_id", "i_print", F.inline(_blocks("i_print", radius)))
     near = (
         own.join(broadcast_if_small(theirs), ["item_id", "block", "bits"])
         .where(F.bit_count(F.col("w_print").bitwiseXOR(F.col("i_print"))) <= radius)
-        .select("doc_id", "item_id", "start").distinct()
+        .select("doc_id", "version", "item_id", "start").distinct()
     )
-    both = printed.join(near, ["doc_id", "item_id", "start"]).join(
+    both = printed.join(near, ["doc_id", "version", "item_id", "start"]).join(
         broadcast_if_small(items.select("item_id", "i_hashes")), "item_id"
     )
     scored = with_once(both, common=_common()).withColumn(
         "total", F.size("w_hashes") + F.size("i_hashes") - F.col("common")
     )
     kept = scored.where(F.col("common") * 100 >= F.col("total") * percent)
-    best = F.max(F.struct((F.col("common") / F.col("total")).alias("similarity"), (-F.col("start")).alias("before")))
+    # Slid left as far as it keeps its common shingles, a window is the first of its equals.
+    first = F.greatest(
+        F.lit(0), F.col("before") + 1, F.col("start") + _last_common() + 1 - F.size("i_hashes")
+    )
+    first = F.when(F.size("w_hashes") < F.size("i_hashes"), F.col("start")).otherwise(first)
+    best = F.max(F.struct((F.col("common") / F.col("total")).alias("similarity"), (-first).alias("before")))
     return kept.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
         "doc_id", "item_id", (-F.col("best.before")).alias("start_word"), F.col("best.similarity").alias("similarity")
     )

@@ -269,6 +269,40 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaks(docs(spark, texts).where("false"), bench).collect() == []
 
 
+def brute_best(text, item, k=5, percent=80):
+    """(start, similarity) of the first most similar of all item-sized windows, if it reaches the threshold."""
+    from collections import Counter
+
+    grams = [[tuple(t[i : i + k]) for i in range(len(t) - k + 1)] for t in (text.split(), item.split())]
+    n, best = len(grams[1]), (0.0, 0)
+    for s in range(max(1, len(grams[0]) - n + 1)):
+        window = Counter(grams[0][s : s + n])
+        common = sum((window & Counter(grams[1])).values())
+        best = max(best, (common / (sum(window.values()) + n - common), -s))
+    return (-best[1], best[0]) if 100 * best[0] >= percent - 1e-9 else None
+
+
+def test_leaks_of_items_with_moved_parts(spark):
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(3000)}"
+    items = [(i, [word() for _ in range(rng.choice([40, 60, 100]))]) for i in range(8)]
+    items.append((8, [f"r{i % 7}" for i in range(60)]))  # shingles that repeat
+    texts = []
+    for i in range(36):
+        copy = list(items[i % 9][1])
+        cut = rng.randrange(5, len(copy) - 5) if i >= 9 else len(copy) // 2
+        copy = copy[cut:] + copy[:cut]
+        if i % 4 == 3:
+            copy[0] = copy[-1] = word()
+        body = [word() for _ in range(rng.choice([0, 3, 80]))]
+        texts.append(" ".join([*body, *copy, *body[::-1]]))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["similarity"]) for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    want = {(d, i): b for d, t in enumerate(texts) for i, w in items if (b := brute_best(t, " ".join(w)))}
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-12 for p in want)
+
+
 # ---------------------------------------------------------------- 7 toxicity
 
 def test_kernel_tolerates_gaps():
