@@ -37,7 +37,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _DIGIT = re.compile(r"[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
-_SPELT = re.compile(r"\bat\b[\])]?\s?[\w.-]+(?:\s?[\[(]?\s?\bdot\b[\])]?\s?[\w-]+)+", re.I)
+_SPELT = re.compile(
+    r"\b[aA][tT]\b\s?[\])]?\s?(?:[\w.-]+(?:\s?[\[(]?\s?\b[dD][oO][tT]\b\s?[\])]?\s?[\w-]+)+|[\w-]+(?:\.[\w-]+)*\.[^\W\d_][\w-]*)"
+)
 _SEED = re.compile(r"[0-9](?:[0-9A-Fa-f \x20().:_-]*[0-9])?|@")
 _ATOM = re.compile(r"[^\W_]+|.", re.S)
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
@@ -86,15 +88,14 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches that may hold personal data: around '@', spelt addresses and seven digits or more."""
+    """Stretches that may hold personal data: around '@', seven digits or more, and 'at' before a host, dotted or spelt."""
     spots = []
     if "@" in text or _DIGIT.search(text):
         spots += [
             m.span() for m in _SEED.finditer(text)
             if m.group() == "@" or sum(map(str.isdigit, m.group())) >= 7
         ]
-    if "dot" in text or "DOT" in text:
-        spots += [m.span() for m in _SPELT.finditer(text)]
+    spots += [m.span() for m in _SPELT.finditer(text)]
     out: list[tuple[int, int]] = []
     for start, end in sorted(spots):
         start, end = max(0, start - REACH), min(len(text), end + REACH)

@@ -388,6 +388,25 @@ def test_crf_marginals_and_held_out():
     assert right >= 0.75 * len(made)
 
 
+def test_held_out_through_the_regions():
+    model = pii.trained()
+    made = pii.made_sentences(240, seed=31)
+    right = sum(pii.all_spans(text, model)[1] == spans for text, spans in made)
+    assert right >= 0.75 * len(made)
+    for text, spans in made:  # every e-mail address lies in a region
+        assert all(any(a <= s and e <= b for a, b in pii.regions(text)) for s, kind, e in spans if kind == 0), text
+
+
+@pytest.mark.parametrize("form", [
+    "john.doe(at)example.com", "john.doe[at]example[dot]com", "john.doe at example Dot com", "john.doe at example dot com",
+    "john.doe(AT)example.co.uk", "john.doe at example.com",
+])
+def test_spelt_addresses_are_found(form):
+    text = f"please write to {form}, thanks"
+    assert any(a <= 16 and kind == 0 and b >= 16 + len(form) for a, kind, b in pii.all_spans(text, pii.trained())[1])
+    assert "[email]" in pii.masked(text, pii.trained()) and "example" not in pii.masked(text, pii.trained())
+
+
 def test_pii_rows(spark):
     texts = [*ODD, "mail a.b@c.de or call +1 (017) 555-7713", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"']
     got = {r["doc_id"]: r for r in pii.find(docs(spark, texts)).collect()}
