@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by collision counting on single projections.
 
-Vectors and queries meet in blocks of bounded size. In a block every projection
-is a sorted array; a query's windows grow around its own values (virtual
+Vectors and queries meet in blocks of bounded size. A block holds vectors of
+similar norm, so that those left over by lifting them to equal length are short,
+and every query meets the blocks of all norms. In a block every projection is a
+sorted array; a query's windows grow around its own values (virtual
 rehashing) until enough vectors lie in the windows of enough projections, and
 those are compared exactly.
 """
@@ -13,12 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.session import materialize
+from newsloom.session import broadcast_if_small, materialize
 
 PROJECTIONS = 128
 #: A vector collides often enough in so many of the projections.
 THRESHOLD = 0.65
-#: Half width of the first windows, and their growth; in units of the longest vector.
+#: Norms of a block differ by this factor at most.
+BAND = 1.1
+#: Half width of the first windows, and their growth; in units of the longest vector of the block.
 FIRST, GROWTH = 0.9, 1.06
 #: So much of a block is compared exactly for a query, at least.
 VERIFIED = 0.2
@@ -41,9 +45,11 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 class SortedProjections:
     """One block: projections of its vectors, each as a sorted array, and the queries that meet it."""
 
-    def __init__(self, vectors: np.ndarray, queries: np.ndarray, longest: float):
+    def __init__(self, vectors: np.ndarray, queries: np.ndarray):
         self._vectors, self._queries = vectors, queries
-        rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
+        squares = (vectors**2).sum(axis=1)
+        longest = float(np.sqrt(squares.max())) * (1 + 1e-12)
+        rest = np.sqrt(np.maximum(longest**2 - squares, 0))
         axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
         values = np.c_[vectors, rest] @ axes  # equal lengths: the nearest has the largest product
         order = np.argsort(values, axis=0, kind="stable")
@@ -116,26 +122,35 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 20, every: int = 20
     of a repeated key one row counts. Every row is indexed; recall is measured in
     the tests. No group holds more than about ``BLOCK`` + ``QUERY_BLOCK`` vectors.
     """
-    data = materialize(usable(rows, key, vector), "ann-vectors")
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    data = materialize(usable(rows, key, vector).withColumn("norm", norm), "ann-vectors")
     facts = data.agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"),
-        F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("longest"),
+        F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"), F.max("norm").alias("longest")
     ).first()
-    longest = float(np.sqrt(facts["longest"] or 0.0)) * (1 + 1e-12)
-    blocks, query_blocks = max(1, -(-facts["n"] // BLOCK)), max(1, -(-(facts["q"] or 0) // QUERY_BLOCK))
-    spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = data.select("vec_id", "vector", "size", spread(blocks).alias("b"), each(query_blocks).alias("q"))
-    right = data.where(F.col("vec_id") % every == 0).select(
-        "vec_id", "vector", "size", spread(query_blocks).alias("q"), each(blocks).alias("b")
+    # Counted from the longest, so that equal norms share a band whatever their last bits.
+    band = F.floor(F.log(F.lit(facts["longest"] or 1.0) / F.col("norm") * (1 + 1e-6)) / np.log(BAND))
+    data = data.withColumn("band", band)
+    bands = materialize(
+        data.groupBy("size", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "ann-bands"
     )
+    bands = broadcast_if_small(bands)
+    query_blocks = max(1, -(-(facts["q"] or 0) // QUERY_BLOCK))
+    spread = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = data.join(bands, ["size", "band"]).select(
+        "vec_id", "vector", "size", "band", spread(F.col("blocks")).alias("b"), each(F.lit(query_blocks)).alias("q")
+    )
+    right = data.drop("band").where(F.col("vec_id") % every == 0).join(bands, "size").select(
+        "vec_id", "vector", "size", "band", spread(F.lit(query_blocks)).alias("q"), each(F.col("blocks")).alias("b")
+    )
+    right = right.toDF(*right.columns)  # columns of its own, for both sides come from ``data`` and ``bands``
 
     def search(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[np.ndarray, ...]] = []
         if len(own) and len(queries):
             ids = own["vec_id"].to_numpy()
             queries = queries.sort_values("vec_id")
-            block = SortedProjections(np.stack(own["vector"].to_numpy()), np.stack(queries["vector"].to_numpy()), longest)
+            block = SortedProjections(np.stack(own["vector"].to_numpy()), np.stack(queries["vector"].to_numpy()))
             for q, query_id in enumerate(queries["vec_id"]):
                 at = block.candidates(q)
                 near, score = block.best(q, at[ids[at] != query_id], ids, k)
@@ -143,7 +158,7 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 20, every: int = 20
         columns = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
 
-    by = ["size", "q", "b"]
+    by = ["size", "q", "band", "b"]
     met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

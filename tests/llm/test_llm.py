@@ -442,6 +442,23 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert neighbours.nearest(small.where("false"), "vec_id", "embedding").collect() == []
 
 
+def test_neighbours_recall_on_uneven_norms(spark):
+    rng = np.random.default_rng(4)
+    table = rng.standard_normal((9_000, 128))
+    table *= (rng.lognormal(0, 0.1, len(table)) / np.linalg.norm(table, axis=1))[:, None]
+    table[7] *= 8 / np.linalg.norm(table[7])  # one long outlier
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(rows, "vec_id", "embedding", every=60).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(table), 60):
+        score = table @ table[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(got) and len(got) == 150
+
+
 # ---------------------------------------------------------------- 10 licenses
 
 def test_license_rows(spark):
