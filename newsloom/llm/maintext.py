@@ -26,6 +26,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _HINT = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MAIN_ROLE = re.compile(r"\brole\s*=\s*[\"']?\s*main\b(?!-)", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 # Elements and the words of class, id and role that tell what a part of a page is for.
@@ -43,6 +44,9 @@ _NOISE = frozenset(
     "notice notices alert consent gdpr newsletter subscribe subscription popup modal share sharing social related "
     "recommended widget widgets toolbar login signup search pagination pager skip contentinfo complementary".split()
 )
+#: Words that stand before or after one of these in a compound that still names the part itself.
+_BEFORE = frozenset("site page post main global entry article blog the".split())
+_AFTER = frozenset("list area section box block bar links buttons button items item posts wrapper container inner".split())
 _CONTENT = frozenset("article main".split())
 
 
@@ -57,21 +61,41 @@ class Block:
     heading: bool
 
 
+def _names_noise(token: str) -> bool:
+    """Whether a class names a part that is noise: ``comments``, ``site-footer``, but not ``has-sidebar``."""
+    parts = [part.lower() for part in _PART.findall(token)]
+    while len(parts) > 1 and parts[0] in _BEFORE:
+        parts.pop(0)
+    while len(parts) > 1 and parts[-1] in _AFTER:
+        parts.pop()
+    return bool(parts) and all(part in _NOISE for part in parts)
+
+
 def _is_noise(attributes: str) -> bool:
     for found in _HINT.finditer(attributes):
         value = found.group(1) or found.group(2) or found.group(3) or ""
-        if any(part.lower() in _NOISE for part in _PART.findall(value)):
+        if any(map(_names_noise, value.split())):
             return True
     return False
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; what a cut-off page still has counts."""
+    """The text blocks of a page in order; what a cut-off page still has counts.
+
+    Body, main and article are no noise, nor is what holds the main element. What
+    holds an article is none either if all articles of the page would go with it
+    (comments are often articles as well).
+    """
     out: list[Block] = []
+    marks: list[frozenset[int]] = []  # per block: the elements around it that look like noise
+    around: frozenset[int] = frozenset()
+    with_main: set[int] = set()
+    with_article: set[int] = set()
+    n_marks = 0
     text: list[str] = []
     link_words = link = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, noise, article, page head
-    noise = article = head = heading = False
+    stack: list[tuple[str, frozenset[int], bool, bool]] = []  # tag, noise, article, page head
+    article = head = heading = False
 
     def close() -> None:
         nonlocal link_words
@@ -80,7 +104,8 @@ def blocks(page: str) -> list[Block]:
         text.clear()
         if joined:
             n = joined.count(" ") + 1
-            out.append(Block(joined, n, min(1.0, link_words / n), article, noise, head, heading))
+            out.append(Block(joined, n, min(1.0, link_words / n), article, False, head, heading))
+            marks.append(around)
         link_words = 0
 
     def add(piece: str) -> None:
@@ -122,7 +147,7 @@ def blocks(page: str) -> list[Block]:
                 heading = False
             if any(own == name for own, *_ in stack):
                 while stack:
-                    own, noise, article, head = stack.pop()
+                    own, around, article, head = stack.pop()
                     if own == name:
                         break
             link = 0
@@ -133,11 +158,23 @@ def blocks(page: str) -> list[Block]:
             elif name == "p":
                 heading = False
             if name not in _VOID and name not in _HEADS and name != "p":
-                stack.append((name, noise, article, head))
-                article = article or name in _CONTENT or "main" in attributes.lower() and 'role' in attributes.lower()
-                noise = noise or name in _ASIDE or _is_noise(attributes)
+                stack.append((name, around, article, head))
+                is_main = name == "main" or bool(_MAIN_ROLE.search(attributes))
+                if name == "body" or is_main:
+                    with_main |= around
+                elif name == "article":
+                    with_article |= around
+                elif name in _ASIDE or _is_noise(attributes):
+                    around |= {n_marks}
+                    n_marks += 1
+                article = article or name in _CONTENT or is_main
                 head = head or (name == "header" and not article)
     close()
+    lifted = with_main
+    if not any(block.article and not own - lifted for block, own in zip(out, marks)):
+        lifted = with_main | with_article
+    for block, own in zip(out, marks):
+        block.noise = bool(own - lifted)
     return out
 
 
@@ -218,6 +255,12 @@ LABELLED = (
     "not belong to it, even though it is long and reads well.</div>",
     "<table><tr><td>-<a href=1>a</a><td>+A page made of tables holds its sentences in cells, as this long one shows to us."
     "<td>+Another cell that has a sentence of some length, too, in it.</table>",
+    "<body class='has-sidebar'><div class='layout sidebar-right'><article class='post comments-open'><h1>+Under a theme</h1>"
+    "<p>+All that stands around this text names a sidebar or comments, and still it is the text of the page.<p>+So is this."
+    "</article></div><div class='site-footer'><p>-Who made the theme and where it can be had, in one sentence</div></body>",
+    "<body class='no-sidebar'><div class='content has-sidebar'><h1>+No article here</h1><p>+A wrapper with the name of a part "
+    "that stands beside it holds the words of this page, which are many.<p>+And these.</div><ol class='comment-list'><li>"
+    "<p>-A reader says below the text what they think of it, in more than a few words.</ol></body>",
 )
 
 

@@ -164,6 +164,25 @@ def test_main_text(spark):
     assert by[2]["text"] == by[3]["text"] == "" and by[4]["text"] == "cut off in the middle of a sentence that is long"
 
 
+@pytest.mark.parametrize("open_, close", [
+    ("<body class='has-sidebar'><article>", "</article></body>"),
+    ("<body><div class='layout sidebar-right'><article>", "</article></div></body>"),
+    ("<body><article class='post comments-open'>", "</article></body>"),
+    ("<body><form id=aspnet><main>", "</main></form></body>"),
+    ("<body><div class='sidebar'><article>", "</article></div></body>"),
+    ("<body class=ad><div class='content hasSidebar'>", "</div></body>"),
+    ("<body><nav class='main-menu' role=navigation>Home and more</nav><div role='main' class=social>", "</div></body>"),
+])
+def test_main_text_below_wrappers(open_, close):
+    text = "<h1>A title</h1><p>The first paragraph of a text that goes on for a while, as texts do.<p>The second is here, too."
+    comments = "<div class=comments><article><p>Nice text, I must say at some length, for I like it.</article></div>"
+    want = "A title The first paragraph of a text that goes on for a while, as texts do. The second is here, too."
+    assert maintext.main_text(f"<html>{open_}{text}{close}</html>", maintext.trained()) == want
+    page = f"<html>{open_}{text}{close.replace('</body>', comments + '</body>')}</html>"
+    if "layout" in open_:  # comments that are articles stay out
+        assert maintext.main_text(page, maintext.trained()) == want
+
+
 def test_tree_fits_its_table():
     tree = maintext.trained()
     for page in maintext.LABELLED:
