@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsloom.llm import decontaminate, jaccard, packing, pii, toxicity
-from newsloom.session import materialize
+from newsloom.session import broadcast_if_small, materialize
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,20 +19,38 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select(*docs.columns)
 
 
+def _numbered(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` with a number of its own for every row, written so that it stays."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked by similar shingles keep the one with the lowest doc_id.
+    """Of rows that are linked by similar shingles keep the one with the lowest doc_id.
 
-    Rows with a null doc_id are compared with nothing and stay.
+    Each row is judged by itself: rows that repeat a doc_id are compared like all
+    others, and so are rows with a null doc_id, which are kept only if no row of
+    their group has one. Texts without words are similar to nothing and stay.
     """
-    groups = jaccard.join(docs, k=5, percent=80)
-    others = groups.where("doc_id != component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    rows = _numbered(docs, "stage-group-rows")
+    groups = jaccard.join(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("_row"), "component_id")
+    linked = groups.where("_row != component_id")
+    members = materialize(
+        linked.unionByName(linked.select(F.col("component_id").alias("_row"), "component_id").distinct()), "stage-group-members"
+    )
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    first = members.join(rows.select("_row", "doc_id", "text"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    others = members.join(first.select(F.col("first._row").alias("_row")), "_row", "left_anti").select("_row")
+    return rows.join(others, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out the documents that hold a benchmark item."""
+    """Leave out the rows that hold a benchmark item, whatever their doc_id."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.drop_leaking(docs, benchmark).select(*docs.columns)
+    rows = _numbered(docs, "stage-leak-rows")
+    found = decontaminate.leaks(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark)
+    ids = materialize(found.select(F.col("doc_id").alias("_row")).distinct(), "stage-leak-ids")
+    return rows.join(broadcast_if_small(ids), "_row", "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

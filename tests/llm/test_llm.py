@@ -514,3 +514,16 @@ def test_pipeline_stages(spark):
     assert rows == want
     again = corpus_pipeline.one_of_each_group(spark, table, SF)
     assert again.count() == table.count()
+
+
+def test_pipeline_judges_every_row(spark):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 60").first()["text"]
+    same, other = "one two three four five six seven", "some other text that is like nothing else here"
+    rows = [(5, same), (3, same), (3, same), (None, same), (7, other), (None, item), (9, item), (8, ""), (8, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, table, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(3, same), (7, other), (9, item), (8, ""), (8, "")], key=str)
+    left = [tuple(r) for r in corpus_pipeline.drop_leaks(spark, table, SF).collect()]
+    assert sorted(left, key=str) == sorted([r for r in rows if r[1] != item], key=str)
