@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import (
-    decontaminate, jaccard, language, licenses, lines, maintext, neighbours, packing, pii, toxicity, urlrules,
+    decontaminate, jaccard, language, licenses, lines, maintext, neighbours, packing, pii, toxicity, urlrules, whitening,
 )
 
 
@@ -88,11 +88,16 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=16)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_language_id, op3_url_filters, op4_html_extraction, op5_jaccard_join,
         op6_decontamination, op7_toxicity, op8_pii, op9_nearest_neighbours, op10_license_scan, op12_line_dedup,
+        op13_embedding_whitening,
     )
 }
 ORACLE = {"op3_url_filters": OP3_SQL, "op10_license_scan": licenses.oracle(), "op12_line_dedup": lines.oracle()}
