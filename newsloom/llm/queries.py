@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import (
-    decontaminate, jaccard, language, licenses, lines, maintext, neighbours, packing, pii, toxicity, urlrules, whitening,
+    decontaminate, jaccard, language, licenses, lines, maintext, neighbours, packing, phrases, pii, toxicity, urlrules,
+    whitening,
 )
 
 
@@ -83,6 +84,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), least=10, inside_percent=50, first=2000)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup(_table(spark, sf_dir, "documents"), least=20, documents=3)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -96,8 +101,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_language_id, op3_url_filters, op4_html_extraction, op5_jaccard_join,
-        op6_decontamination, op7_toxicity, op8_pii, op9_nearest_neighbours, op10_license_scan, op12_line_dedup,
-        op13_embedding_whitening,
+        op6_decontamination, op7_toxicity, op8_pii, op9_nearest_neighbours, op10_license_scan, op11_phrase_collocations,
+        op12_line_dedup, op13_embedding_whitening,
     )
 }
-ORACLE = {"op3_url_filters": OP3_SQL, "op10_license_scan": licenses.oracle(), "op12_line_dedup": lines.oracle()}
+ORACLE = {
+    "op3_url_filters": OP3_SQL, "op10_license_scan": licenses.oracle(), "op11_phrase_collocations": phrases.oracle(),
+    "op12_line_dedup": lines.oracle(),
+}
