@@ -6,9 +6,12 @@ they meet in a tile: (size band, part, what the part holds). Tiles need no order
 by frequency, and a passage that many documents share does not fill them, since
 it rarely fills a part alone. Pairs from tiles pass the bound on set difference
 that the bits of their hashed bitmaps give, and then an exact intersection of
-sorted arrays. Documents with equal sets are one node, and in each tile all meet
-the lowest id only; other pairs of a tile are looked at where that leaves its
-members in more than one component.
+sorted arrays.
+
+Texts with equal sets are one node, named by the digest of the set. Only names of
+nodes go through tiles: in each, all meet its leader, the lowest. Where that leaves
+members of a leader in more than one component, the other pairs under this leader
+are compared too, each bitmap being moved once per leader and not once per tile.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.components import components
 from newsloom.llm.urlrules import MAX_BLOCKS, bloom_filter, possible
+from newsloom.operators.lookup import lookup
 from newsloom.session import broadcast_if_small, materialize
 
 #: Characters whose shingles are made at a time.
@@ -33,8 +37,10 @@ BAND = 1.5
 #: Bits of a bitmap per hash of its set: the wider, the nearer its bound is to the true difference.
 WIDTH = 4
 MAX_BITS = 1 << 16
-#: Members of a tile that are compared in one task.
+#: Members of a leader that are compared in one task.
 TILE = 4_096
+#: A tile with more nodes than this (estimated from one text in SAMPLE) finds its leader by a folded minimum.
+HOT_ROWS, SAMPLE = 1_000_000, 64
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -181,70 +187,159 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _signatures(docs: DataFrame, bands: Bands, k: int) -> DataFrame:
-    """Per document its number of shingles, a digest of the set, bitmap and tile keys.
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def _node(digest: bytes, shared: dict[bytes, int]) -> int:
+    """The name of a set: half of its digest, or a name of its own if another set has that half."""
+    return shared[digest] if digest in shared else int.from_bytes(digest[:8], "little", signed=True)
 
-    A task gives keys for the first document of each set only.
+
+def _signatures(docs: DataFrame, k: int) -> DataFrame:
+    """Per row the number, half digest (``node``) and digest of its shingles.
+
+    The bitmap is given with the first text of a set in a task's run of texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[bytes | None] = {None}
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for start, end in _groups(texts):
                 sets = shingle_sets(texts[start:end], k)
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                fresh = []
-                for i, digest in enumerate(digests):
-                    if len(sets[i]) and digest not in seen:
-                        seen.add(digest)
-                        fresh.append(i)
-                tiles: list = [None] * len(sets)
-                bits: list = [None] * len(sets)
-                for i, keys in zip(fresh, bands.tiles([sets[i] for i in fresh])):
-                    tiles[i] = keys.view(np.int64)
-                    bits[i] = bitmap(sets[i])
+                digests = [_digest(s) if len(s) else None for s in sets]
+                bits: list[bytes | None] = []
+                for digest, found in zip(digests, sets):
+                    bits.append(None if digest in seen else bitmap(found))
+                    seen.add(digest)
+                if len(seen) > CACHE_WORDS:
+                    seen = {None}
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(start, end - start), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(digests, pa.binary()), pa.array(bits, pa.binary()),
-                        pa.array(tiles, pa.list_(pa.int64())),
+                        *(batch.column(i).slice(start, end - start) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([d and _node(d, {}) for d in digests], pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()),
                     ],
-                    ["doc_id", "n", "digest", "bits", "tiles"],
+                    ["doc_id", "text_hash", "n", "node", "digest", "bits"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, digest binary, bits binary, tiles array<long>"
-    )
+    rows = docs.select("doc_id", "text_hash", "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, node long, digest binary, bits binary")
+
 
+def _named(signatures: DataFrame) -> tuple[DataFrame, dict[bytes, int]]:
+    """``signatures`` with a ``node`` of its own for each set, and the digests whose name is not their half.
+
+    Of digests with the same half all but the lowest get another name: the first free
+    one after it. N sets give about N * N / 2 ** 65 of them.
+    """
+    met = (
+        signatures.where("n > 0").groupBy("node").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+        .where("low != high").select("node")
+    )
+    rows = signatures.join(met, "node", "left_semi").select("node", "digest").distinct().orderBy("node", "digest").collect()
+    taken, shared = {r["node"] for r in rows}, {}
+    for before, row in zip(rows, rows[1:]):
+        if row["node"] == before["node"]:
+            name = int.from_bytes(hashlib.blake2b(bytes(row["digest"]), digest_size=8).digest(), "little", signed=True)
+            while name in taken:
+                name += 1
+            taken.add(name)
+            shared[bytes(row["digest"])] = name
+    if not shared:
+        return signatures, shared
+    own = signatures.sparkSession.createDataFrame([(bytearray(d), i) for d, i in shared.items()], "digest binary, own long")
+    named = signatures.join(broadcast_if_small(own), "digest", "left")
+    return named.withColumn("node", F.coalesce("own", "node")).drop("own"), shared
+
+
+def _sets(docs: DataFrame, k: int, shared: dict[bytes, int], columns, schema: str) -> DataFrame:
+    """What ``columns`` makes of the node names and sets of texts, each set once per task's run of texts."""
 
-def _arrays(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).to_pylist()
             for start, end in _groups(texts):
-                arrays = [s.tobytes() for s in shingle_sets(texts[start:end], k)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start), pa.array(arrays, pa.large_binary()).cast(pa.binary())],
-                    ["doc_id", "hashes"],
-                )
+                nodes, sets = [], []
+                for found in shingle_sets(texts[start:end], k):
+                    digest = _digest(found)
+                    if len(found) and digest not in seen:
+                        if len(seen) >= CACHE_WORDS:
+                            seen.clear()
+                        seen.add(digest)
+                        nodes.append(_node(digest, shared))
+                        sets.append(found)
+                yield pa.RecordBatch.from_arrays(columns(nodes, sets), names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return docs.select("text").mapInArrow(run, schema)
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes binary")
+def _tiles(docs: DataFrame, k: int, shared: dict[bytes, int], bands: Bands) -> DataFrame:
+    def columns(nodes, sets):
+        keys = bands.tiles(sets)
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        return [pa.array(flat.view(np.int64)), pa.array(np.repeat(np.asarray(nodes, np.int64), [len(own) for own in keys]))]
 
+    return _sets(docs, k, shared, columns, "tile long, node long")
 
-def _side(table: DataFrame, name: str, *columns: str) -> DataFrame:
-    return table.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
+def _arrays(docs: DataFrame, k: int, shared: dict[bytes, int]) -> DataFrame:
+    def columns(nodes, sets):
+        return [pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())]
 
-def _possible(pairs: DataFrame, signatures: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps do not rule out."""
-    narrow = signatures.where(F.col("bits").isNotNull())
+    return _sets(docs, k, shared, columns, "node long, hashes binary")
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by tile and node those of a tile's leader, its first node, with each other node."""
+    tile, leader = None, None
+    for batch in batches:
+        tiles, nodes = (batch.column(i).to_numpy() for i in range(2))
+        if not len(tiles):
+            continue
+        first = np.r_[tile is None or tiles[0] != tile, tiles[1:] != tiles[:-1]]
+        heads = nodes[first]
+        run = np.cumsum(first)
+        leaders = np.r_[np.asarray([leader if leader is not None else 0], np.int64), heads][run]
+        tile, leader = int(tiles[-1]), int(leaders[-1])
+        other = leaders != nodes
+        yield pa.RecordBatch.from_arrays([pa.array(leaders[other]), pa.array(nodes[other])], ["a", "b"])
+
+
+def _near(docs: DataFrame, k: int, shared: dict[bytes, int], bands: Bands) -> DataFrame:
+    """(a, b): nodes b that share a tile with its leader a. Rows of a tile are streamed, not held."""
+    tiles = _tiles(docs, k, shared, bands)
+    some = docs.where(F.pmod(F.col("text_hash"), F.lit(SAMPLE)) == 0)
+    counted = _tiles(some, k, shared, bands).groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(counted.where(F.col("n") * SAMPLE > HOT_ROWS).select("tile"), "jaccard-hot")
+    parts = []
+    if not hot.isEmpty():  # their leader is a minimum that folds before the shuffle
+        few = broadcast_if_small(hot)
+        rows = materialize(tiles.join(few, "tile"), "jaccard-hot-rows")
+        lowest = materialize(rows.groupBy("tile").agg(F.min("node").alias("a")), "jaccard-hot-leaders")
+        parts.append(rows.join(broadcast_if_small(lowest), "tile").where("a != node").select("a", F.col("node").alias("b")))
+        tiles = tiles.join(few, "tile", "left_anti")
+    sorted_ = tiles.repartition("tile").sortWithinPartitions("tile", "node")
+    parts.append(sorted_.mapInArrow(_led, "a long, b long"))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return materialize(both.distinct(), "jaccard-near")
+
+
+def _facts(nodes: DataFrame, name: str, *columns: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) that sizes and then bitmaps do not rule out."""
     p = bands.percent
-    sized = (
-        pairs.join(_side(narrow, "a", "n", "bits"), "a").join(_side(narrow, "b", "n", "bits"), "b")
-        .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * p)
-        .select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    sized = materialize(
+        lookup(lookup(pairs, _facts(nodes, "a", "n"), "a", "b"), _facts(nodes, "b", "n"), "b", "a")
+        .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * p),
+        "jaccard-sized",
     )
+    drawn = lookup(lookup(sized, _facts(nodes, "a", "bits"), "a", "b"), _facts(nodes, "b", "bits"), "b", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,16 +348,20 @@ def _possible(pairs: DataFrame, signatures: DataFrame, bands: Bands) -> DataFram
             keep = [least_difference(x, y) <= d for x, y, d in zip(left, right, allowed.tolist())]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return sized.mapInArrow(run, "a long, b long")
+    found = drawn.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return materialize(found, "jaccard-possible")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, shared: dict[bytes, int]) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by intersecting their sorted arrays."""
-    wanted = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-wanted")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = materialize(nodes.join(ends, "node", "left_semi").select("node", "text_hash"), "jaccard-wanted")
     blocks = MAX_BLOCKS  # a filter of fixed size keeps nearly all other texts from being moved
-    held = possible(docs.select("doc_id", "text"), "doc_id", bloom_filter(wanted, "doc_id", blocks), blocks)
-    arrays = materialize(_arrays(held.join(wanted, "doc_id", "left_semi"), k), "jaccard-arrays")
-    both = _side(arrays, "a", "hashes").join(broadcast_if_small(pairs), "a").join(_side(arrays, "b", "hashes"), "b")
+    texts = wanted.select("text_hash").distinct()
+    held = possible(docs.select("text_hash", "text"), "text_hash", bloom_filter(texts, "text_hash", blocks), blocks)
+    once = held.join(broadcast_if_small(texts), "text_hash", "left_semi")
+    arrays = materialize(_arrays(once, k, shared).join(broadcast_if_small(wanted.select("node")), "node", "left_semi"), "jaccard-arrays")
+    both = _facts(arrays, "a", "hashes").join(broadcast_if_small(pairs), "a").join(_facts(arrays, "b", "hashes"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,87 +372,44 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
+    found = both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
+    return materialize(found.distinct(), "jaccard-links")
 
 
-def _labelled(nodes: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """``nodes`` with the component of column ``name`` so far (itself if alone)."""
+def _labelled(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the component of column ``name`` so far (itself if alone)."""
     own = found.select(F.col("id").alias(name), F.col("component").alias(f"{name}_c"))
-    return nodes.join(own, name, "left").withColumn(f"{name}_c", F.coalesce(f"{name}_c", name))
+    return rows.join(own, name, "left").withColumn(f"{name}_c", F.coalesce(f"{name}_c", name))
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Group ``docs`` (doc_id, text) by Jaccard similarity of their ``k``-word shingles.
+def _crossing(near: DataFrame, found: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs under one leader that are in different components and that bitmaps do not rule out.
 
-    Two documents link when 100 * intersection >= ``percent`` * union of their
-    sets. Returns ``doc_id, n_shingles, component_id`` with the lowest doc_id that
-    links reach, the document itself included. Null and empty texts, and texts of
-    white space, have no shingles and stay alone. Rows with a null doc_id are left
-    out; a repeated doc_id counts as one document and gives one row (its texts are
-    expected to be equal). Other columns are ignored, an empty table gives no rows.
+    Two nodes of a tile are both under its leader. The bitmaps are compared where the
+    rows of a leader are; only pairs that they do not rule out leave the task. The
+    leader itself has met all of its members before. A leader with more than ``TILE``
+    members has them cut into blocks, and every two of its blocks meet in a task of
+    their own.
     """
-    bands = Bands(percent)
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
-    signatures = materialize(_signatures(docs, bands, k), "jaccard-signatures")
-    nodes = materialize(_nodes(signatures), "jaccard-nodes")
-    tiles = signatures.where(F.col("tiles").isNotNull()).select(F.explode("tiles").alias("tile"), "doc_id")
-    lowest = F.min("doc_id").over(Window.partitionBy("tile"))
-    stars = materialize(
-        tiles.withColumn("leader", lowest).where("leader != doc_id"), "jaccard-stars"
+    labelled = materialize(_labelled(_labelled(near, found, "a"), found, "b"), "jaccard-labelled")
+    sizes = labelled.groupBy("a").agg(
+        F.max(F.col("a_c") != F.col("b_c")).alias("open"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"),
+        F.min("b_c").alias("low_c"), F.max("b_c").alias("high_c"),
     )
-    copies = nodes.where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    near = stars.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    carriers = signatures.where(F.col("tiles").isNotNull()).select("doc_id")
-    held = copies.join(carriers.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b")
-    links = materialize(_verified(materialize(_possible(near, signatures, bands), "jaccard-possible"), docs, k, percent), "jaccard-links")
-    known = links.unionByName(held)
-    found = components(known)
-    rest = _crossing(stars, found, near, signatures, bands)
-    if not rest.isEmpty():
-        more = materialize(_verified(rest, docs, k, percent), "jaccard-links")
-        found = components(known.unionByName(more))
-    joined = nodes.join(found.withColumnRenamed("id", "node"), "node", "left")
-    lowest_id = F.min("doc_id")
-    groups = joined.withColumn("group", F.coalesce("component", "node"))
-    names = groups.groupBy("group").agg(lowest_id.alias("component_id"))
-    return groups.join(names, "group").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-
-
-def _nodes(signatures: DataFrame) -> DataFrame:
-    """(doc_id, n, node): the node of a document is the lowest id with the same set."""
-    rows = signatures.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("digest").alias("digest"))
-    lowest = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    return rows.join(lowest, "digest", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node"))
-
-
-def _crossing(
-    stars: DataFrame, found: DataFrame, near: DataFrame, signatures: DataFrame, bands: Bands
-) -> DataFrame:
-    """Pairs of a tile that are in different components, were not compared yet and may be similar.
-
-    The bitmaps of a tile are compared where its rows are; only pairs that they
-    do not rule out leave the task. The leader has met all of its tile before. A tile with more than ``TILE`` members is cut
-    into blocks, and every two of its blocks meet in a task of their own.
-    """
-    apart = _labelled(_labelled(stars, found, "leader"), found, "doc_id").where("leader_c != doc_id_c")
-    open_tiles = materialize(apart.select("tile").distinct(), "jaccard-open")
-    members = stars.join(open_tiles, "tile", "left_semi")
-    leaders = members.select("tile", "leader", F.lit(True))
-    everyone = members.select("tile", "doc_id", F.lit(False).alias("leads")).union(leaders).distinct()
-    sizes = everyone.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
-    facts = signatures.where(F.col("bits").isNotNull()).select("doc_id", "n", "bits")
-    placed = _labelled(everyone.join(facts, "doc_id"), found, "doc_id").join(sizes, "tile")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
-    rows = dealt.select(*keys, "block", "doc_id", F.col("doc_id_c").alias("component"), "n", "bits", "leads")
-    sorted_ = rows.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high", "doc_id")
+    several = materialize(sizes.where("open AND low_c != high_c").select("a", "blocks"), "jaccard-open")
+    members = lookup(labelled.select("a", "b", "b_c"), several, "a", "b")
+    drawn = lookup(members, _facts(nodes, "b", "n", "bits"), "b", "a")
+    block = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
+    dealt = drawn.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = [F.col("a"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
+    rows = dealt.select(*keys, "block", "b", "b_c", "n_b", "bits_b")
+    sorted_ = rows.repartition("a", "low", "high").sortWithinPartitions("a", "low", "high", "n_b", "b")
     pairs = sorted_.mapInArrow(lambda batches: _tile_pairs(batches, bands), "a long, b long").distinct()
-    return materialize(pairs.join(near, ["a", "b"], "left_anti"), "jaccard-crossing")
+    return materialize(pairs, "jaccard-crossing")
 
 
 def _tile_pairs(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
-    """The possible pairs of each run of rows with the same tile, low and high block."""
+    """The possible pairs of each run of rows with the same leader, low and high block."""
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -369,24 +425,92 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.
 
 def _pairs_of(table: pa.Table, cut: np.ndarray, bands: Bands) -> pa.RecordBatch:
     low, high, block, ids, component, n = (table.column(i).to_numpy() for i in range(1, 7))
-    bits, leads = table.column(7).to_pylist(), table.column(8).to_numpy(zero_copy_only=False)
+    bits = table.column(7).to_pylist()
     out: set[tuple[int, int]] = set()
     for start, end in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
-        if (component[start:end] == component[start]).all():
-            continue
-        width = min(len(b) for b in bits[start:end])
-        own = np.frombuffer(b"".join(_folded(b, width) for b in bits[start:end]), dtype=np.uint64).reshape(end - start, -1)
-        crossed = low[start] != high[start]
-        for i in (start + np.flatnonzero(~leads[start : end - 1])).tolist():
-            rest = slice(i + 1, end)
-            keep = (component[rest] != component[i]) & ~leads[rest]
-            if crossed:
-                keep &= block[rest] != block[i]
-            keep &= 100 * np.minimum(n[rest], n[i]) >= bands.percent * np.maximum(n[rest], n[i])
-            at = np.flatnonzero(keep) + i + 1
-            if len(at):
-                differ = np.bitwise_count(own[at - start] ^ own[i - start]).sum(axis=1)
-                for j in at[differ <= bands.allowed(n[at], n[i])].tolist():
-                    out.add((int(ids[i]), int(ids[j])))
+        own = slice(start, end)
+        blocks = block[own] if low[start] != high[start] else None
+        for i, j in _similar_bits(bits[own], n[own], component[own], blocks, bands):
+            a, b = int(ids[start + i]), int(ids[start + j])
+            out.add((min(a, b), max(a, b)))
     a, b = zip(*sorted(out)) if out else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _similar_bits(bits, n, component, blocks, bands: Bands) -> Iterator[tuple[int, int]]:
+    """Places of rows, sorted by ``n``, whose sizes and bitmaps allow them to be similar, in different components.
+
+    With ``blocks`` also in different blocks. Wider bitmaps come after narrower ones,
+    as the width goes by ``n``; each width has the later ones folded to it. A fold to
+    four words tells most pairs of wide bitmaps apart.
+    """
+    if (component == component[0]).all():
+        return
+    widths = np.fromiter(map(len, bits), np.int64, len(bits))
+    last = np.searchsorted(n, n * 100 // bands.percent, side="right")
+    for width in np.unique(widths).tolist():
+        first = int(np.argmax(widths >= width))
+        rows = np.frombuffer(b"".join(_folded(b, width) for b in bits[first:]), np.uint64).reshape(len(bits) - first, -1)
+        short = np.bitwise_xor.reduce(rows.reshape(len(rows), -1, 4), axis=1) if width > 32 else None
+        for i in np.flatnonzero(widths == width).tolist():
+            keep = component[i + 1 : last[i]] != component[i]
+            if blocks is not None:
+                keep &= blocks[i + 1 : last[i]] != blocks[i]
+            at = np.flatnonzero(keep) + i + 1
+            if not len(at):
+                continue
+            allowed = bands.allowed(n[at], n[i])
+            if short is not None:
+                near = np.bitwise_count(short[at - first] ^ short[i - first]).sum(axis=1) <= allowed
+                at, allowed = at[near], allowed[near]
+            differ = np.bitwise_count(rows[at - first] ^ rows[i - first]).sum(axis=1)
+            for j in at[differ <= allowed].tolist():
+                yield i, j
+
+
+def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component`` of every row of ``docs`` (doc_id, text).
+
+    Rows whose texts are linked by similar sets (see ``join``) have the same
+    ``component``; it is null for texts without shingles. ``text_hash`` is Spark's
+    xxhash64 of the text. A row is judged by its text alone, so rows that repeat a
+    doc_id, or have none, are compared like all others.
+    """
+    bands = Bands(percent)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    named, shared = _named(materialize(_signatures(rows, k), "jaccard-signatures"))
+    some = named.where("n > 0")
+    picked = F.max(F.struct(F.col("bits").isNotNull(), "text_hash", "bits")).alias("one")
+    nodes = materialize(
+        some.groupBy("node").agg(F.max("n").alias("n"), picked).select("node", "n", "one.text_hash", "one.bits"), "jaccard-nodes"
+    )
+    near = _near(rows, k, shared, bands)
+    links = _verified(_possible(near, nodes, bands), rows, nodes, k, percent, shared)
+    found = components(links)
+    rest = _crossing(near, found, nodes, bands)
+    if not rest.isEmpty():
+        more = _verified(_possible(rest, nodes, bands), rows, nodes, k, percent, shared)
+        found = components(links.unionByName(more))
+    linked = found.select(F.col("id").alias("node"), "component")
+    given = named.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    return lookup(given, nodes.select("node").join(linked, "node", "left"), "node", "doc_id", "left").select(
+        "doc_id", "text_hash", "n_shingles", F.coalesce("component", "node").alias("component")
+    )
+
+
+def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Group ``docs`` (doc_id, text) by Jaccard similarity of their ``k``-word shingles.
+
+    Two rows link when 100 * intersection >= ``percent`` * union of their sets.
+    Returns ``doc_id, n_shingles, component_id`` of every row: the lowest doc_id that
+    links reach, the row's own included. Null and empty texts, and texts of white
+    space, have no shingles and stay alone. Each row is a document: rows that repeat a
+    doc_id are linked by their own texts, and rows without one are linked like others
+    (their component_id is null only if no row they reach has an id). Other columns
+    are ignored, an empty table gives no rows.
+    """
+    rows = materialize(classes(docs, k, percent), "jaccard-classes")
+    lowest = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("lowest"))
+    return lookup(rows, lowest, "component", "doc_id", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id")
+    )

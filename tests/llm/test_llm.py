@@ -235,7 +235,41 @@ def test_jaccard_odd_tables(spark):
     table = docs(spark, ["a b c d e f"] * 2)
     assert jaccard.join(table.where("false")).collect() == []
     again = table.unionByName(table).unionByName(table.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
-    assert sorted(tuple(r) for r in jaccard.join(again).collect()) == [(0, 2, 0), (1, 2, 0)]
+    assert sorted(map(tuple, jaccard.join(again).collect()), key=str) == [(0, 2, 0), (0, 2, 0), (1, 2, 0), (1, 2, 0), (None, 2, 0)]
+
+
+def test_jaccard_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, c), (None, c + " end"), (None, "no partner at all here"), (None, ""), (5, None)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [(1, 26, 1), (1, 26, 1), (2, 26, 1), (3, 26, 1), (4, 26, 4), (None, 27, 4), (None, 1, None), (None, 0, None), (5, 0, 5)], key=str
+    )
+
+
+def test_jaccard_hot_tiles_find_the_same_groups(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(80)] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(copy))
+    want = brute_groups(texts, 5, 80)
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 3)
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    assert sorted(map(tuple, jaccard.join(docs(spark, texts)).collect())) == want
+
+
+def test_jaccard_sets_with_one_half_digest_get_names_of_their_own(spark):
+    half = int.from_bytes(b"12345678", "little")
+    rows = [(i, 0, 5, half, bytearray(d), None) for i, d in enumerate([b"12345678aaaaaaaa", b"12345678bbbbbbbb", b"12345678bbbbbbbb"])]
+    schema = "doc_id long, text_hash long, n long, node long, digest binary, bits binary"
+    named, shared = jaccard._named(spark.createDataFrame([*rows, (9, 0, 0, None, None, None)], schema))
+    nodes = {r["doc_id"]: r["node"] for r in named.collect()}
+    assert nodes[0] == half != nodes[1] == nodes[2] == shared[b"12345678bbbbbbbb"] and nodes[9] is None
+    assert jaccard._node(b"12345678bbbbbbbb", shared) == nodes[1] and jaccard._node(b"12345678aaaaaaaa", shared) == half
 
 
 def test_components_of_paths_and_stars(spark):
@@ -525,5 +559,11 @@ def test_pipeline_judges_every_row(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, table, SF).collect()]
     assert sorted(kept, key=str) == sorted([(3, same), (7, other), (9, item), (8, ""), (8, "")], key=str)
+    clash = table.selectExpr("doc_id", "text", "'keep' AS row", "'a' AS _row", "1 AS one", "2L AS own", "'h' AS text_hash", "7.5 AS score", "3 AS component", "9 AS predicted")
+    more = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, clash, SF).collect()]
+    assert sorted(r[:2] for r in more if r[1] == same) == [(3, same)] and {r[2:] for r in more} == {tuple(clash.first())[2:]} and len(more) == 5
+    assert {r[2:] for r in map(tuple, corpus_pipeline.drop_leaks(spark, clash, SF).collect())} == {tuple(clash.first())[2:]}
+    clean = corpus_pipeline.drop_toxic(spark, clash, SF)
+    assert clean.columns == clash.columns and {r[2:] for r in map(tuple, clean.collect())} == {tuple(clash.first())[2:]}
     left = [tuple(r) for r in corpus_pipeline.drop_leaks(spark, table, SF).collect()]
     assert sorted(left, key=str) == sorted([r for r in rows if r[1] != item], key=str)
