@@ -10,14 +10,15 @@ from catalog.common import sql_content_tokens, table
 from newsloom.functions.text import content_tokens
 from newsloom.functions.vectors import cosine, euclidean
 from newsloom.operators.cluster import (
-    MAX_CLUSTERS, MIN_CLUSTERS, array_features, best_k, centroids, choose_k, kmeans,
+    MAX_CLUSTERS, MIN_CLUSTERS, SEED, array_features, best_k, centroids, choose_k, kmeans,
     nearest_centroid, representatives,
 )
 from newsloom.operators.embed import DIMENSIONS, embed
 from newsloom.operators.silhouette import mean_silhouettes_squared, silhouette
+from newsloom.operators.kmeans import BITS, OVERSAMPLING, ROUNDS, SEED_ROUNDS
 from newsloom.operators.similar import filter_similar, filter_similar_topics
-from newsloom.operators.tfidf import TfidfSpace
-from newsloom.operators.topics import cluster_topics, primary_topics
+from newsloom.operators.tfidf import VOCABULARY, TfidfSpace
+from newsloom.operators.topics import MAX_TOPICS, ROUNDS as TOPIC_ROUNDS, TOPICS, cluster_topics, primary_topics
 from newsloom.session import broadcast_if_small, materialize
 
 DIGEST = 30  # topics of a digest: ten clusters with three each
@@ -148,7 +149,26 @@ def _articles(spark, sf_dir):
 
 def embed_texts(spark, sf_dir):
     vectors = embed(_articles(spark, sf_dir))
-    return vectors.select("id", vector_to_array("features", "float32").alias("embedding"))
+    rounded = F.transform(vector_to_array("features"), lambda x: F.round(x, 9) + F.lit(0.0))  # no negative zero
+    return vectors.select("id", rounded.alias("embedding"))
+
+
+def embed_sql(source: str, name: str = "em") -> str:
+    """CTEs ending in ``name(id, v DOUBLE[])``: the default vectors of ``source(id, content)``."""
+    return f"""
+{name}_t AS (SELECT id, md5(unnest({sql_content_tokens("coalesce(content, '')")})) AS m FROM {source}),
+{name}_r AS (SELECT id, ('0x' || substr(m, 1, 7))::BIGINT % {DIMENSIONS} AS b, sum(CASE WHEN substr(m, 8, 1) < '8' THEN 1 ELSE -1 END) AS c
+  FROM {name}_t GROUP BY id, b HAVING c <> 0),
+{name}_i AS (SELECT b, ln(((SELECT count(*) FROM {source}) + 1) / (count(*) + 1)) AS idf FROM {name}_r GROUP BY b),
+{name}_x AS MATERIALIZED (SELECT id, b, c * idf AS x FROM {name}_r JOIN {name}_i USING (b)),
+{name}_n AS (SELECT id, sqrt(sum(x * x)) AS l FROM {name}_x GROUP BY id),
+{name} AS MATERIALIZED (SELECT s.id, list(CASE WHEN l > 0 THEN coalesce(x, 0) / l ELSE 0.0 END ORDER BY d.b) AS v
+  FROM {source} s CROSS JOIN range({DIMENSIONS}) AS d(b) LEFT JOIN {name}_n n ON n.id = s.id LEFT JOIN {name}_x x ON x.id = s.id AND x.b = d.b
+  GROUP BY s.id)"""
+
+
+_TEXTS_SQL = "texts AS (SELECT doc_id AS id, text AS content FROM documents)"
+EMBED_SQL = f"WITH {_TEXTS_SQL}, {embed_sql('texts')} SELECT id, list_transform(v, lambda x: round(x, 9) + 0.0) AS embedding FROM em"
 
 
 def embed_norms(spark, sf_dir):
@@ -160,9 +180,8 @@ def embed_norms(spark, sf_dir):
 
 
 EMBED_NORMS_SQL = f"""
-SELECT doc_id AS id, {DIMENSIONS} AS dimensions,
-       CAST(len({sql_content_tokens("coalesce(text, '')")}) > 0 AS INTEGER)::DOUBLE AS length
-FROM documents"""
+WITH {_TEXTS_SQL}, {embed_sql('texts')}
+SELECT id, {DIMENSIONS} AS dimensions, CAST(list_max(list_transform(v, lambda x: abs(x))) > 0 AS INTEGER)::DOUBLE AS length FROM em"""
 
 
 def similar_keywords(spark, sf_dir):
@@ -179,14 +198,93 @@ def fit_kmeans(spark, sf_dir):
     return kmeans(points, 5).assign(points).select("id", "cluster_id")
 
 
-def kmeans_nearest(spark, sf_dir):
-    """Whether the centre of its cluster is the nearest to a row, which k-means promises."""
-    points = _points(spark, sf_dir).select("id", "features")
-    fitted = kmeans(points, 5)
-    centres = fitted.model.clusterCenters()  # five of them
-    rows = [(number, centres[index].tolist()) for index, number in fitted.numbers.items()]
-    near = nearest_centroid(points, spark.createDataFrame(rows, "cluster_id int, centroid array<double>"))
-    return fitted.assign(points).join(near, "id").select("id", (F.col("cluster_id") == F.col("nearest")).alias("own_is_nearest"))
+def kmeans_sql(source: str, ks, dimensions: int, name: str = "km") -> str:
+    """CTEs ending in ``name(k, id, cluster_id)``: k-means of ``source(id, v DOUBLE[])``, round by round.
+
+    ``name_q(id, v)`` has the points in whole numbers, ``name_l`` the places of the last centres.
+    """
+    def u(salt):
+        return f"((('0x' || substr(md5('{SEED}:{salt}:' || id), 1, 13))::BIGINT + 1) / pow(2, 52))"
+
+    k = max(ks)
+    out = [f"""
+{name}_u AS (SELECT pow(2, {BITS} - floor(log2(max(list_max(list_transform(v, lambda x: abs(x)))))) - 1) AS u FROM {source}),
+{name}_q AS MATERIALIZED (SELECT id, list_transform(v, lambda x: floor(x * u + 0.5)) AS v FROM {source}, {name}_u),
+{name}_e AS MATERIALIZED (SELECT * FROM (SELECT id, unnest(v)::BIGINT AS x, unnest(range(len(v))) AS i FROM {name}_q) WHERE x <> 0),
+{name}_s0 AS MATERIALIZED (SELECT id, v FROM {name}_q ORDER BY {u('first')}, id LIMIT 1)"""]
+    for r in range(SEED_ROUNDS):
+        out.append(f"""
+{name}_a{r} AS (SELECT q.id, min(list_distance(q.v, s.v)) ** 2 AS d FROM {name}_q q, {name}_s{r} s GROUP BY q.id),
+{name}_s{r + 1} AS MATERIALIZED (SELECT id, v FROM {name}_s{r} UNION ALL (
+  SELECT id, v FROM {name}_a{r} JOIN {name}_q USING (id) WHERE d > 0 ORDER BY -ln({u(f'round{r}')}) / d, id LIMIT {OVERSAMPLING * k}))""")
+    out.append(f"""
+{name}_w AS MATERIALIZED (SELECT id, count(*) AS n FROM (
+  SELECT s.id, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, s.v), s.id) AS r
+  FROM {name}_q q, {name}_s{SEED_ROUNDS} s) WHERE r = 1 GROUP BY id),
+{name}_p0 AS MATERIALIZED (SELECT 0 AS j, id, v FROM {name}_w JOIN {name}_q USING (id) ORDER BY -ln({u('pick0')}) / n, id LIMIT 1)""")
+    for j in range(1, k):
+        out.append(f"""
+{name}_p{j} AS MATERIALIZED (SELECT j, id, v FROM {name}_p{j - 1} UNION ALL (
+  SELECT {j}, id, v FROM (SELECT w.id, any_value(q.v) AS v, any_value(n) * min(list_distance(q.v, p.v)) ** 2 AS pull
+    FROM {name}_w w JOIN {name}_q q USING (id), {name}_p{j - 1} p GROUP BY w.id)
+  WHERE pull > 0 ORDER BY -ln({u(f'pick{j}')}) / pull, id LIMIT 1))""")
+    values = ", ".join(f"({i})" for i in ks)
+    out.append(f"""
+{name}_c0 AS MATERIALIZED (SELECT k, j, v FROM {name}_p{k - 1}, (VALUES {values}) AS t(k) WHERE j < k)""")
+    for t in range(ROUNDS):
+        last = t == ROUNDS - 1
+        out.append(f"""
+{name}_l{'' if last else t} AS MATERIALIZED (SELECT k, id, j FROM (
+  SELECT k, q.id, j, row_number() OVER (PARTITION BY k, q.id ORDER BY list_distance(q.v, c.v), j) AS r FROM {name}_q q, {name}_c{t} c) WHERE r = 1)""")
+        if not last:
+            out.append(f"""
+{name}_n{t} AS (SELECT k, j, count(*) AS n FROM {name}_l{t} GROUP BY k, j),
+{name}_m{t} AS (SELECT k, j, i, sum(x) AS total FROM {name}_l{t} JOIN {name}_e USING (id) GROUP BY k, j, i),
+{name}_c{t + 1} AS MATERIALIZED (
+  SELECT k, j, list(coalesce(total, 0)::DOUBLE / n ORDER BY d.i) AS v
+  FROM {name}_n{t} CROSS JOIN range({dimensions}) AS d(i) LEFT JOIN {name}_m{t} USING (k, j, i) GROUP BY k, j
+  UNION ALL SELECT k, j, v FROM {name}_c{t} ANTI JOIN {name}_n{t} USING (k, j))""")
+    out.append(f"""
+{name}_f AS (SELECT k, j, row_number() OVER (PARTITION BY k ORDER BY min(id)) - 1 AS cluster_id FROM {name}_l GROUP BY k, j),
+{name} AS (SELECT k, id, CAST(cluster_id AS INTEGER) AS cluster_id FROM {name}_l JOIN {name}_f USING (k, j))""")
+    return ",".join(out)
+
+
+def best_k_sql(name: str = "km") -> str:
+    """CTE ``name_scores(k, silhouette, chosen)`` of the clusterings of ``kmeans_sql``, from all distances."""
+    return f"""
+{name}_d AS (SELECT a.id, b.id AS other, list_distance(a.v, b.v) ** 2 AS d FROM {name}_q a, {name}_q b),
+{name}_sums AS (SELECT x.k, x.id, x.j AS own, y.j AS c, sum(d) AS total, count(*) AS n
+  FROM {name}_d JOIN {name}_l x USING (id) JOIN {name}_l y ON y.k = x.k AND y.id = other GROUP BY ALL),
+{name}_ab AS (SELECT k, id, max(n) FILTER (WHERE own = c) AS size, max(total) FILTER (WHERE own = c) AS within,
+  min(total / n) FILTER (WHERE own <> c) AS b FROM {name}_sums GROUP BY k, id),
+{name}_sil AS (SELECT k, CASE WHEN size = 1 THEN 0 ELSE (b - within / (size - 1)) / greatest(within / (size - 1), b) END AS s FROM {name}_ab),
+{name}_may AS (SELECT k FROM {name}_l GROUP BY k HAVING k < count(*) AND count(DISTINCT j) BETWEEN 2 AND count(*) - 1),
+{name}_scores AS MATERIALIZED (SELECT k, silhouette, row_number() OVER (ORDER BY silhouette DESC, k) = 1 AS chosen
+  FROM (SELECT k, round(avg(s), 9) AS silhouette FROM {name}_sil JOIN {name}_may USING (k) GROUP BY k))"""
+
+
+def clustered_sql(source: str) -> str:
+    """CTEs ending in ``clustered(id, cluster_id, content)`` and ``labels(cluster_id, cluster_label)`` of ``source(id, content)``."""
+    ks = range(MIN_CLUSTERS, MAX_CLUSTERS + 1)
+    return f"""
+{embed_sql(source)}, {kmeans_sql('em', ks, DIMENSIONS)}, {best_k_sql()},
+clustered AS MATERIALIZED (
+  SELECT id, cluster_id, content FROM {source} JOIN km USING (id)
+  WHERE k = coalesce((SELECT min(k) FROM km_scores WHERE chosen), {MIN_CLUSTERS})),
+{terms_sql('clustered')}, {global_units_sql('clustered')},
+c_n AS (SELECT cluster_id, count(*) AS n FROM clustered GROUP BY cluster_id),
+c_w AS (SELECT cluster_id, term, sum(w) AS total FROM unit GROUP BY cluster_id, term),
+c_m AS (SELECT cluster_id, term, coalesce(total, 0) / n AS mean FROM c_n CROSS JOIN idfs LEFT JOIN c_w USING (cluster_id, term)),
+c_r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(mean, 9) DESC, term DESC) AS r FROM c_m),
+labels AS (SELECT cluster_id, string_agg(term, ', ' ORDER BY r) AS cluster_label FROM c_r WHERE r <= 3 GROUP BY cluster_id)"""
+
+
+_VECTORS_SQL = "vectors AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
+_EMBEDDING = 64  # numbers of a test vector
+KMEANS_SQL = f"WITH {_VECTORS_SQL}, {kmeans_sql('vectors', [5], _EMBEDDING)} SELECT id, cluster_id FROM km"
+BEST_K_SQL = f"""WITH {_VECTORS_SQL}, {kmeans_sql('vectors', range(MIN_CLUSTERS, MAX_CLUSTERS + 1), _EMBEDDING)}, {best_k_sql()}
+SELECT CAST(k AS INTEGER) AS k, silhouette, chosen FROM km_scores"""
 
 
 def score_labelings(spark, sf_dir):
@@ -215,7 +313,7 @@ SELECT k, silhouette, row_number() OVER (ORDER BY silhouette DESC, k) = 1 AS cho
 def fit_best_k(spark, sf_dir):
     """The silhouette of each k, and which one was chosen."""
     fitted = choose_k(_points(spark, sf_dir).select("id", "features"))
-    rows = [(k, float(s), k == fitted.k) for k, s in sorted(fitted.scores.items())]
+    rows = [(k, round(float(s), 9), k == fitted.k) for k, s in sorted(fitted.scores.items())]
     return spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
 
 
@@ -240,6 +338,87 @@ def lda_primary(spark, sf_dir):
     return primary_topics(vectors, space)
 
 
+def terms_sql(source: str) -> str:
+    """CTE ``terms(id, cluster_id, term)`` of ``source(id, cluster_id, content)``."""
+    return f"""
+words AS (SELECT id, cluster_id, {sql_content_tokens('content')} AS w FROM {source}),
+terms AS MATERIALIZED (
+  SELECT id, cluster_id, unnest(w) AS term FROM words
+  UNION ALL
+  SELECT id, cluster_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM words)"""
+
+
+def global_units_sql(source: str) -> str:
+    """CTEs ``idfs(term, idf)`` and ``unit(id, cluster_id, term, w)``: weights of one vocabulary for all clusters."""
+    return f"""
+vocab AS (SELECT term, count(*) AS ctf, count(DISTINCT id) AS df FROM terms GROUP BY term ORDER BY ctf DESC, term LIMIT {VOCABULARY}),
+idfs AS MATERIALIZED (SELECT term, ln((1 + (SELECT count(*) FROM {source})) / (1 + df)) + 1 AS idf FROM vocab),
+tf AS (SELECT id, cluster_id, term, count(*) AS tf FROM terms GROUP BY id, cluster_id, term),
+weighted AS (SELECT id, cluster_id, term, tf * idf AS w FROM tf JOIN idfs USING (term)),
+unit AS MATERIALIZED (SELECT id, cluster_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM weighted)"""
+
+
+def own_units_sql(source: str) -> str:
+    """As ``global_units_sql`` with ``idfs(cluster_id, term, idf)``: a vocabulary for each cluster."""
+    return f"""
+counts AS (SELECT cluster_id, term, count(*) AS ctf, count(DISTINCT id) AS df FROM terms GROUP BY cluster_id, term),
+vocab AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ctf DESC, term) AS r FROM counts) WHERE r <= {VOCABULARY}),
+n AS (SELECT cluster_id, count(*) AS n FROM {source} GROUP BY cluster_id),
+idfs AS MATERIALIZED (SELECT cluster_id, term, ln((1 + n) / (1 + df)) + 1 AS idf FROM vocab JOIN n USING (cluster_id)),
+tf AS (SELECT id, cluster_id, term, count(*) AS tf FROM terms GROUP BY id, cluster_id, term),
+weighted AS (SELECT id, cluster_id, term, tf * idf AS w FROM tf JOIN idfs USING (cluster_id, term)),
+unit AS MATERIALIZED (SELECT id, cluster_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM weighted)"""
+
+
+def topics_sql(slots: str, topics: str) -> str:
+    """CTEs ending in ``topics(cluster_id, k, weight, terms)`` of ``unit``, round by round.
+
+    ``slots`` selects (cluster_id, term) of all terms of each cluster, ``topics`` (cluster_id, k) its number of topics.
+    """
+    start = f"(0.5 + ('0x' || substr(md5('{SEED}:' || i || ':' || term), 1, 13))::BIGINT / pow(2, 52))"
+    out = [f"""
+slots AS MATERIALIZED ({slots}),
+many AS MATERIALIZED (SELECT cluster_id, k, 1.0::DOUBLE / k AS more, count(*) AS v FROM slots JOIN ({topics}) USING (cluster_id) GROUP BY ALL),
+whole AS (SELECT cluster_id, term, sum(w) AS w FROM unit GROUP BY cluster_id, term),
+t_n0 AS MATERIALIZED (SELECT cluster_id, term, i, coalesce(w, 0) * ({start} / k) AS n
+  FROM slots JOIN many USING (cluster_id) LEFT JOIN whole USING (cluster_id, term), range({MAX_TOPICS}) AS r(i) WHERE i < k)"""]
+    for t in range(TOPIC_ROUNDS):
+        out.append(f"""
+t_b{t} AS MATERIALIZED (SELECT cluster_id, term, i, (n + more) / (sum(n) OVER (PARTITION BY cluster_id, i) + v * more) AS b
+  FROM t_n{t} JOIN many USING (cluster_id)),
+t_f{t} AS (SELECT id, cluster_id, i, w * b / sum(b) OVER (PARTITION BY id, term) AS g FROM unit JOIN t_b{t} USING (cluster_id, term)),
+t_p{t} AS (SELECT id, i, sum(g) + any_value(more) AS p FROM t_f{t} JOIN many USING (cluster_id) GROUP BY id, i),
+t_g{t} AS (SELECT cluster_id, term, i, w * (b * p) / sum(b * p) OVER (PARTITION BY id, term) AS g
+  FROM unit JOIN t_b{t} USING (cluster_id, term) JOIN t_p{t} USING (id, i)),
+t_s{t} AS (SELECT cluster_id, term, i, sum(g) AS n FROM t_g{t} GROUP BY cluster_id, term, i),
+t_n{t + 1} AS MATERIALIZED (SELECT cluster_id, term, i, coalesce(s.n, 0) AS n FROM t_n{t} LEFT JOIN t_s{t} s USING (cluster_id, term, i))""")
+    out.append(f"""
+t_r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, i ORDER BY round(n, 9) DESC, term DESC) AS r FROM t_n{TOPIC_ROUNDS}),
+topics AS (SELECT cluster_id, i, round(sum(n), 9) AS weight, string_agg(term, ', ' ORDER BY r) FILTER (WHERE r <= 3) AS terms
+  FROM t_r GROUP BY cluster_id, i)""")
+    return ",".join(out)
+
+
+_LANGUAGES_SQL = """
+clustered AS (
+  SELECT doc_id AS id, CAST(cluster_id AS INTEGER) AS cluster_id, text AS content
+  FROM documents JOIN (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS cluster_id
+                       FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)) USING (lang))"""
+RANKED_TOPICS_SQL = """
+ranked AS (SELECT cluster_id, list(terms ORDER BY weight DESC, terms DESC) AS l FROM topics GROUP BY cluster_id)"""
+GLOBAL_SLOTS_SQL = "SELECT cluster_id, term FROM (SELECT DISTINCT cluster_id FROM {0}), idfs"
+TOPIC_NUMBER_SQL = f"SELECT cluster_id, least({MAX_TOPICS}, count(*)) AS k FROM {{0}} GROUP BY cluster_id"
+
+LDA_PRIMARY_SQL = f"""
+WITH {_LANGUAGES_SQL}, {terms_sql('clustered')}, {global_units_sql('clustered')},
+{topics_sql(GLOBAL_SLOTS_SQL.format('clustered'), TOPIC_NUMBER_SQL.format('clustered'))}, {RANKED_TOPICS_SQL}
+SELECT cluster_id, l[1] AS primary_focus, l[2:] AS related_topics FROM ranked"""
+
+LDA_TOPICS_SQL = f"""
+WITH {_LANGUAGES_SQL}, {terms_sql('clustered')}, {own_units_sql('clustered')},
+{topics_sql('SELECT cluster_id, term FROM idfs', f'SELECT DISTINCT cluster_id, {TOPICS} AS k FROM clustered')}
+SELECT cluster_id, string_agg(terms, ' | ' ORDER BY i) AS topics FROM topics GROUP BY cluster_id"""
+
 QUERIES = {
     "silhouette": cluster_silhouette,
     "silhouette_squared": cluster_silhouette_squared,
@@ -253,7 +432,6 @@ QUERIES = {
     "embed": embed_texts,
     "embed_norms": embed_norms,
     "kmeans": fit_kmeans,
-    "kmeans_nearest": kmeans_nearest,
     "choose_k": fit_best_k,
     "lda_topics": lda_topics,
     "lda_primary": lda_primary,
@@ -268,6 +446,10 @@ ORACLE = {
     "representatives": REPRESENTATIVES_SQL,
     "similar_topics": SIMILAR_SQL,
     "score_labelings": SCORES_SQL,
+    "embed": EMBED_SQL,
     "embed_norms": EMBED_NORMS_SQL,
-    "kmeans_nearest": "SELECT vec_id AS id, true AS own_is_nearest FROM embeddings",
+    "kmeans": KMEANS_SQL,
+    "choose_k": BEST_K_SQL,
+    "lda_primary": LDA_PRIMARY_SQL,
+    "lda_topics": LDA_TOPICS_SQL,
 }

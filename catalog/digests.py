@@ -9,6 +9,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalog.clusters import (
+    GLOBAL_SLOTS_SQL, RANKED_TOPICS_SQL, TOPIC_NUMBER_SQL, clustered_sql, topics_sql,
+)
 from catalog.common import (
     LEXICON, PAGE_FEED_SQL, PAGE_URLS_SQL, feed, page_feed, page_text_sql, page_urls,
     sentiment_sql, sql_strip, summary_sql, table,
@@ -343,39 +346,41 @@ def label_all(spark, sf_dir):
     return D.cluster_and_label(articles).articles.select("id", "cluster_id", "cluster_label")
 
 
-def whole_digest(spark, sf_dir):
+def topics_of_all(spark, sf_dir):
+    """Label, main topic and related topics of the clusters of all documents."""
+    articles = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("content")
+    )
+    return D.cluster_and_label(articles).topics.select("cluster_id", "cluster_label", "primary_focus", "related_topics")
+
+
+def _digest(spark, sf_dir):
     """Latest feed entries, every document as a file, and every page as a URL."""
     pages = _pages(spark, sf_dir)
-    result = D.digest(
+    return D.digest(
         feed=latest(page_feed(spark, sf_dir)),
         files=_files(spark, sf_dir),
         urls=pages.select(F.col("page_id").alias("pos"), "url"),
         pages=pages,
         scorer=SCORER,
     )
-    return result.articles.select(*OUTPUT)
+
+
+def whole_digest(spark, sf_dir):
+    return _digest(spark, sf_dir).articles.select(*OUTPUT)
 
 
 def digest_articles(spark, sf_dir):
-    """The articles of the whole digest without their clusters, which hang on a fit."""
+    """The articles of the whole digest without their clusters."""
     return whole_digest(spark, sf_dir).select(*DIGEST_FIELDS)
 
 
-def headline_articles(spark, sf_dir):
-    return latest_headlines(spark, sf_dir).select(*DIGEST_FIELDS)
+def digest_topics(spark, sf_dir):
+    return _digest(spark, sf_dir).topics.select("cluster_id", "cluster_label", "primary_focus", "related_topics")
 
 
-_LATEST_ROWS_SQL = f"""SELECT {_FIELDS} FROM feed_rows
-WHERE pos IN (SELECT pos FROM page_feed ORDER BY "publishedAt" DESC, pos LIMIT 10)"""
-HEADLINES_SQL = f"WITH {_PAGE_MODELS_SQL}, {_FEED_ROWS_SQL} {_LATEST_ROWS_SQL}"
-DIGEST_SQL = f"""
-WITH {_PAGE_MODELS_SQL}, {_FEED_ROWS_SQL}, {_FILE_ROWS_SQL}
-{_LATEST_ROWS_SQL}
-UNION ALL SELECT {_FIELDS} FROM file_rows
-UNION ALL
-SELECT CASE WHEN page_title <> '' THEN page_title ELSE 'Untitled Article' END, url, 'External Link', 'Unknown', 'Unknown',
-       content, summary, sentiment, score
-FROM pages JOIN enriched USING (url)"""
+def headline_articles(spark, sf_dir):
+    return latest_headlines(spark, sf_dir).select(*DIGEST_FIELDS)
 
 
 def latest_headlines(spark, sf_dir):
@@ -383,6 +388,27 @@ def latest_headlines(spark, sf_dir):
     return result.articles.select(*OUTPUT)
 
 
+_LATEST_ROWS_SQL = f"""SELECT pos AS id, {_FIELDS} FROM feed_rows
+WHERE pos IN (SELECT pos FROM page_feed ORDER BY "publishedAt" DESC, pos LIMIT 10)"""
+_HEADLINE_ROWS_SQL = f"{_PAGE_MODELS_SQL}, {_FEED_ROWS_SQL}, digest_rows AS MATERIALIZED ({_LATEST_ROWS_SQL})"
+_DIGEST_ROWS_SQL = f"""
+{_PAGE_MODELS_SQL}, {_FEED_ROWS_SQL}, {_FILE_ROWS_SQL},
+digest_rows AS MATERIALIZED (
+{_LATEST_ROWS_SQL}
+UNION ALL SELECT (1::BIGINT << {D._PATH_BITS}) + pos, {_FIELDS} FROM file_rows
+UNION ALL
+SELECT (2::BIGINT << {D._PATH_BITS}) + page_id, CASE WHEN page_title <> '' THEN page_title ELSE 'Untitled Article' END, url,
+       'External Link', 'Unknown', 'Unknown', content, summary, sentiment, score
+FROM pages JOIN enriched USING (url))"""
+_CLUSTERED_ROWS_SQL = f"""
+SELECT {_FIELDS}, cluster_id, cluster_label
+FROM (SELECT * EXCLUDE (content), content FROM digest_rows) JOIN (SELECT id, cluster_id FROM clustered) USING (id) JOIN labels USING (cluster_id)"""
+_TOPICS_SQL = f"""
+{topics_sql(GLOBAL_SLOTS_SQL.format('clustered'), TOPIC_NUMBER_SQL.format('clustered'))}, {RANKED_TOPICS_SQL}
+SELECT cluster_id, cluster_label, l[1] AS primary_focus, l[2:] AS related_topics FROM ranked JOIN labels USING (cluster_id)"""
+_ALL_TEXTS_SQL = "texts AS (SELECT doc_id AS id, text AS content FROM documents)"
+
+
 QUERIES = {
     "enrich_feed": feed_rows,
     "enrich_files": file_rows,
@@ -399,6 +425,8 @@ QUERIES = {
     "model_sentiment": model_sentiment,
     "model_vectors": model_vectors,
     "cluster_and_label": label_all,
+    "cluster_and_label_topics": topics_of_all,
+    "digest_topics": digest_topics,
     "digest": whole_digest,
     "latest_headlines": latest_headlines,
     "digest_articles": digest_articles,
@@ -421,8 +449,13 @@ SELECT {_COLUMNS} FROM feed_rows UNION ALL SELECT {_COLUMNS} FROM file_rows UNIO
     "csv_roundtrip": RECORDS_SQL,
     "json_roundtrip": RECORDS_SQL,
     "digest_csv": DIGEST_CSV_SQL,
-    "digest_articles": DIGEST_SQL,
-    "headline_articles": HEADLINES_SQL,
+    "cluster_and_label": f"WITH {_ALL_TEXTS_SQL}, {clustered_sql('texts')} SELECT id, cluster_id, cluster_label FROM clustered JOIN labels USING (cluster_id)",
+    "cluster_and_label_topics": f"WITH {_ALL_TEXTS_SQL}, {clustered_sql('texts')}, {_TOPICS_SQL}",
+    "digest": f"WITH {_DIGEST_ROWS_SQL}, {clustered_sql('digest_rows')} {_CLUSTERED_ROWS_SQL}",
+    "digest_topics": f"WITH {_DIGEST_ROWS_SQL}, {clustered_sql('digest_rows')}, {_TOPICS_SQL}",
+    "latest_headlines": f"WITH {_HEADLINE_ROWS_SQL}, {clustered_sql('digest_rows')} {_CLUSTERED_ROWS_SQL}",
+    "digest_articles": f"WITH {_DIGEST_ROWS_SQL} SELECT {_FIELDS} FROM digest_rows",
+    "headline_articles": f"WITH {_HEADLINE_ROWS_SQL} SELECT {_FIELDS} FROM digest_rows",
     "landed_rows": LANDED_SQL,
     "read_text_files": TEXT_FILES_SQL,
     **MODEL_SQL,

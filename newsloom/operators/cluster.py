@@ -2,56 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.vectors import euclidean
-from newsloom.operators.silhouette import (
-    EUCLIDEAN, SQUARED, mean_silhouettes, mean_silhouettes_squared,
-)
+from newsloom.operators.kmeans import ROUNDS, fit_runs, silhouettes, squared_distances, whole, whole_points
+from newsloom.operators.silhouette import EUCLIDEAN, SQUARED, mean_silhouettes
 from newsloom.session import broadcast_if_small, materialize
 
 SEED = 42  # fixed value
 MIN_CLUSTERS, MAX_CLUSTERS = 2, 10  # fixed values
-#: Partitions of every fit. Its result depends on how rows are dealt, so they are dealt
-#: by id whatever the input; raise it for data that so many tasks cannot hold.
-FIT_PARTITIONS = 16
-PARALLEL_FITS = 4
-MAX_CENTRES = 1_000
+#: Centres that a task compares a row with at a time.
+CENTRES = 1_000
+
+
+def nearest(x: Column, centres: np.ndarray) -> Column:
+    """The place of the nearest centre to an array column, of equals the first; null without an array."""
+
+    @F.pandas_udf("int")
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            given = rows.notna()
+            found = pd.Series(pd.NA, index=rows.index, dtype="Int32")
+            if given.any():
+                found[given] = squared_distances(np.stack(rows[given].to_numpy()).astype(float), centres).argmin(axis=1)
+            yield found
+
+    return place(x)
 
 
 @dataclass
 class Clustering:
-    """A fitted k-means. ``numbers`` maps its cluster indices to our ids, which
-    follow the lowest row id; ``scores`` maps each scored k to its silhouette."""
+    """A fitted k-means. ``centres`` are in whole numbers of ``unit``; ``numbers`` maps
+    their places to our ids, which follow the lowest row id; ``scores`` maps each
+    scored k to its silhouette."""
 
-    model: KMeansModel
+    centres: np.ndarray
+    unit: float
     k: int
     numbers: dict[int, int]
     scores: dict[int, float]
 
-    def assign(self, df: DataFrame) -> DataFrame:
+    def assign(self, df: DataFrame, features: str = "features") -> DataFrame:
         """Add ``cluster_id``; row by row, so nothing is joined or shuffled."""
-        mapping = F.create_map(*[F.lit(v) for pair in self.numbers.items() for v in pair])
-        predicted = self.model.setPredictionCol("_index").transform(df)
-        return predicted.withColumn("cluster_id", mapping[F.col("_index")].cast("int")).drop("_index")
-
-
-def steady(points: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
-    """The rows dealt and sorted by ``id``: a fit on them does not depend on files or cores."""
-    return points.repartition(partitions, "id").sortWithinPartitions("id")
-
-
-def fit_kmeans(points: DataFrame, k: int, seed: int = SEED, features: str = "features"):
-    return KMeans(k=k, seed=seed, featuresCol=features).fit(points)
+        order = [place for place, _ in sorted(self.numbers.items(), key=lambda pair: pair[1])]
+        ids = F.array(*[F.lit(self.numbers.get(i)).cast("int") for i in range(len(self.centres))])
+        if len(order) == 1:
+            return df.withColumn("cluster_id", F.lit(0))
+        return df.withColumn("cluster_id", F.get(ids, nearest(whole(features, self.unit), self.centres)))
 
 
 def number_by_lowest_id(labelled: DataFrame, label: str) -> dict[int, int]:
@@ -60,23 +65,23 @@ def number_by_lowest_id(labelled: DataFrame, label: str) -> dict[int, int]:
     return {row[label]: i for i, row in enumerate(firsts)}
 
 
-def kmeans(
-    points: DataFrame, k: int, seed: int = SEED, partitions: int = FIT_PARTITIONS
-) -> Clustering:
+def _numbered(points: DataFrame, centres: np.ndarray) -> dict[int, int]:
+    return number_by_lowest_id(points.select("id", nearest(F.col("x"), centres).alias("place")), "place")
+
+
+def kmeans(points: DataFrame, k: int, seed: int = SEED, rounds: int = ROUNDS) -> Clustering:
     """K-means for a given k; ``points`` has ``id`` and ``features``."""
-    points = points.select("id", "features")
-    points = materialize(points, "points")
-    model = fit_kmeans(steady(points, partitions), k, seed)
-    labelled = model.setPredictionCol("_index").transform(points)
-    return Clustering(model, k, number_by_lowest_id(labelled, "_index"), {})
+    table, unit = whole_points(points)
+    run = fit_runs(table, [k], k, seed, rounds)[0]
+    return Clustering(run.centres, unit, k, _numbered(table, run.centres), {})
 
 
 def best_k(scores: dict[int, float], default: int) -> int:
-    """Highest score above -1; on a tie the smallest k."""
+    """Highest score above -1, to 9 places; on a tie the smallest k."""
     best, best_score = default, -1.0
     for k in sorted(scores):
-        if scores[k] > best_score:
-            best, best_score = k, scores[k]
+        if round(scores[k], 9) > best_score:
+            best, best_score = k, round(scores[k], 9)
     return best
 
 
@@ -86,50 +91,29 @@ def choose_k(
     max_clusters: int = MAX_CLUSTERS,
     seed: int = SEED,
     metric: str = SQUARED,
-    partitions: int = FIT_PARTITIONS,
+    rounds: int = ROUNDS,
 ) -> Clustering:
     """Fit every k and keep the fit with the best mean silhouette, in the given metric.
 
-    Fits run side by side. Labels of all fits go through one distance pass, and
-    the winner is kept, not fitted again.
+    All k share the passes of the fit, and one more pass scores them.
     """
-    points = points.select("id", "features")
-    n = points.count()
+    table, unit = whole_points(points)
+    n = table.count()
     if n < 2:
         raise ValueError("clustering needs at least 2 samples")
-    points = materialize(points, "points")
     candidates = list(range(min_clusters, min(max_clusters, n - 1) + 1))
-    ks = candidates or [min_clusters]
-
-    dealt = steady(points, partitions).cache()
-    try:
-        with ThreadPool(min(PARALLEL_FITS, len(ks))) as pool:
-            fit = partial(fit_kmeans, dealt, seed=seed)
-            models = pool.map(inheritable_thread_target(points.sparkSession)(fit), ks)
-        labelled = points
-        for k, model in zip(ks, models):
-            labelled = model.setPredictionCol(f"c{k}").transform(labelled)
-        labelled = materialize(labelled, "labels")
-    finally:
-        dealt.unpersist()
-
+    runs = fit_runs(table, candidates or [min_clusters], max_clusters, seed, rounds)
+    used = [run for run in runs if candidates and 2 <= int((run.counts > 0).sum()) <= n - 1]
     scores: dict[int, float] = {}
-    if candidates:
-        columns = [f"c{k}" for k in ks]
-        counts = labelled.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
-        used = [k for k in ks if 2 <= counts[f"c{k}"] <= n - 1]
-        if used and metric == EUCLIDEAN:
-            vectors = labelled.select(
-                "id", vector_to_array("features").alias("vec"),
-                F.array(*[f"c{k}" for k in used]).alias("labels"),
-            )
-            runs = [(r["run"], r["silhouette"]) for r in mean_silhouettes(vectors, n).collect()]
-        else:
-            runs = list(mean_silhouettes_squared(labelled, "features", [f"c{k}" for k in used]))
-        scores = {used[run]: score for run, score in runs}
+    if used and metric == EUCLIDEAN:
+        labels = F.array(*[nearest(F.col("x"), run.centres) for run in used])
+        vectors = materialize(table.select("id", F.transform("x", lambda v: v / F.lit(unit)).alias("vec"), labels.alias("labels")), "labels")
+        scores = {used[r["run"]].k: r["silhouette"] for r in mean_silhouettes(vectors, n).collect()}
+    elif used:
+        scores = {run.k: score for run, score in zip(used, silhouettes(table, used))}
     k = best_k(scores, min_clusters)
-    winner = models[ks.index(k)]
-    return Clustering(winner, k, number_by_lowest_id(labelled, f"c{k}"), scores)
+    winner = next(run for run in runs if run.k == k)
+    return Clustering(winner.centres, unit, k, _numbered(table, winner.centres), scores)
 
 
 def centroids(points: DataFrame, cluster: str = "cluster_id", features: str = "features") -> DataFrame:
@@ -148,29 +132,29 @@ def nearest_centroid(
 ) -> DataFrame:
     """``(id, nearest, distance)``; ties go to the lowest cluster.
 
-    Centres are as many as clusters, a parameter of the fit, so they travel inside
-    the plan; more than ``MAX_CENTRES`` are refused.
+    Centres are as many as clusters, a parameter of the fit. They reach the tasks in
+    slices of ``CENTRES``, one column of the row's best each.
     """
-    rows = centres.select(cluster, "centroid").orderBy(cluster).take(MAX_CENTRES + 1)
-    if len(rows) > MAX_CENTRES:
-        raise ValueError(f"more than {MAX_CENTRES} centres")
-    table = F.array(*[
-        F.struct(F.lit(r["centroid"]).cast("array<double>").alias("v"), F.lit(r[cluster]).alias("c"))
-        for r in rows
-    ])
-    vec = vector_to_array(features)
-    measured = points.select("id", vec.alias("_v")).withColumn(
-        "_best",
-        F.array_min(
-            F.transform(
-                table,
-                lambda t: F.struct(euclidean(F.col("_v"), t["v"]).alias("d"), t["c"].alias("c")),
-            )
-        ),
-    )
-    return measured.select(
-        "id", F.col("_best.c").alias("nearest"), F.col("_best.d").alias("distance")
-    )
+    rows = centres.select(cluster, "centroid").orderBy(cluster).collect()
+    kind = centres.schema[cluster].dataType.simpleString()
+    best = []
+    for start in range(0, len(rows), CENTRES):
+        some = rows[start : start + CENTRES]
+        table = np.asarray([r["centroid"] for r in some], float)
+        best.append(_nearest_of(vector_to_array(features), table, [r[cluster] for r in some], kind))
+    found = points.select("id", (best[0] if len(best) == 1 else F.least(*best)).alias("best"))
+    return found.select("id", F.col("best.c").alias("nearest"), F.col("best.d").alias("distance"))
+
+
+def _nearest_of(x: Column, centres: np.ndarray, ids: list, kind: str) -> Column:
+    @F.pandas_udf(f"d double, c {kind}")
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for vectors in batches:
+            rows = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, centres.shape[1]))
+            at = squared_distances(rows, centres).argmin(axis=1)
+            yield pd.DataFrame({"d": np.sqrt(((rows - centres[at]) ** 2).sum(axis=1)), "c": [ids[i] for i in at]})
+
+    return place(x)
 
 
 def representatives(

@@ -7,11 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.evaluation import ClusteringEvaluator
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.kmeans import silhouette_of, silhouette_terms
+
 SQUARED, EUCLIDEAN = "squared_euclidean", "euclidean"
 BLOCK = 2048
 
@@ -99,13 +102,44 @@ def mean_silhouettes(points: DataFrame, n: int, block: int = BLOCK) -> DataFrame
 def mean_silhouettes_squared(
     points: DataFrame, features: str, label_columns: list[str]
 ) -> Iterator[tuple[int, float]]:
-    """The squared-Euclidean form, whose cost is linear in the number of points."""
-    for run, column in enumerate(label_columns):
-        labelled = points.where(F.col(column).isNotNull())
-        evaluator = ClusteringEvaluator(
-            featuresCol=features, predictionCol=column, distanceMeasure="squaredEuclidean"
-        )
-        yield run, evaluator.evaluate(labelled)
+    """``(run, silhouette)`` of the squared-Euclidean form for several labelings at once.
+
+    One aggregate adds count, vector sum and square sum per labeling and cluster, one
+    pass over the points scores all labelings with them: the cost is linear in the
+    number of points. A null label leaves the row out of its labeling.
+    """
+    vec = vector_to_array(features)
+    pairs = F.array(*[F.struct(F.lit(i).alias("run"), F.col(c).cast("int").alias("cluster")) for i, c in enumerate(label_columns)])
+    square = F.aggregate(vec, F.lit(0.0), lambda s, v: s + v * v)
+    members = points.select(F.col(features).alias("v"), square.alias("square"), F.inline(pairs)).where("cluster IS NOT NULL")
+    rows = members.groupBy("run", "cluster").agg(
+        F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(F.col("v"))).alias("sums"), F.sum("square").alias("square")
+    ).collect()  # a row per labeling and cluster
+    stats = []
+    for run in range(len(label_columns)):
+        own = sorted((r for r in rows if r["run"] == run), key=lambda r: r["cluster"])
+        places = {r["cluster"]: i for i, r in enumerate(own)}
+        terms = silhouette_terms(np.asarray([r["n"] for r in own]), np.asarray([r["sums"] for r in own], float), np.asarray([r["square"] for r in own], float))
+        stats.append((places, terms))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, counts = np.zeros(len(stats)), np.zeros(len(stats), np.int64)
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)
+            for run, (places, terms) in enumerate(stats):
+                if len(places) < 2:
+                    continue
+                labels = batch.column(run + 1).to_pylist()
+                given = np.asarray([label is not None for label in labels], bool)
+                own = np.asarray([places[label] for label in labels if label is not None], int)
+                totals[run] += silhouette_of(x[given], own, *terms).sum()
+                counts[run] += len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(stats)), pa.int32()), pa.array(totals), pa.array(counts)], ["run", "total", "n"])
+
+    scored = points.select(vec.alias("x"), *[F.col(c).cast("int").alias(f"l{i}") for i, c in enumerate(label_columns)])
+    sums = scored.mapInArrow(score, "run int, total double, n long").groupBy("run").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    for r in sorted(sums.collect(), key=lambda r: r["run"]):
+        yield r["run"], r["total"] / r["n"] if r["n"] else float("nan")
 
 
 def silhouette(

@@ -15,7 +15,7 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.once import with_once
@@ -71,20 +71,21 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> DataFrame:
     return term_counts(docs).orderBy(F.desc("ctf"), F.asc("term")).limit(size)
 
 
-def group_weights(
-    articles: DataFrame, group: str, content: str = "content", size: int = GROUP_VOCABULARY
-) -> DataFrame:
-    """``(group, term, mean)``: mean weight per term, each group fitted alone.
+def _group_units(
+    articles: DataFrame, group: str, content: str, size: int
+) -> tuple[DataFrame, DataFrame]:
+    """``(group, term, idx, idf)`` of each group's vocabulary, ``idx`` by the order of
+    the terms, and per text ``id, group, length`` and its weights ``ws`` before scaling.
 
-    ``articles`` has ``id``, ``group`` and ``content``. Only occurrences of
-    vocabulary terms leave the scan; they are shuffled once, by text.
+    Only occurrences of vocabulary terms leave the scan; they are shuffled once, by text.
     """
     sizes = articles.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     docs = with_terms(articles, content).select("id", group, "terms")
+    place = F.row_number().over(Window.partitionBy(group).orderBy("term")) - 1  # of at most `size` terms
     vocab = (
         group_vocabulary(docs, group, size)
         .join(sizes, group)
-        .select(group, "term", idf(F.col("n"), F.col("df")).alias("idf"))
+        .select(group, "term", place.alias("idx"), idf(F.col("n"), F.col("df")).alias("idf"))
     )
     vocab = materialize(vocab, "vocabulary")
     hits = (
@@ -92,13 +93,35 @@ def group_weights(
         .join(broadcast_if_small(vocab), [group, "term"])
         .repartition("id")
     )
-    weighted = hits.groupBy("id", group, "term", "idf").agg(
+    weighted = hits.groupBy("id", group, "term", "idx", "idf").agg(
         (F.count(F.lit(1)) * F.col("idf")).alias("w")
     )
     per_doc = weighted.groupBy("id", group).agg(
-        F.collect_list(F.struct("term", "w")).alias("ws"),  # at most `size` terms
+        F.collect_list(F.struct("term", "idx", "w")).alias("ws"),  # at most `size` terms
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"),
     )
+    return vocab, per_doc
+
+
+def group_vectors(
+    articles: DataFrame, group: str, content: str = "content", size: int = GROUP_VOCABULARY
+) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary of each group, and per text ``group, idx, val``: its unit weights by ``idx``."""
+    vocab, per_doc = _group_units(articles, group, content, size)
+    unit = F.transform("ws", lambda x: x["w"] / F.col("length"))
+    vectors = per_doc.select(group, F.transform("ws", lambda x: x["idx"]).alias("idx"), unit.alias("val"))
+    return vocab, materialize(vectors, "group-vectors")
+
+
+def group_weights(
+    articles: DataFrame, group: str, content: str = "content", size: int = GROUP_VOCABULARY
+) -> DataFrame:
+    """``(group, term, mean)``: mean weight per term, each group fitted alone.
+
+    ``articles`` has ``id``, ``group`` and ``content``.
+    """
+    sizes = articles.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    _, per_doc = _group_units(articles, group, content, size)
     unit = per_doc.select(group, "length", F.explode("ws").alias("x")).select(
         group, F.col("x.term").alias("term"), (F.col("x.w") / F.col("length")).alias("w")
     )

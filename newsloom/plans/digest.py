@@ -68,9 +68,7 @@ def cluster_and_label(
 
     space = TfidfSpace(base, content)
     if space.terms:
-        vectors = materialize(
-            space.transform(clustered).select("id", "cluster_id", "tfidf"), "tfidf", "cluster_id"
-        )  # a folder per cluster, as each cluster is fitted alone
+        vectors = materialize(space.transform(clustered).select("id", "cluster_id", "tfidf"), "tfidf")
         labels = materialize(space.labels(vectors, "cluster_id"), "cluster-labels")
         topics = primary_topics(vectors, space, max_topics)
     else:
