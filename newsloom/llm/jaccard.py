@@ -9,9 +9,10 @@ that the bits of their hashed bitmaps give, and then an exact intersection of
 sorted arrays.
 
 Texts with equal sets are one node, named by the digest of the set. Only names of
-nodes go through tiles: in each, all meet its leader, the lowest. Where that leaves
-members of a leader in more than one component, the other pairs under this leader
-are compared too, each bitmap being moved once per leader and not once per tile.
+nodes go through tiles, which give each node its leaders, the lowest nodes of its
+tiles. A node is compared first with the one it shares most tiles with. Where that
+leaves a leader and its members in more than one component, all pairs under it are
+compared by their bitmaps, each being moved once per leader and not once per tile.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ WIDTH = 4
 MAX_BITS = 1 << 16
 #: Members of a leader that are compared in one task.
 TILE = 4_096
+#: Pairs of a component that a leader gives at first; 16 times as many each further time.
+LIKELIEST = 4
 #: A tile with more nodes than this (estimated from one text in SAMPLE) finds its leader by a folded minimum.
 HOT_ROWS, SAMPLE = 1_000_000, 64
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -309,7 +312,7 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(docs: DataFrame, k: int, shared: dict[bytes, int], bands: Bands) -> DataFrame:
-    """(a, b): nodes b that share a tile with its leader a. Rows of a tile are streamed, not held."""
+    """(a, b, tiles): nodes b that share so many tiles with their leader a. Rows of a tile are streamed, not held."""
     tiles = _tiles(docs, k, shared, bands)
     some = docs.where(F.pmod(F.col("text_hash"), F.lit(SAMPLE)) == 0)
     counted = _tiles(some, k, shared, bands).groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
@@ -324,7 +327,7 @@ def _near(docs: DataFrame, k: int, shared: dict[bytes, int], bands: Bands) -> Da
     sorted_ = tiles.repartition("tile").sortWithinPartitions("tile", "node")
     parts.append(sorted_.mapInArrow(_led, "a long, b long"))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return materialize(both.distinct(), "jaccard-near")
+    return materialize(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("tiles")), "jaccard-near")
 
 
 def _facts(nodes: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -334,12 +337,8 @@ def _facts(nodes: DataFrame, name: str, *columns: str) -> DataFrame:
 def _possible(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
     """The pairs (a, b) that sizes and then bitmaps do not rule out."""
     p = bands.percent
-    sized = materialize(
-        lookup(lookup(pairs, _facts(nodes, "a", "n"), "a", "b"), _facts(nodes, "b", "n"), "b", "a")
-        .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * p),
-        "jaccard-sized",
-    )
-    drawn = lookup(lookup(sized, _facts(nodes, "a", "bits"), "a", "b"), _facts(nodes, "b", "bits"), "b", "a")
+    drawn = lookup(lookup(pairs, _facts(nodes, "a", "n", "bits"), "a", "b"), _facts(nodes, "b", "n", "bits"), "b", "a")
+    drawn = drawn.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,33 +381,38 @@ def _labelled(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return rows.join(own, name, "left").withColumn(f"{name}_c", F.coalesce(f"{name}_c", name))
 
 
-def _crossing(near: DataFrame, found: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs under one leader that are in different components and that bitmaps do not rule out.
+def _crossing(
+    near: DataFrame, found: DataFrame, compared: DataFrame, nodes: DataFrame, bands: Bands, most: int
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs under one leader, itself included, that are in different components and that bitmaps do not rule out.
 
     Two nodes of a tile are both under its leader. The bitmaps are compared where the
-    rows of a leader are; only pairs that they do not rule out leave the task. The
-    leader itself has met all of its members before. A leader with more than ``TILE``
-    members has them cut into blocks, and every two of its blocks meet in a task of
-    their own.
+    rows of a leader are; only pairs that they do not rule out, and that were not
+    ``compared`` before, are left. A few links join what is alike, so of each component
+    only the ``most`` likely pairs are given, and those of its partners; leaders with
+    more are given too, to be looked at again once those are settled. A leader with more than ``TILE`` members
+    has them cut into blocks, and every two of its blocks meet in a task of their own.
     """
     labelled = materialize(_labelled(_labelled(near, found, "a"), found, "b"), "jaccard-labelled")
     sizes = labelled.groupBy("a").agg(
-        F.max(F.col("a_c") != F.col("b_c")).alias("open"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"),
-        F.min("b_c").alias("low_c"), F.max("b_c").alias("high_c"),
+        F.max(F.col("a_c") != F.col("b_c")).alias("open"), F.ceil((F.count(F.lit(1)) + 1) / TILE).cast("int").alias("blocks"), F.first("a_c").alias("a_c")
     )
-    several = materialize(sizes.where("open AND low_c != high_c").select("a", "blocks"), "jaccard-open")
-    members = lookup(labelled.select("a", "b", "b_c"), several, "a", "b")
+    several = materialize(sizes.where("open").drop("open"), "jaccard-open")
+    members = lookup(labelled.select("a", "b", "b_c"), several.select("a", "blocks"), "a", "b")
+    members = members.unionByName(several.select("a", F.col("a").alias("b"), F.col("a_c").alias("b_c"), "blocks"))
     drawn = lookup(members, _facts(nodes, "b", "n", "bits"), "b", "a")
     block = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
     dealt = drawn.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = [F.col("a"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
     rows = dealt.select(*keys, "block", "b", "b_c", "n_b", "bits_b")
     sorted_ = rows.repartition("a", "low", "high").sortWithinPartitions("a", "low", "high", "n_b", "b")
-    pairs = sorted_.mapInArrow(lambda batches: _tile_pairs(batches, bands), "a long, b long").distinct()
-    return materialize(pairs, "jaccard-crossing")
+    given = sorted_.mapInArrow(lambda batches: _tile_pairs(batches, bands, most), "a long, b long, again long")
+    given = materialize(given.distinct(), "jaccard-crossing")
+    pairs = given.where("again IS NULL").select("a", "b").join(compared, ["a", "b"], "left_anti")
+    return materialize(pairs, "jaccard-pairs"), given.where("again IS NOT NULL").select(F.col("again").alias("a")).distinct()
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
+def _tile_pairs(batches: Iterator[pa.RecordBatch], bands: Bands, most: int) -> Iterator[pa.RecordBatch]:
     """The possible pairs of each run of rows with the same leader, low and high block."""
     held: pa.Table | None = None
     for batch in batches:
@@ -417,30 +421,42 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.
         keys = [held.column(i).to_numpy() for i in range(3)]
         cut = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(held) else []
         if len(cut) > 1:
-            yield _pairs_of(held.slice(0, int(cut[-1])), cut[:-1], bands)
+            yield _pairs_of(held.slice(0, int(cut[-1])), cut[:-1], bands, most)
             held = held.slice(int(cut[-1]))
     if held is not None and len(held):
-        yield _pairs_of(held, np.zeros(1, dtype=np.int64), bands)
+        yield _pairs_of(held, np.zeros(1, dtype=np.int64), bands, most)
 
 
-def _pairs_of(table: pa.Table, cut: np.ndarray, bands: Bands) -> pa.RecordBatch:
-    low, high, block, ids, component, n = (table.column(i).to_numpy() for i in range(1, 7))
+def _pairs_of(table: pa.Table, cut: np.ndarray, bands: Bands, most: int) -> pa.RecordBatch:
+    leader, low, high, block, ids, component, n = (table.column(i).to_numpy() for i in range(7))
     bits = table.column(7).to_pylist()
-    out: set[tuple[int, int]] = set()
+    out: set[tuple[int | None, int | None, int | None]] = set()
     for start, end in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
         own = slice(start, end)
         blocks = block[own] if low[start] != high[start] else None
-        for i, j in _similar_bits(bits[own], n[own], component[own], blocks, bands):
-            a, b = int(ids[start + i]), int(ids[start + j])
-            out.add((min(a, b), max(a, b)))
-    a, b = zip(*sorted(out)) if out else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def _similar_bits(bits, n, component, blocks, bands: Bands) -> Iterator[tuple[int, int]]:
+        found = list(_similar_bits(bits[own], n[own], component[own], blocks, bands))
+        if not found:
+            continue
+        i, j, spare = (np.concatenate(c) for c in zip(*found))
+        likely = np.zeros(len(i), bool)
+        of = np.r_[component[start + i], component[start + j]]  # each pair counts for the components of both ends
+        order = np.lexsort((np.r_[j, i], np.r_[i, j], np.r_[spare, spare], of))
+        first = np.r_[True, of[order][1:] != of[order][:-1]]
+        rank = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        likely[order[rank < most] % len(i)] = True
+        if not likely.all():
+            out.add((None, None, int(leader[start])))
+        some = np.flatnonzero(likely)
+        for x, y in zip(ids[start + i[some]].tolist(), ids[start + j[some]].tolist()):
+            out.add((min(x, y), max(x, y), None))
+    return pa.RecordBatch.from_arrays([pa.array([row[c] for row in out], pa.int64()) for c in range(3)], ["a", "b", "again"])
+
+
+def _similar_bits(bits, n, component, blocks, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places of rows, sorted by ``n``, whose sizes and bitmaps allow them to be similar, in different components.
 
-    With ``blocks`` also in different blocks. Wider bitmaps come after narrower ones,
+    The third array is how far their bits are from the most allowed, lower for likelier
+    pairs. With ``blocks`` rows are also in different blocks. Wider bitmaps come after narrower ones,
     as the width goes by ``n``; each width has the later ones folded to it. A fold to
     four words tells most pairs of wide bitmaps apart.
     """
@@ -463,9 +479,10 @@ def _similar_bits(bits, n, component, blocks, bands: Bands) -> Iterator[tuple[in
             if short is not None:
                 near = np.bitwise_count(short[at - first] ^ short[i - first]).sum(axis=1) <= allowed
                 at, allowed = at[near], allowed[near]
-            differ = np.bitwise_count(rows[at - first] ^ rows[i - first]).sum(axis=1)
-            for j in at[differ <= allowed].tolist():
-                yield i, j
+            spare = np.bitwise_count(rows[at - first] ^ rows[i - first]).sum(axis=1).astype(np.int64) - allowed
+            at, spare = at[spare <= 0], spare[spare <= 0]
+            if len(at):
+                yield np.full(len(at), i), at, spare
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -485,12 +502,21 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         some.groupBy("node").agg(F.max("n").alias("n"), picked).select("node", "n", "one.text_hash", "one.bits"), "jaccard-nodes"
     )
     near = _near(rows, k, shared, bands)
-    links = _verified(_possible(near, nodes, bands), rows, nodes, k, percent, shared)
+    closest = near.groupBy("b").agg(F.max_by("a", F.struct("tiles", -F.col("a"))).alias("a"))  # one pair a node links most copies
+    likely = _possible(closest.select("a", "b"), nodes, bands)
+    links = _verified(likely, rows, nodes, k, percent, shared)
     found = components(links)
-    rest = _crossing(near, found, nodes, bands)
-    if not rest.isEmpty():
-        more = _verified(_possible(rest, nodes, bands), rows, nodes, k, percent, shared)
-        found = components(links.unionByName(more))
+    compared, most = likely, LIKELIEST
+    while True:
+        rest, again = _crossing(near, found, compared, nodes, bands, most)
+        last = again.isEmpty()
+        if not rest.isEmpty():
+            links = links.unionByName(_verified(_possible(rest, nodes, bands), rows, nodes, k, percent, shared))
+            found = components(links)
+        if last:
+            break
+        near = near.join(broadcast_if_small(again), "a", "left_semi")
+        compared, most = compared.unionByName(rest), 16 * most
     linked = found.select(F.col("id").alias("node"), "component")
     given = named.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     return lookup(given, nodes.select("node").join(linked, "node", "left"), "node", "doc_id", "left").select(
