@@ -24,6 +24,8 @@ from newsloom.session import materialize
 
 CAPACITY = 1024
 END_ID = 2
+# The added token of byte_bpe_50k.json, which is cut out of a text before anything else, and its id.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 #: The ranks of the vocabulary byte_bpe_50k.json, in the form that the faster encoder reads.
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 #: Words whose ids a Python worker remembers; when full, the older half goes.
@@ -40,7 +42,8 @@ class WordEncoder:
 
     The pre-tokenizer always cuts before a single space that has no other white
     space beside it. A text is split at those spaces and the ids of each part
-    are remembered, since words repeat. Special tokens are ordinary text.
+    are remembered, since words repeat. The added token has its own id wherever it
+    stands, and the texts between are tokenised apart.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -68,6 +71,12 @@ class WordEncoder:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if ADDED in text:
+            between = np.asarray([ADDED_ID], dtype="<u4").tobytes()
+            return between.join([self._plain(part) for part in text.split(ADDED)])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if any(pair in text for pair in _DOUBLE) or _RARE_SPACE.search(text):
             first, *words = _SAFE_CUT.split(text)
         else:

@@ -41,7 +41,6 @@ def test_packing_equals_the_public_tokenizer(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     real = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
     texts = [*ODD[:6], ODD[7], ODD[8], " lead", "trail ", "a  b  c\n d", "<|endoftext|> x", *real]
     rows = packing.pack(docs(spark, texts)).collect()
