@@ -16,7 +16,7 @@ from newsloom.operators.cluster import (
 from newsloom.operators.embed import DIMENSIONS, embed
 from newsloom.operators.silhouette import mean_silhouettes_squared, silhouette
 from newsloom.operators.kmeans import BITS, OVERSAMPLING, ROUNDS, SEED_ROUNDS
-from newsloom.operators.similar import filter_similar, filter_similar_topics
+from newsloom.operators.similar import THRESHOLD, filter_similar, filter_similar_topics
 from newsloom.operators.tfidf import VOCABULARY, TfidfSpace
 from newsloom.operators.topics import MAX_TOPICS, ROUNDS as TOPIC_ROUNDS, TOPICS, cluster_topics, primary_topics
 from newsloom.session import broadcast_if_small, materialize
@@ -121,22 +121,38 @@ def similar_topics(spark, sf_dir):
     return filter_similar(rows, threshold=SIMILAR).select("digest", "pos")
 
 
-SIMILAR_SQL = f"""
-WITH RECURSIVE v AS (
-  SELECT vec_id, vec_id - vec_id % {DIGEST} AS digest, embedding::DOUBLE[] AS e,
-         row_number() OVER (PARTITION BY vec_id - vec_id % {DIGEST} ORDER BY vec_id) AS i FROM embeddings),
+def similar_in_one(spark, sf_dir):
+    """All vectors as the topics of one digest."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.lit(0).alias("digest"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec")
+    )
+    return filter_similar(rows, threshold=SIMILAR).select("digest", "pos")
+
+
+def similar_sql(source: str, threshold: float) -> str:
+    """CTEs ending in ``kept(digest, pos)`` of ``source(digest, pos, e DOUBLE[])``; needs RECURSIVE."""
+    return f"""
+v AS MATERIALIZED (SELECT pos, digest, e, row_number() OVER (PARTITION BY digest ORDER BY pos) AS i FROM {source}),
 near AS (
-  SELECT b.vec_id, list(a.i) AS earlier
-  FROM v a JOIN v b ON a.digest = b.digest AND a.i < b.i AND list_cosine_similarity(a.e, b.e) >= {SIMILAR}
-  GROUP BY b.vec_id),
-steps AS (SELECT v.digest, v.i, v.vec_id, coalesce(earlier, []) AS earlier FROM v LEFT JOIN near USING (vec_id)),
+  SELECT b.digest, b.pos, list(a.i) AS earlier
+  FROM v a JOIN v b ON a.digest = b.digest AND a.i < b.i AND coalesce(list_cosine_similarity(a.e, b.e), 0) >= {threshold}
+  GROUP BY b.digest, b.pos),
+steps AS MATERIALIZED (SELECT v.digest, v.i, v.pos, coalesce(earlier, []) AS earlier FROM v LEFT JOIN near USING (digest, pos)),
 walk AS (
   SELECT digest, CAST(1 AS BIGINT) AS i, [CAST(1 AS BIGINT)] AS kept FROM steps WHERE i = 1
   UNION ALL
   SELECT s.digest, s.i, CASE WHEN list_has_any(kept, earlier) THEN kept ELSE list_append(kept, s.i) END
   FROM walk JOIN steps s ON s.digest = walk.digest AND s.i = walk.i + 1),
-last AS (SELECT digest, arg_max(kept, i) AS kept FROM walk GROUP BY digest)
-SELECT digest, vec_id AS pos FROM v JOIN last USING (digest) WHERE list_contains(kept, i)"""
+last AS (SELECT digest, arg_max(kept, i) AS kept FROM walk GROUP BY digest),
+stay AS (SELECT digest, pos FROM v JOIN last USING (digest) WHERE list_contains(kept, i))"""
+
+
+SIMILAR_SQL = f"""
+WITH RECURSIVE rows_ AS (SELECT vec_id - vec_id % {DIGEST} AS digest, vec_id AS pos, embedding::DOUBLE[] AS e FROM embeddings),
+{similar_sql('rows_', SIMILAR)} SELECT digest, pos FROM stay"""
+SIMILAR_ONE_SQL = f"""
+WITH RECURSIVE rows_ AS (SELECT 0 AS digest, vec_id AS pos, embedding::DOUBLE[] AS e FROM embeddings),
+{similar_sql('rows_', SIMILAR)} SELECT digest, pos FROM stay"""
 
 
 # ------------------------------------------------- no SQL for hashing and fits
@@ -149,8 +165,13 @@ def _articles(spark, sf_dir):
 
 def embed_texts(spark, sf_dir):
     vectors = embed(_articles(spark, sf_dir))
-    rounded = F.transform(vector_to_array("features"), lambda x: F.round(x, 9) + F.lit(0.0))  # no negative zero
-    return vectors.select("id", rounded.alias("embedding"))
+    return vectors.select("id", vector_to_array("features").alias("embedding"))
+
+
+def embed_components(spark, sf_dir):
+    """Every component that is not 0."""
+    each = embed_texts(spark, sf_dir).select("id", F.posexplode("embedding").alias("component", "value"))
+    return each.where("value != 0").withColumn("value", F.round("value", 9))
 
 
 def embed_sql(source: str, name: str = "em") -> str:
@@ -168,7 +189,10 @@ def embed_sql(source: str, name: str = "em") -> str:
 
 
 _TEXTS_SQL = "texts AS (SELECT doc_id AS id, text AS content FROM documents)"
-EMBED_SQL = f"WITH {_TEXTS_SQL}, {embed_sql('texts')} SELECT id, list_transform(v, lambda x: round(x, 9) + 0.0) AS embedding FROM em"
+EMBED_SQL = f"""
+WITH {_TEXTS_SQL}, {embed_sql('texts')}
+SELECT id, CAST(b AS INTEGER) AS component, round(x, 9) AS value
+FROM (SELECT id, unnest(v) AS x, unnest(range({DIMENSIONS})) AS b FROM em) WHERE x <> 0"""
 
 
 def embed_norms(spark, sf_dir):
@@ -190,7 +214,15 @@ def similar_keywords(spark, sf_dir):
         (F.col("id") - F.col("id") % DIGEST).alias("digest"), F.col("id").alias("pos"),
         content_tokens(F.col("content")).alias("keywords"),
     )
-    return filter_similar_topics(topics)
+    return filter_similar_topics(topics).select("digest", "pos", F.array_join("keywords", " ").alias("keywords"))
+
+
+SIMILAR_KEYWORDS_SQL = f"""
+WITH RECURSIVE topics AS (
+  SELECT doc_id AS id, array_to_string({sql_content_tokens('text')}, ', ') AS content FROM documents),
+{embed_sql('topics')}, rows_ AS (SELECT id - id % {DIGEST} AS digest, id AS pos, v AS e FROM em),
+{similar_sql('rows_', THRESHOLD)}
+SELECT digest, pos, replace(content, ', ', ' ') AS keywords FROM stay JOIN topics ON id = pos"""
 
 
 def fit_kmeans(spark, sf_dir):
@@ -335,7 +367,7 @@ def lda_primary(spark, sf_dir):
     docs = _language_clusters(spark, sf_dir)
     space = TfidfSpace(docs)
     vectors = materialize(space.transform(docs).select("id", "cluster_id", "tfidf"), "lda-vectors")
-    return primary_topics(vectors, space)
+    return primary_topics(vectors, space).withColumn("related_topics", F.array_join("related_topics", " | "))
 
 
 def terms_sql(source: str) -> str:
@@ -412,7 +444,7 @@ TOPIC_NUMBER_SQL = f"SELECT cluster_id, least({MAX_TOPICS}, count(*)) AS k FROM
 LDA_PRIMARY_SQL = f"""
 WITH {_LANGUAGES_SQL}, {terms_sql('clustered')}, {global_units_sql('clustered')},
 {topics_sql(GLOBAL_SLOTS_SQL.format('clustered'), TOPIC_NUMBER_SQL.format('clustered'))}, {RANKED_TOPICS_SQL}
-SELECT cluster_id, l[1] AS primary_focus, l[2:] AS related_topics FROM ranked"""
+SELECT cluster_id, l[1] AS primary_focus, array_to_string(l[2:], ' | ') AS related_topics FROM ranked"""
 
 LDA_TOPICS_SQL = f"""
 WITH {_LANGUAGES_SQL}, {terms_sql('clustered')}, {own_units_sql('clustered')},
@@ -430,6 +462,8 @@ QUERIES = {
     "similar_topic_keywords": similar_keywords,
     "score_labelings": score_labelings,
     "embed": embed_texts,
+    "embed_components": embed_components,
+    "similar_in_one": similar_in_one,
     "embed_norms": embed_norms,
     "kmeans": fit_kmeans,
     "choose_k": fit_best_k,
@@ -446,7 +480,9 @@ ORACLE = {
     "representatives": REPRESENTATIVES_SQL,
     "similar_topics": SIMILAR_SQL,
     "score_labelings": SCORES_SQL,
-    "embed": EMBED_SQL,
+    "embed_components": EMBED_SQL,
+    "similar_in_one": SIMILAR_ONE_SQL,
+    "similar_topic_keywords": SIMILAR_KEYWORDS_SQL,
     "embed_norms": EMBED_NORMS_SQL,
     "kmeans": KMEANS_SQL,
     "choose_k": BEST_K_SQL,

@@ -338,6 +338,11 @@ FROM documents""",
 OUTPUT = [*DIGEST_FIELDS, "cluster_id", "cluster_label"]
 
 
+def _as_text(topics):
+    related = F.array_join("related_topics", " | ").alias("related_topics")
+    return topics.select("cluster_id", "cluster_label", "primary_focus", related)
+
+
 def label_all(spark, sf_dir):
     """Cluster and label every document."""
     articles = table(spark, sf_dir, "documents").select(
@@ -351,7 +356,7 @@ def topics_of_all(spark, sf_dir):
     articles = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("content")
     )
-    return D.cluster_and_label(articles).topics.select("cluster_id", "cluster_label", "primary_focus", "related_topics")
+    return D.cluster_and_label(articles).topics.transform(_as_text)
 
 
 def _digest(spark, sf_dir):
@@ -376,7 +381,7 @@ def digest_articles(spark, sf_dir):
 
 
 def digest_topics(spark, sf_dir):
-    return _digest(spark, sf_dir).topics.select("cluster_id", "cluster_label", "primary_focus", "related_topics")
+    return _digest(spark, sf_dir).topics.transform(_as_text)
 
 
 def headline_articles(spark, sf_dir):
@@ -405,7 +410,7 @@ SELECT {_FIELDS}, cluster_id, cluster_label
 FROM (SELECT * EXCLUDE (content), content FROM digest_rows) JOIN (SELECT id, cluster_id FROM clustered) USING (id) JOIN labels USING (cluster_id)"""
 _TOPICS_SQL = f"""
 {topics_sql(GLOBAL_SLOTS_SQL.format('clustered'), TOPIC_NUMBER_SQL.format('clustered'))}, {RANKED_TOPICS_SQL}
-SELECT cluster_id, cluster_label, l[1] AS primary_focus, l[2:] AS related_topics FROM ranked JOIN labels USING (cluster_id)"""
+SELECT cluster_id, cluster_label, l[1] AS primary_focus, array_to_string(l[2:], ' | ') AS related_topics FROM ranked JOIN labels USING (cluster_id)"""
 _ALL_TEXTS_SQL = "texts AS (SELECT doc_id AS id, text AS content FROM documents)"
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    PAGE_URLS_SQL, link_status, page_text_sql, page_urls, sql_strip, table,
+    PAGE_URLS_SQL, REPEAT, link_status, page_text_sql, page_urls, sql_content_tokens, sql_strip, table,
 )
 from newsloom.functions import urls as U
+from newsloom.functions.text import content_tokens
+from newsloom.operators.needles import matches, with_contains
 from newsloom.plans.harvest import acceptable, distinct_urls, harvest
+from newsloom.plans.stream import LANDED, harvest_stream, seen_urls
 from newsloom.session import scratch_path
 from newsloom.sinks.files import read_csv, write_csv
 from newsloom.sources.files import url_list
@@ -98,6 +101,37 @@ FROM (SELECT page_id, variant,
       FROM pages, (VALUES (0), (1), (2), (3)) AS t(variant))"""
 
 
+def _word_needles(spark, sf_dir):
+    """Every different content word of the documents, as a list of indicators."""
+    words = content_tokens(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select(F.explode(words).alias("needle"))
+
+
+_NEEDLES_SQL = f"needles AS (SELECT DISTINCT unnest({sql_content_tokens("coalesce(text, '')")}) AS needle FROM documents)"
+
+
+def needle_matches(spark, sf_dir):
+    """How many of the words each different page URL contains, and the first of them."""
+    found = matches(table(spark, sf_dir, "pages"), "url", _word_needles(spark, sf_dir), "needle")
+    return found.groupBy(F.col("text").alias("url")).agg(F.count(F.lit(1)).alias("needles"), F.min("needle").alias("first"))
+
+
+def needle_flags(spark, sf_dir):
+    """Which variants of page URLs a list of all the documents' words would block."""
+    rows = _variants(spark, sf_dir)
+    return with_contains(rows, "url", _word_needles(spark, sf_dir), "needle", "listed").select("page_id", "variant", "url", "listed")
+
+
+def stream_urls(spark, sf_dir):
+    """Page URLs that land in two parts, each read by a run of the stream of its own."""
+    landing, folder, checkpoint = (scratch_path(spark, f"stream-{name}") for name in ("landing", "seen", "checkpoint"))
+    rows = page_urls(spark, sf_dir).selectExpr(*[f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in LANDED.split(", ")])
+    for part in (F.col("pos") < REPEAT, F.col("pos") >= REPEAT):
+        rows.where(part).write.mode("append").parquet(landing)
+        harvest_stream(spark, landing, folder, checkpoint).awaitTermination()
+    return seen_urls(spark, folder).select("url", "pos")
+
+
 def url_dedup(spark, sf_dir):
     return distinct_urls(page_urls(spark, sf_dir)).select("pos", "url")
 
@@ -180,6 +214,9 @@ QUERIES = {
     "url_checks": url_checks,
     "article_checks": article_checks,
     "url_dedup": url_dedup,
+    "needle_matches": needle_matches,
+    "needle_flags": needle_flags,
+    "stream_urls": stream_urls,
     "url_reachable": url_reachable,
     "url_list": pasted_urls,
     "page_extract": page_extract,
@@ -193,6 +230,14 @@ ORACLE = {
     "url_checks": URL_CHECKS_SQL,
     "article_checks": ARTICLE_CHECKS_SQL,
     "url_dedup": URL_DEDUP_SQL,
+    "needle_matches": f"""
+WITH {_NEEDLES_SQL}, pages_ AS (SELECT DISTINCT url FROM pages)
+SELECT url, count(*) AS needles, min(needle) AS first FROM pages_ JOIN needles ON contains(url, needle) GROUP BY url""",
+    "needle_flags": f"""
+WITH {_NEEDLES_SQL}, variants AS ({_VARIANTS_SQL}), hit AS (
+  SELECT DISTINCT url FROM (SELECT DISTINCT url FROM variants) JOIN needles ON contains(url, needle))
+SELECT page_id, variant, variants.url, hit.url IS NOT NULL AS listed FROM variants LEFT JOIN hit ON hit.url = variants.url""",
+    "stream_urls": f"WITH {PAGE_URLS_SQL} SELECT min(pos) AS pos, url FROM page_urls WHERE {_ACCEPTABLE} GROUP BY url",
     "url_reachable": URL_REACHABLE_SQL,
     "url_list": URL_LIST_SQL,
     "page_extract": PAGE_EXTRACT_SQL,

@@ -115,12 +115,39 @@ def score_with(
 def embed_with(
     df: DataFrame, make_model, content: str = "content", out: str = "features", batch_size: int = 64
 ) -> DataFrame:
-    """``make_model()(texts)`` gives one list of floats per text."""
+    """``make_model()(texts)`` gives one list of floats per text; blank texts are given too.
+
+    A text that fails has a null vector, and its message in ``error``.
+    """
+    schema = T.StructType([T.StructField("value", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
+
     def make_predict():
         model = make_model()
-        return lambda texts: np.array(model([str(t) for t in texts]), dtype=float)
 
-    udf = predict_batch_udf(
-        make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size
-    )
-    return df.withColumn(out, array_to_vector(udf(F.coalesce(F.col(content), F.lit("")))))
+        def guarded(texts):
+            try:
+                values = [np.asarray(v, dtype=float) for v in model(texts)]
+                if len(values) != len(texts):
+                    raise ValueError(f"{len(values)} results for {len(texts)} texts")
+                return [(v, None) for v in values]
+            except Exception as batch_error:
+                if len(texts) == 1:
+                    return [(None, str(batch_error))]
+                return [guarded([t])[0] for t in texts]
+
+        def predict(texts):
+            found = guarded([str(t) for t in texts])
+            width = max((len(v) for v, _ in found if v is not None), default=1)
+            values = np.full((len(found), width), np.nan)
+            for i, (v, _) in enumerate(found):
+                if v is not None:
+                    values[i] = v
+            return {"value": values, "error": np.asarray([e for _, e in found], dtype=object)}
+
+        return predict
+
+    udf = predict_batch_udf(make_predict, return_type=schema, batch_size=batch_size)
+    rows = df.withColumn("_result", udf(F.coalesce(F.col(content), F.lit(""))))
+    result = F.col("_result")
+    rows = rows.withColumn(out, F.when(result["error"].isNull(), array_to_vector(result["value"])))
+    return _with_error(rows, result["error"]).drop("_result")

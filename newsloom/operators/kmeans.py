@@ -46,16 +46,20 @@ class Run:
 
 # ------------------------------------------------------------------ points
 
+def _array(features: str) -> Column:
+    return F.when(F.col(features).isNotNull(), vector_to_array(features))
+
+
 def unit_of(points: DataFrame, features: str = "features") -> float:
     """The power of two that turns coordinates into whole numbers of at most ``BITS`` bits."""
-    size = F.transform(vector_to_array(features), F.abs)
+    size = F.transform(_array(features), F.abs)
     row = points.agg(F.max(F.array_max(size)).alias("most"), F.count(F.lit(1)).alias("n")).first()
     bits = min(BITS, 62 - max(1, row["n"]).bit_length())
     return 2.0 ** (bits - (math.frexp(row["most"])[1] if row["most"] else 0))
 
 
 def whole(features: str, unit: float) -> Column:
-    return F.transform(vector_to_array(features), lambda v: F.floor(v * F.lit(unit) + 0.5).cast("int"))
+    return F.transform(_array(features), lambda v: F.floor(v * F.lit(unit) + 0.5).cast("int"))
 
 
 def whole_points(points: DataFrame, features: str = "features") -> tuple[DataFrame, float]:

@@ -56,7 +56,7 @@ def test_topics(spark, name):
     rows = QUERIES[name](spark, SF).collect()
     assert sorted(r["cluster_id"] for r in rows) == [0, 1, 2, 3]
     for r in rows:
-        topics = r["topics"].split(" | ") if name == "lda_topics" else [r["primary_focus"], *r["related_topics"]]
+        topics = r["topics"].split(" | ") if name == "lda_topics" else [r["primary_focus"], *r["related_topics"].split(" | ")]
         assert len(topics) == (2 if name == "lda_topics" else 3)
         assert all(len(t.split(", ")) == 3 for t in topics)
 
