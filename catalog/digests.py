@@ -23,7 +23,7 @@ from newsloom.plans.enrich import enrich_feed, enrich_files, enrich_urls, union_
 from newsloom.plans.view import cluster_counts, cluster_markdown, cluster_view
 from newsloom.schema import DIGEST, DIGEST_FIELDS, FEED
 from newsloom.session import scratch_path
-from newsloom.sinks.files import read_csv, save_digest, write_csv, write_json
+from newsloom.sinks.files import read_csv, records_table, save_digest, write_csv, write_json
 from newsloom.sources.feeds import latest, read_api_responses
 from newsloom.sources.files import numbered, read_text_files
 
@@ -202,6 +202,13 @@ def json_roundtrip(spark, sf_dir):
     return spark.read.schema(RECORD).json(path)
 
 
+def landed_records(spark, sf_dir):
+    """Records landed as JSON Lines without their null fields, and a table of every key."""
+    path = scratch_path(spark, "records")
+    _records(spark, sf_dir).write.option("ignoreNullFields", True).json(path)
+    return records_table(spark, path).select(*RECORD.names)
+
+
 def digest_csv(spark, sf_dir):
     """Every document as a digest row, saved under a topic and read back whole."""
     label = F.concat(F.lit("label "), F.col("pos") % 7).alias("cluster_label")
@@ -425,6 +432,7 @@ QUERIES = {
     "csv_roundtrip": csv_roundtrip,
     "json_roundtrip": json_roundtrip,
     "digest_csv": digest_csv,
+    "records_table": landed_records,
     "read_text_files": text_files,
     "model_summary": model_summary,
     "model_sentiment": model_sentiment,
@@ -453,6 +461,7 @@ SELECT {_COLUMNS} FROM feed_rows UNION ALL SELECT {_COLUMNS} FROM file_rows UNIO
     "cluster_markdown": MARKDOWN_SQL,
     "csv_roundtrip": RECORDS_SQL,
     "json_roundtrip": RECORDS_SQL,
+    "records_table": RECORDS_SQL,
     "digest_csv": DIGEST_CSV_SQL,
     "cluster_and_label": f"WITH {_ALL_TEXTS_SQL}, {clustered_sql('texts')} SELECT id, cluster_id, cluster_label FROM clustered JOIN labels USING (cluster_id)",
     "cluster_and_label_topics": f"WITH {_ALL_TEXTS_SQL}, {clustered_sql('texts')}, {_TOPICS_SQL}",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    PAGE_URLS_SQL, REPEAT, link_status, page_text_sql, page_urls, sql_content_tokens, sql_strip, table,
+    PAGE_URLS_SQL, REPEAT, link_status, page_text_sql, page_urls, sql_content_tokens, sql_decoded, sql_strip, table,
 )
+from newsloom.functions import html as H
 from newsloom.functions import urls as U
 from newsloom.functions.text import content_tokens
 from newsloom.operators.needles import matches, with_contains
@@ -210,7 +211,43 @@ def harvest_csv(spark, sf_dir):
     return read_csv(spark, path, rows.schema)
 
 
+def page_main(spark, sf_dir):
+    """Title and running text of pages whose article elements are plain divisions."""
+    plain = F.replace(F.replace("html", F.lit("<article>"), F.lit("<div>")), F.lit("</article>"), F.lit("</div>"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", plain.alias("html"))
+    return extract(pages, "main").select("page_id", "url", "title", "text")
+
+
+_RAW_TITLE = f"regexp_extract(visible, '{H.TITLE}', 1)"
+PAGE_MAIN_SQL = f"""
+WITH shown AS (
+  SELECT page_id, url, regexp_replace(replace(replace(html, '<article>', '<div>'), '</article>', '</div>'), '{H.INVISIBLE}', '', 'g') AS visible FROM pages),
+tags AS (
+  SELECT page_id, unnest(range(1, len(l) + 1)) AS i, CASE WHEN starts_with(unnest(l), '</') THEN -1 ELSE 1 END AS d
+  FROM (SELECT page_id, regexp_extract_all(visible, '{H.AROUND}') AS l FROM shown)),
+sums AS (SELECT page_id, i, sum(d) OVER (PARTITION BY page_id ORDER BY i) AS s FROM tags),
+depths AS (SELECT page_id, i, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS depth FROM sums),
+parts AS (
+  SELECT page_id, unnest(range(0, len(l))) AS i, unnest(l) AS part FROM (SELECT page_id, regexp_split_to_array(visible, '{H.AROUND}') AS l FROM shown)),
+kept AS (
+  SELECT page_id, string_agg(part, '<p>' ORDER BY i) AS html FROM parts LEFT JOIN depths USING (page_id, i)
+  WHERE coalesce(depth, 0) = 0 GROUP BY page_id),
+blocks AS (
+  SELECT page_id, unnest(range(0, len(l))) AS i, unnest(l) AS block FROM (SELECT page_id, regexp_split_to_array(html, '{H.BLOCK}') AS l FROM kept)),
+measured AS (
+  SELECT page_id, i, {sql_strip(f"regexp_replace(block, '{H.TAG}', '', 'g')")} AS text,
+         length(regexp_replace(array_to_string(regexp_extract_all(block, '{H.LINK}', 1), ''), '{H.TAG}', '', 'g')) AS linked FROM blocks),
+bodies AS (
+  SELECT page_id, string_agg(text, ' ' ORDER BY i) AS body FROM measured
+  WHERE length(text) >= {H.BLOCK_LENGTH} AND linked * {H.LINKED} <= length(text) GROUP BY page_id)
+SELECT * FROM (
+  SELECT page_id, url, CASE WHEN {_RAW_TITLE} = '' THEN 'Untitled' ELSE {sql_strip(sql_decoded(_RAW_TITLE))} END AS title, {sql_strip(sql_decoded('body'))} AS text
+  FROM shown JOIN bodies USING (page_id))
+WHERE length(text) >= {H.MIN_LENGTH}"""
+
+
 QUERIES = {
+    "page_main": page_main,
     "url_checks": url_checks,
     "article_checks": article_checks,
     "url_dedup": url_dedup,
@@ -227,6 +264,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "page_main": PAGE_MAIN_SQL,
     "url_checks": URL_CHECKS_SQL,
     "article_checks": ARTICLE_CHECKS_SQL,
     "url_dedup": URL_DEDUP_SQL,

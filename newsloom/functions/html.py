@@ -23,6 +23,16 @@ TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title"
 # From the first article element to the end of the last: nested and sibling ones are kept whole.
 ARTICLE = r"(?is)<article(?:\s[^>]*)?>(.*)</article"
 
+# Elements around the content, and tags that begin or end a block of text.
+AROUND = r"(?i)</?(?:nav|aside|footer|header|form)(?:[\s/][^>]*)?>"
+BLOCK = (
+    r"(?i)</?(?:address|article|blockquote|body|br|dd|div|dl|dt|figcaption|figure|h[1-6]|head|hr|html|li|main|"
+    r"ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:[\s/][^>]*)?>"
+)
+LINK = r"(?is)<a(?:\s[^>]*)?>(.*?)</a\s*>"
+BLOCK_LENGTH = 40  # characters of a block of running text at least
+LINKED = 3  # one character in so many may be linked
+
 ALL = 1 << 30  # a slice to the end
 REFERENCE = r"^#?[A-Za-z0-9]+;"
 
@@ -103,3 +113,39 @@ def clean_body(paragraphs: Column) -> Column:
 def article_element(visible_html: Column) -> Column:
     """Inner HTML from the first article element to the end of the last, or ''."""
     return F.regexp_extract(visible_html, ARTICLE, 1)
+
+
+def outside(visible_html: Column) -> Column:
+    """The parts of a page that are in no navigation, header, footer, aside or form.
+
+    A fold over these tags keeps the depth: a part counts at depth 0 only, however the
+    elements nest; an end tag without a start does nothing.
+    """
+    tags, parts = F.regexp_extract_all(visible_html, F.lit(AROUND), 0), F.split(visible_html, AROUND, -1)
+    start = F.struct(F.lit(0).alias("depth"), F.slice(parts, 1, 1).alias("kept"))
+
+    def step(state, i):
+        depth = F.greatest(F.lit(0), state["depth"] + F.when(F.startswith(F.get(tags, i), F.lit("</")), -1).otherwise(1))
+        kept = F.when(depth == 0, F.concat(state["kept"], F.slice(parts, i + 2, 1))).otherwise(state["kept"])
+        return F.struct(depth.alias("depth"), kept.alias("kept"))
+
+    places = F.when(F.size(tags) > 0, F.sequence(F.lit(0), F.size(tags) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step)["kept"]
+
+
+def main_text(parts: Column) -> Column:
+    """The running text of a page's ``parts``, its blocks joined by a space; character references stay.
+
+    A block is what stands between two block tags. It is running text if it has
+    ``BLOCK_LENGTH`` characters or more, of which one in ``LINKED`` at most is linked.
+    """
+    blocks = F.split(F.array_join(parts, "<p>"), BLOCK, -1)
+
+    def measured(block):
+        links = F.array_join(F.regexp_extract_all(block, F.lit(LINK), 1), "")
+        return F.struct(strip(F.regexp_replace(block, TAG, "")).alias("text"), F.char_length(F.regexp_replace(links, TAG, "")).alias("linked"))
+
+    def running(block):
+        return (F.char_length(block["text"]) >= BLOCK_LENGTH) & (block["linked"] * LINKED <= F.char_length(block["text"]))
+
+    return F.array_join(F.transform(F.filter(F.transform(blocks, measured), running), lambda b: b["text"]), " ")

@@ -33,9 +33,23 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def create_table(spark: SparkSession, records: Iterable, schema: T.StructType) -> DataFrame:
+    """A table of a few records that the driver has; ``records_table`` takes landed ones."""
     return spark.createDataFrame(list(records), schema)
 
 
+def records_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table of landed records, one JSON object a line: a column for every key that any record has.
+
+    A key that a record lacks is null. ``schema`` names the columns instead, and saves
+    the pass that finds the keys; a line that is no object is left out.
+    """
+    if schema is not None:
+        kept = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+        rows = spark.read.schema(kept).option("columnNameOfCorruptRecord", "_bad").json(path)
+        return rows.where(F.col("_bad").isNull()).drop("_bad")
+    return spark.read.option("mode", "DROPMALFORMED").json(path)
+
+
 def save_digest(df: DataFrame, folder: str, topic: str | None) -> str | None:
     """Write the digest under a name made from the topic; nothing if it is empty.
 

@@ -12,6 +12,7 @@ from newsloom.session import fits_in_broadcast, materialize
 
 PARAGRAPHS = "paragraphs"
 ARTICLE = "article"
+MAIN = "main"
 
 
 def extract(
@@ -19,10 +20,11 @@ def extract(
 ) -> DataFrame:
     """Replace ``html`` by ``title`` and ``text``; pages with a short text are dropped.
 
-    ``extractor`` is ``"paragraphs"`` (whole page) or ``"article"`` (main article
-    element where the page has one).
+    ``extractor`` is ``"paragraphs"`` (whole page), ``"article"`` (main article
+    element where the page has one) or ``"main"`` (blocks of running text, whatever
+    elements they are in).
     """
-    if extractor not in (PARAGRAPHS, ARTICLE):
+    if extractor not in (PARAGRAPHS, ARTICLE, MAIN):
         raise ValueError(f"unknown extractor {extractor!r}")
     seen = pages.withColumn("_scope", H.visible(F.col("html")))
     seen = seen.withColumn("_raw", H.raw_title(F.col("_scope")))
@@ -30,11 +32,16 @@ def extract(
         seen = seen.withColumn("_article", H.article_element(F.col("_scope"))).withColumn(
             "_scope", F.when(F.col("_article") == "", F.col("_scope")).otherwise(F.col("_article"))
         )
+    if extractor == MAIN:
+        body = H.main_text(F.col("_parts"))
+        seen = with_once(seen, _parts=H.outside(F.col("_scope")))
+    else:
+        body = H.paragraph_text(F.col("_scope"))
     found = with_once(
-        seen.withColumn("_body", H.paragraph_text(F.col("_scope"))),
+        seen.withColumn("_body", body),
         title=H.clean_title(F.col("_raw")), text=H.clean_body(F.col("_body")),
     )
-    return found.drop("_scope", "_raw", "_article", "_body", "html").where(
+    return found.drop("_scope", "_raw", "_article", "_parts", "_body", "html").where(
         F.length("text") >= min_length
     )
 

@@ -3,6 +3,7 @@
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.operators.lookup import lookup
 from newsloom.operators.topk import top_k_per_group
@@ -13,7 +14,7 @@ from newsloom.schema import DIGEST
 from newsloom.sinks import files as sinks
 from newsloom.sources import feeds
 from newsloom.sources.files import numbered, read_text_files, url_list
-from newsloom.sources.pages import fetch_text
+from newsloom.sources.pages import extract, fetch_text
 
 FEED_SCHEMA = "pos long, title string, url string, source string, author string, publishedAt string"
 
@@ -213,3 +214,29 @@ def test_lookup_null_keys(spark):
     got = {r["pos"]: r["v"] for r in lookup(rows, table, "key", "pos", "left", hot_rows=1).collect()}
     assert got == {0: 1, 1: None, 2: None, 3: None}
     assert [r["pos"] for r in lookup(rows, table, "key", "pos").collect()] == [0]
+
+
+def test_main_text_without_an_article_element(spark):
+    long = "This block of running text has more than forty characters"
+    pages = {
+        "siblings": f"<body><article><p>{long} one</p></article><div>x</div><article><p>{long} two</article></body>",
+        "plain": f"<nav><ul><li>{long}</li></ul></nav><div>{long} &amp; <b>bold</b><br>short</div><footer>{long}</footer><div>{long} end</div>",
+        "nested": f"<aside><nav>{long}</nav>{long}</aside><p>{long} out</p></nav><p>{long} last</p>",
+        "links": f"<div><a href='x'>{long}</a></div><div>{long} with <a>one link</a></div><li><a>a</a> {'w ' * 30}</li>",
+        "hostile": "<nav>" * 3000 + long + "</nav>" * 3000 + f"<p>{long} after</p>",
+        "none": "<div>short</div>", "empty": "",
+    }
+    df = spark.createDataFrame(list(pages.items()), "url string, html string")
+    got = {r["url"]: r["text"] for r in extract(df, "main", min_length=0).collect()}
+    assert got == {
+        "siblings": f"{long} one {long} two", "plain": f"{long} & bold {long} end", "nested": f"{long} out {long} last",
+        "links": f"{long} with one link a {'w ' * 30}".strip(), "hostile": f"{long} after", "none": "", "empty": "",
+    }
+
+
+def test_records_table(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"title": "x", "n": 1}\n{"url": "u\\n"}\nno object\n')
+    rows = {tuple(r) for r in sinks.records_table(spark, str(tmp_path)).select("title", "url", "n").collect()}
+    assert rows == {("x", None, 1), (None, "u\n", None)}
+    named = sinks.records_table(spark, str(tmp_path), T.StructType([T.StructField("url", T.StringType())]))
+    assert sorted(named.collect(), key=str) == sorted([("u\n",), (None,)], key=str)
