@@ -425,6 +425,7 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], bands: Bands, most: int) -> I
             held = held.slice(int(cut[-1]))
     if held is not None and len(held):
         yield _pairs_of(held, np.zeros(1, dtype=np.int64), bands, most)
+    pa.default_memory_pool().release_unused()  # the worker lives on in later stages
 
 
 def _pairs_of(table: pa.Table, cut: np.ndarray, bands: Bands, most: int) -> pa.RecordBatch:
@@ -434,17 +435,18 @@ def _pairs_of(table: pa.Table, cut: np.ndarray, bands: Bands, most: int) -> pa.R
     for start, end in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
         own = slice(start, end)
         blocks = block[own] if low[start] != high[start] else None
-        found = list(_similar_bits(bits[own], n[own], component[own], blocks, bands))
+        found = list(_similar_bits(bits[own], n[own], component[own], blocks, bands, most))
         if not found:
             continue
-        i, j, spare = (np.concatenate(c) for c in zip(*found))
+        *found, cut_short = zip(*found)
+        i, j, spare = map(np.concatenate, found)
         likely = np.zeros(len(i), bool)
         of = np.r_[component[start + i], component[start + j]]  # each pair counts for the components of both ends
         order = np.lexsort((np.r_[j, i], np.r_[i, j], np.r_[spare, spare], of))
         first = np.r_[True, of[order][1:] != of[order][:-1]]
         rank = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
         likely[order[rank < most] % len(i)] = True
-        if not likely.all():
+        if any(cut_short) or not likely.all():
             out.add((None, None, int(leader[start])))
         some = np.flatnonzero(likely)
         for x, y in zip(ids[start + i[some]].tolist(), ids[start + j[some]].tolist()):
@@ -452,13 +454,17 @@ def _pairs_of(table: pa.Table, cut: np.ndarray, bands: Bands, most: int) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array([row[c] for row in out], pa.int64()) for c in range(3)], ["a", "b", "again"])
 
 
-def _similar_bits(bits, n, component, blocks, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _similar_bits(
+    bits, n, component, blocks, bands: Bands, most: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
     """Places of rows, sorted by ``n``, whose sizes and bitmaps allow them to be similar, in different components.
 
     The third array is how far their bits are from the most allowed, lower for likelier
-    pairs. With ``blocks`` rows are also in different blocks. Wider bitmaps come after narrower ones,
-    as the width goes by ``n``; each width has the later ones folded to it. A fold to
-    four words tells most pairs of wide bitmaps apart.
+    pairs. With ``blocks`` rows are also in different blocks. A row gives its ``most``
+    likely partners among later rows, and says whether it had more, so that memory
+    stays in proportion to rows. Wider bitmaps come after narrower ones, as the width
+    goes by ``n``; each width has the later ones folded to it. A fold to four words
+    tells most pairs of wide bitmaps apart.
     """
     if (component == component[0]).all():
         return
@@ -481,8 +487,12 @@ def _similar_bits(bits, n, component, blocks, bands: Bands) -> Iterator[tuple[np
                 at, allowed = at[near], allowed[near]
             spare = np.bitwise_count(rows[at - first] ^ rows[i - first]).sum(axis=1).astype(np.int64) - allowed
             at, spare = at[spare <= 0], spare[spare <= 0]
+            more = len(at) > most
+            if more:
+                likeliest = np.lexsort((at, spare))[:most]
+                at, spare = at[likeliest], spare[likeliest]
             if len(at):
-                yield np.full(len(at), i), at, spare
+                yield np.full(len(at), i), at, spare, more
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
