@@ -230,6 +230,15 @@ def fit_kmeans(spark, sf_dir):
     return kmeans(points, 5).assign(points).select("id", "cluster_id")
 
 
+def kmeans_nearest(spark, sf_dir):
+    """Whether the centre of its cluster is the nearest to a row, which k-means promises."""
+    points = _points(spark, sf_dir).select("id", "features")
+    fitted = kmeans(points, 5)
+    rows = [(number, (fitted.centres[place] / fitted.unit).tolist()) for place, number in fitted.numbers.items()]  # five
+    near = nearest_centroid(points, spark.createDataFrame(rows, "cluster_id int, centroid array<double>"))
+    return fitted.assign(points).join(near, "id").select("id", (F.col("cluster_id") == F.col("nearest")).alias("own_is_nearest"))
+
+
 def kmeans_sql(source: str, ks, dimensions: int, name: str = "km") -> str:
     """CTEs ending in ``name(k, id, cluster_id)``: k-means of ``source(id, v DOUBLE[])``, round by round.
 
@@ -466,6 +475,7 @@ QUERIES = {
     "similar_in_one": similar_in_one,
     "embed_norms": embed_norms,
     "kmeans": fit_kmeans,
+    "kmeans_nearest": kmeans_nearest,
     "choose_k": fit_best_k,
     "lda_topics": lda_topics,
     "lda_primary": lda_primary,
@@ -485,6 +495,7 @@ ORACLE = {
     "similar_topic_keywords": SIMILAR_KEYWORDS_SQL,
     "embed_norms": EMBED_NORMS_SQL,
     "kmeans": KMEANS_SQL,
+    "kmeans_nearest": "SELECT vec_id AS id, true AS own_is_nearest FROM embeddings",
     "choose_k": BEST_K_SQL,
     "lda_primary": LDA_PRIMARY_SQL,
     "lda_topics": LDA_TOPICS_SQL,
