@@ -225,6 +225,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                     ],
                     ["doc_id", "text_hash", "n", "node", "digest", "bits"],
                 )
+        _words.clear()  # the worker lives on in later stages
 
     rows = docs.select("doc_id", "text_hash", "text")
     return rows.mapInArrow(run, "doc_id long, text_hash long, n long, node long, digest binary, bits binary")
@@ -274,6 +275,7 @@ def _sets(docs: DataFrame, k: int, shared: dict[bytes, int], columns, schema: st
                         nodes.append(_node(digest, shared))
                         sets.append(found)
                 yield pa.RecordBatch.from_arrays(columns(nodes, sets), names)
+        _words.clear()
 
     names = [c.split()[0] for c in schema.split(", ")]
     return docs.select("text").mapInArrow(run, schema)
