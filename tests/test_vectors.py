@@ -51,6 +51,21 @@ def test_silhouette_in_blocks(spark):
     assert got == pytest.approx(plain_silhouette(vectors, labels), abs=1e-9)
 
 
+def test_silhouette_shuffles_no_copies_of_the_points(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(300, 4))
+    vectors[100:200] = vectors[:100]
+    vectors[250] = vectors[0] + 1e-8  # close to both copies
+    labels = [int(x) for x in rng.integers(0, 3, 300)]
+    df = points(spark, vectors, labels).select("id", "vec", F.array("cluster_id", F.lit(7) - F.col("cluster_id")).alias("labels"))
+    sums = S.distance_sums(df, 300, block=32)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate explode" not in plan
+    scores = {r["run"]: r["silhouette"] for r in S.mean_silhouettes(df, 300, block=32).collect()}
+    want = plain_silhouette(vectors, labels)
+    assert scores == pytest.approx({0: want, 1: want}, abs=1e-9)
+
+
 def test_silhouette_of_one_cluster_is_null(spark):
     df = points(spark, [[0], [1]], [0, 0]).select("id", "vec", F.array("cluster_id").alias("labels"))
     assert S.mean_silhouettes(df, 2).first()["silhouette"] is None
