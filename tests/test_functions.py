@@ -1,5 +1,9 @@
 """Hand-worked values for the scalar functions."""
 
+import random
+from collections import Counter
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +11,7 @@ from newsloom.functions import html as H
 from newsloom.functions import text as T
 from newsloom.functions import urls as U
 from newsloom.functions.sentiment import with_sentiment
-from newsloom.functions.summary import with_summary
+from newsloom.functions.summary import best_sentences, with_summary
 from newsloom.functions.topics import normalize_topic, reject_reason, topic_slug
 from newsloom.functions.vectors import cosine, euclidean
 
@@ -173,3 +177,17 @@ def test_nested_and_sibling_articles(spark):
     }
     got = values(spark, list(pages), lambda c: H.clean_body(H.paragraph_text(H.article_element(c))))
     assert got == list(pages.values())
+
+
+def test_best_sentences_of_a_batch_as_a_plain_loop():
+    rng = random.Random(4)
+    texts = [[[rng.choice("abcdefg") for _ in range(rng.randrange(5))] for _ in range(rng.randrange(8))] for _ in range(200)]
+    texts += [None, [], [[]], [[], [], [], [], ["a"]], [["a", "b"], ["b", "a"], ["a"], ["b"], ["a", "a"]]]
+    want = []
+    for text in texts:
+        n = Counter(w for sentence in text or [] for w in sentence)
+        rank = [(-sum(n[w] for w in own) / max(1, len(own)), i) for i, own in enumerate(text or [])]
+        want.append(sorted(i for _, i in sorted(rank)[:3]))
+    got = best_sentences(pa.array(texts, pa.list_(pa.list_(pa.string()))), 3)
+    assert got.to_pylist() == want
+    assert best_sentences(pa.array([None] + texts, pa.list_(pa.list_(pa.string())))[1:], 3).to_pylist() == want  # a slice
