@@ -65,6 +65,12 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
+def forget() -> None:
+    """Drop the word hashes of this worker. A task's closure would only clear its own copy of them."""
+    _words.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """For each whole text the sorted distinct 64-bit hashes of its ``k``-word shingles.
 
@@ -225,7 +231,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                     ],
                     ["doc_id", "text_hash", "n", "node", "digest", "bits"],
                 )
-        _words.clear()  # the worker lives on in later stages
+        forget()  # the worker lives on in later stages
 
     rows = docs.select("doc_id", "text_hash", "text")
     return rows.mapInArrow(run, "doc_id long, text_hash long, n long, node long, digest binary, bits binary")
@@ -275,7 +281,7 @@ def _sets(docs: DataFrame, k: int, shared: dict[bytes, int], columns, schema: st
                         nodes.append(_node(digest, shared))
                         sets.append(found)
                 yield pa.RecordBatch.from_arrays(columns(nodes, sets), names)
-        _words.clear()
+        forget()
 
     names = [c.split()[0] for c in schema.split(", ")]
     return docs.select("text").mapInArrow(run, schema)

@@ -151,7 +151,7 @@ _nearest: dict[tuple[str, ...], Nearest] = {}
 
 
 def nearest(landmarks: list[str]) -> Nearest:
-    """One for each Python worker and model, so that tasks share what is known of words."""
+    """One for each Python worker and model, until ``forget``."""
     key = tuple(landmarks)
     if key not in _nearest:
         _nearest.clear()
@@ -159,6 +159,11 @@ def nearest(landmarks: list[str]) -> Nearest:
     return _nearest[key]
 
 
+def forget() -> None:
+    """Drop what this worker knows of words. A task's closure would only clear its own copy of the table."""
+    _nearest.clear()
+
+
 class Nearest:
     """For whole texts, the similarity of the nearest word to each landmark."""
 
@@ -364,6 +369,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> Data
                 [*batch.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))],
                 [*names, "score", "predicted"],
             )
+        forget()  # the worker lives on in later stages
 
     out = T.StructType([schema[n] for n in names]).add("score", "double").add("predicted", "integer")
     return docs.mapInArrow(run, out)

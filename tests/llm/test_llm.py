@@ -385,6 +385,23 @@ def test_kernel_equals_the_definition():
             assert abs(value - (exact if exact >= toxicity.FLOOR else 0)) < 1e-5
 
 
+def held_in_workers(spark, module, name):
+    def run(batches):
+        for batch in batches:
+            yield batch.from_pydict({"n": [len(getattr(module, name))] * batch.num_rows})
+
+    return {r["n"] for r in spark.range(0, 64, 1, 16).mapInArrow(run, "n long").collect()}
+
+
+def test_tasks_leave_nothing_in_their_workers(spark):
+    model = toxicity.ToxicityModel(["moron"], np.ones(2), 0.0, 1.0, 0.0)
+    texts = [f"you m o r o n, word{i} and more words" for i in range(40)]
+    assert len(toxicity.score(docs(spark, texts), model).collect()) == 40
+    assert held_in_workers(spark, toxicity, "_nearest") == {0}
+    assert len(jaccard.classes(docs(spark, texts).select("doc_id", "text")).collect()) == 40
+    assert held_in_workers(spark, jaccard, "_words") == {0}
+
+
 def test_toxicity_held_out_and_odd_texts(spark):
     rng = random.Random(1)
     words = ["stone", "river", "cloud", "green", "walk", "table", "paper", "light"]
