@@ -105,6 +105,14 @@ def test_kneser_ney_sums_to_one_and_equals_the_formula():
         assert abs(seen + unseen * 1 - 1) < 1e-4  # the alphabet and one symbol for all others
 
 
+def test_language_model_has_all_grams(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 10_000))) for _ in range(65)]  # letters of their own each time
+    models = language.train(docs(spark, texts).withColumn("lang", F.lit("zh")))
+    seen = {tuple(t[i : i + 4]) for t in texts for i in range(len(t) - 3)}
+    assert len(models.grams[-1].values) == len(seen) + len({t[:k] for t in texts for k in (1, 2, 3)}) > 600_000
+
+
 def test_language_held_out_and_odd_texts(spark):
     rows = queries.op2_language_id(spark, SF).collect()
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
