@@ -1,6 +1,7 @@
 """Clustering, silhouette, similar topics, TF-IDF and digests against plain loops."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,7 @@ from newsloom.functions.stopwords import STOP_WORDS
 from newsloom.models import embed_with, score_with, summarize_with
 from newsloom.operators import cluster as C
 from newsloom.operators import silhouette as S
+from newsloom.operators import tfidf
 from newsloom.operators.similar import filter_similar, filter_similar_topics
 from newsloom.operators.tfidf import TfidfSpace, cluster_keywords, global_labels
 from newsloom.operators.topics import cluster_topics, rank_topics
@@ -296,3 +298,49 @@ def test_model_slots_keep_errors_and_see_no_blanks(spark):
     ]
     short = summarize_with(df.where("pos = 0"), lambda: lambda texts: []).first()
     assert short["error"] == "0 results for 1 texts"
+
+
+def test_terms_of_rare_pairs_are_left_out_before_the_shuffle_and_counts_stay(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(300)], k=rng.randrange(60))) for _ in range(200)]
+    rows = [(i, (None, "a", "b")[i % 3], text) for i, text in enumerate([*texts, None, "", "w1"])]
+    docs = tfidf.with_terms(spark.createDataFrame(rows, "id long, g string, content string"))
+
+    def terms(text):
+        own = (text or "").split()
+        return own + [f"{a} {b}" for a, b in zip(own, own[1:])]
+
+    def plain(some, size):
+        ctf, df = Counter(t for text in some for t in terms(text)), Counter(t for text in some for t in set(terms(text)))
+        return [(t, ctf[t], df[t]) for t in sorted(ctf, key=lambda t: (-ctf[t], t))[:size]]
+
+    for size in (40, 2000):  # the second is more than there are words
+        got = [tuple(r) for r in tfidf.vocabulary(docs, size).collect()]
+        assert sorted(got) == sorted(plain([text for _, _, text in rows], size))
+        own = tfidf.group_vocabulary(docs, "g", size).collect()
+        for g in (None, "a", "b"):
+            assert sorted((r["term"], r["ctf"], r["df"]) for r in own if r["g"] == g) == sorted(plain([t for _, k, t in rows if k == g], size))
+
+    tokens = tfidf._tokens_of(docs, "g")
+    sent = tfidf._frequent_terms(tokens, None, 40)
+    assert sent.count() < len(Counter(t for _, _, text in rows for t in terms(text))) / 10
+
+
+def test_group_vectors_hold_the_texts_of_one_id_as_one(spark, monkeypatch):
+    rows = [(1, "a", "red fox red fox"), (1, "a", "fox den"), (2, "a", "den"), (2, "b", "red fox"), (None, "b", "red"), (3, None, "red"), (4, "b", None)]
+    articles = spark.createDataFrame(rows, "id long, g string, content string")
+    results = []
+    for small in (True, False):
+        monkeypatch.setattr(tfidf, "fits_in_broadcast", lambda vocab: small)
+        vocab, vectors = tfidf.group_vectors(articles, "g")
+        names = {(r["g"], r["idx"]): (r["term"], r["idf"]) for r in vocab.collect()}
+        found = []
+        for r in vectors.collect():
+            own = [names[r["g"], i] for i in r["idx"]]
+            found.append((r["g"], tuple((t, round(v, 12)) for (t, _), v in zip(own, r["val"]))))
+            assert sum(v * v for v in r["val"]) == pytest.approx(1)
+        results.append(sorted(found))
+    assert results[0] == results[1]
+    texts = [[t for t, _ in own] for _, own in results[0]]
+    assert sorted(texts) == [["den"], ["den", "fox", "fox den", "fox red", "red", "red fox"], ["fox", "red", "red fox"], ["red"]]
