@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import decontaminate, jaccard, packing, pii, toxicity
+from newsloom.llm.workers import small_batches
 from newsloom.operators.lookup import lookup
 from newsloom.session import broadcast_if_small, materialize
 
@@ -16,6 +17,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out the documents that the toxicity model predicts to be toxic."""
+    small_batches(spark)
     own = {c: c if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)}  # no name of the corpus meets one of the model's
     scored = toxicity.score(docs.select(*[F.col(c).alias(a) for c, a in own.items()]), toxicity.train(docs, _labels(spark, sf_dir)))
     return scored.where("predicted = 0").select(*[F.col(a).alias(c) for c, a in own.items()])
@@ -37,6 +39,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     their group has one; of rows with equal doc_id and text one stays. Texts without
     words are similar to nothing and all stay.
     """
+    small_batches(spark)
     rows = materialize(jaccard.classes(docs, k=5, percent=80), "stage-groups")
     texts = rows.where("component IS NOT NULL").groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
@@ -69,11 +72,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the kind of personal data in its place; n_chars follows the text."""
+    small_batches(spark)
     return pii.mask(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the tokens of what is left into sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

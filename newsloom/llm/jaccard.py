@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.components import components
 from newsloom.llm.urlrules import MAX_BLOCKS, bloom_filter, possible
+from newsloom.llm.workers import released
 from newsloom.operators.lookup import lookup
 from newsloom.session import broadcast_if_small, materialize
 
@@ -68,7 +69,6 @@ _words = _WordHashes()
 def forget() -> None:
     """Drop the word hashes of this worker. A task's closure would only clear its own copy of them."""
     _words.clear()
-    pa.default_memory_pool().release_unused()
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -231,10 +231,9 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                     ],
                     ["doc_id", "text_hash", "n", "node", "digest", "bits"],
                 )
-        forget()  # the worker lives on in later stages
 
     rows = docs.select("doc_id", "text_hash", "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, node long, digest binary, bits binary")
+    return rows.mapInArrow(released(run, forget), "doc_id long, text_hash long, n long, node long, digest binary, bits binary")
 
 
 def _named(signatures: DataFrame) -> tuple[DataFrame, dict[bytes, int]]:
@@ -281,10 +280,9 @@ def _sets(docs: DataFrame, k: int, shared: dict[bytes, int], columns, schema: st
                         nodes.append(_node(digest, shared))
                         sets.append(found)
                 yield pa.RecordBatch.from_arrays(columns(nodes, sets), names)
-        forget()
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return docs.select("text").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(released(run, forget), schema)
 
 
 def _tiles(docs: DataFrame, k: int, shared: dict[bytes, int], bands: Bands) -> DataFrame:
@@ -355,7 +353,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
             keep = [least_difference(x, y) <= d for x, y, d in zip(left, right, allowed.tolist())]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    found = drawn.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    found = drawn.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(released(run), "a long, b long")
     return materialize(found, "jaccard-possible")
 
 
@@ -379,7 +377,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    found = both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
+    found = both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(released(run), "a long, b long")
     return materialize(found.distinct(), "jaccard-links")
 
 
@@ -414,7 +412,7 @@ def _crossing(
     keys = [F.col("a"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
     rows = dealt.select(*keys, "block", "b", "b_c", "n_b", "bits_b")
     sorted_ = rows.repartition("a", "low", "high").sortWithinPartitions("a", "low", "high", "n_b", "b")
-    given = sorted_.mapInArrow(lambda batches: _tile_pairs(batches, bands, most), "a long, b long, again long")
+    given = sorted_.mapInArrow(released(lambda batches: _tile_pairs(batches, bands, most)), "a long, b long, again long")
     given = materialize(given.distinct(), "jaccard-crossing")
     pairs = given.where("again IS NULL").select("a", "b").join(compared, ["a", "b"], "left_anti")
     return materialize(pairs, "jaccard-pairs"), given.where("again IS NOT NULL").select(F.col("again").alias("a")).distinct()
@@ -433,7 +431,6 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], bands: Bands, most: int) -> I
             held = held.slice(int(cut[-1]))
     if held is not None and len(held):
         yield _pairs_of(held, np.zeros(1, dtype=np.int64), bands, most)
-    pa.default_memory_pool().release_unused()  # the worker lives on in later stages
 
 
 def _pairs_of(table: pa.Table, cut: np.ndarray, bands: Bands, most: int) -> pa.RecordBatch:

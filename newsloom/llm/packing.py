@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.workers import released
 from newsloom.session import materialize
 
 CAPACITY = 1024
@@ -137,7 +138,7 @@ def tokenised_pieces(
                 ["doc_id", "piece", "start", "length", "ids_crc32", "task", "task_rank"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), PIECES)
 
 
 def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.llm.workers import released
+
 #: Kinds of the base patterns, in their fixed order, and the one that only the CRF knows.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -444,4 +446,4 @@ def mask(docs: DataFrame, model: SemiCRF | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = T.StructType([T.StructField("n_chars", T.LongType()) if f.name == "n_chars" else f for f in docs.schema])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

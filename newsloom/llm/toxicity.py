@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.llm.workers import released
+
 SYMBOLS = 32
 DECAY = 0.7
 SPAN = 6  # letters from the first to the last of a triple, at most
@@ -32,7 +34,8 @@ CLOSE, SHORT, DENSE = 0.6, 20, 25.0
 #: Bounds of the labelled sample that landmarks and classifier are fitted on.
 MAX_TOXIC, MAX_CLEAN = 2_500, 5_000
 LANDMARKS = 24
-CACHE_TOKENS = 400_000
+#: Tokens that a worker knows at most, and pieces of words that are compared at a time: both bound its memory.
+CACHE_TOKENS, PIECES = 100_000, 1_000
 SPELT = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 
 _PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -123,8 +126,8 @@ def similarities(words: list[str], matrix: np.ndarray) -> np.ndarray:
     pieces.sort(key=lambda piece: len(piece[1]))
     out = np.zeros((len(words), matrix.shape[1]), dtype=np.float32)
     used = matrix.any(axis=1)
-    for start in range(0, len(pieces), 5_000):
-        part = pieces[start : start + 5_000]
+    for start in range(0, len(pieces), PIECES):
+        part = pieces[start : start + PIECES]
         row, feature, weight = _entries([p for _, p in part], used)
         order = np.argsort(row, kind="stable")
         sums = _row_sums(row[order], matrix[feature[order]] * weight[order, None].astype(np.float32), len(part))
@@ -369,7 +372,6 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> Data
                 [*batch.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))],
                 [*names, "score", "predicted"],
             )
-        forget()  # the worker lives on in later stages
 
     out = T.StructType([schema[n] for n in names]).add("score", "double").add("predicted", "integer")
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(released(run, forget), out)

@@ -393,6 +393,16 @@ def test_kernel_equals_the_definition():
             assert abs(value - (exact if exact >= toxicity.FLOOR else 0)) < 1e-5
 
 
+def test_few_tokens_are_known_at_once_and_descriptions_do_not_depend_on_it(monkeypatch):
+    letter = lambda n: "".join(chr(97 + n // 26**i % 26) for i in range(4))
+    texts = [" ".join(letter(150 * i + j) for j in range(150)) + " moron m o r o n" for i in range(1_000)]
+    near = toxicity.Nearest(["moron", "banana"])
+    whole = near.describe(texts)
+    assert len(near._known) <= 131_000  # of 150,000; a block of 200 texts comes on top of the limit
+    monkeypatch.setattr(toxicity, "PIECES", 7)
+    assert (toxicity.Nearest(["moron", "banana"], 1_000).describe(texts[:20]) == whole[:20]).all()
+
+
 def held_in_workers(spark, module, name):
     def run(batches):
         for batch in batches:
@@ -410,6 +420,53 @@ def test_tasks_leave_nothing_in_their_workers(spark):
     assert held_in_workers(spark, jaccard, "_words") == {0}
 
 
+def test_a_task_gives_memory_back_after_its_own_is_gone():
+    import weakref
+
+    from newsloom.llm.workers import released
+
+    class Held:
+        pass
+
+    held, seen = [], []
+
+    def run(batches):
+        own = Held()  # lives as long as the generator
+        held.append(weakref.ref(own))
+        yield from batches
+
+    assert list(released(run, lambda: seen.append(held[0]() is None))([1, 2])) == [1, 2]
+    assert seen == [True]
+    assert list(released(run)([])) == []
+
+
+def test_stages_of_the_pipeline_bound_the_bytes_of_a_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from newsloom.llm.workers import BATCH_BYTES
+
+    def sizes(docs):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+        return docs.mapInArrow(run, "rows long, bytes long")
+
+    monkeypatch.setattr(corpus_pipeline.pii, "mask", sizes)
+    long = spark.range(0, 3_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2_000).alias("text"))
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.unset(BATCH_BYTES)
+    try:
+        got = corpus_pipeline.mask_personal_data(spark, long, SF).collect()
+        assert sum(r["rows"] for r in got) == 3_000 and max(r["bytes"] for r in got) < 5 << 20
+        spark.conf.set(BATCH_BYTES, "1m")  # a bound of the user's own stays
+        got = corpus_pipeline.mask_personal_data(spark, long, SF).collect()
+        assert sum(r["rows"] for r in got) == 3_000 and max(r["bytes"] for r in got) < 2 << 20
+    finally:
+        spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
+
+
 def test_toxicity_held_out_and_odd_texts(spark):
     rng = random.Random(1)
     words = ["stone", "river", "cloud", "green", "walk", "table", "paper", "light"]
