@@ -113,6 +113,32 @@ def test_language_model_has_all_grams(spark):
     assert len(models.grams[-1].values) == len(seen) + len({t[:k] for t in texts for k in (1, 2, 3)}) > 600_000
 
 
+def test_language_is_calibrated_on_all_rows(spark):
+    rng = random.Random(4)
+    letters = {"en": "abcdefgh", "de": "efghijkl", "fr": "a"}
+    rows = [(lang, "".join(rng.choices(letters[lang], k=rng.randint(1, 9)))) for lang in rng.choices(["en", "en", "de"], k=2_600)]
+    rows += [("fr", "aaa")] * 3 + [("en", None), ("en", "12"), (None, "abc")]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string").repartition(3)
+    models = language.train(table)
+    scored = [(lang, text) for lang, text in rows if lang and text and text.isalpha()]
+    entropy, _ = models.cross_entropy([text for _, text in scored])
+    truth = np.asarray([models.languages.index(lang) for lang, _ in scored])
+    own = entropy[np.arange(len(truth)), truth]
+    losses = [np.log(np.exp((own[:, None] - entropy) / t).sum(axis=1)).mean() for t in language.TEMPERATURES]
+    assert models.temperature == language.TEMPERATURES[np.argmin(losses)]
+    assert models.bound.tolist() == [np.quantile(own[truth == at], 1 - language.REJECTED) for at in range(3)]
+
+
+def test_language_ranks_are_exact(spark):
+    rng = np.random.default_rng(5)
+    values = {0: rng.normal(size=500), 1: np.repeat([2.5, -0.0, 3.5], 40), 2: np.asarray([1.0])}
+    rows = [(lang, int(p)) for lang, own in values.items() for p in language._places(own)]
+    places = spark.createDataFrame(rows, "lang int, place long").repartition(3)
+    wanted = [(0, r) for r in (0, 1, 250, 498, 499)] + [(1, r) for r in (0, 39, 40, 79, 80, 119)] + [(2, 0)]
+    found = language._places(np.asarray(language._of_rank(places, wanted, language._counts(places, 48)), np.int64)).view(np.float64)
+    assert found.tolist() == [np.sort(values[lang])[r] for lang, r in wanted]
+
+
 def test_language_held_out_and_odd_texts(spark):
     rows = queries.op2_language_id(spark, SF).collect()
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
