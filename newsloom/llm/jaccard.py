@@ -1,12 +1,11 @@
-"""Exact n-gram Jaccard join: size-banded tiles, bitmap signatures, sorted arrays.
+"""Exact n-gram Jaccard join: tiles of rare shingles, bitmap signatures, sorted arrays.
 
-The shingle hashes of a document are cut into parts by value. Two sets that
-differ in at most d hashes agree in all but d parts, so with more than d parts
-they meet in a tile: (size band, part, what the part holds). Tiles need no order
-by frequency, and a passage that many documents share does not fill them, since
-it rarely fills a part alone. Pairs from tiles pass the bound on set difference
-that the bits of their hashed bitmaps give, and then an exact intersection of
-sorted arrays.
+All shingles stand in one order, rare ones first. Two similar sets have one of their
+first shingles in common, so many as a set of their size may lack and one more, and
+meet in the tile of that shingle. Any order finds the same pairs; this one, by counts
+in hashed buckets, keeps a passage that many documents share from filling a tile.
+Pairs from tiles pass the bound on set difference that the bits of their hashed
+bitmaps give, and then an exact intersection of sorted arrays.
 
 Texts with equal sets are one node, named by the digest of the set. Only names of
 nodes go through tiles, which give each node its leaders, the lowest nodes of its
@@ -23,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,8 @@ from newsloom.session import broadcast_if_small, materialize
 #: Characters whose shingles are made at a time.
 PART = 2_000_000
 CACHE_WORDS = 250_000
-BAND = 1.5
+#: Buckets in which shingles are counted, and how many travel in one row.
+BUCKETS, BLOCK = 1 << 20, 1 << 12
 #: Bits of a bitmap per hash of its set: the wider, the nearer its bound is to the true difference.
 WIDTH = 4
 MAX_BITS = 1 << 16
@@ -103,62 +104,31 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     return out
 
 
-class Bands:
-    """Size bands, and for each the number of parts that makes similar sets meet."""
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+class Bounds:
+    """What sizes say of similar sets."""
 
     def __init__(self, percent: int):
         self.percent = percent
-        edges = [1]
-        while edges[-1] < 1 << 40:
-            edges.append(int(edges[-1] * BAND) + 1)
-        self.edges = np.asarray(edges, dtype=np.int64)
-        largest = self.edges[1:] - 1
-        #: Most hashes by which similar sets differ if the larger is in the band.
-        self.differ = 2 * largest * (100 - percent) // (100 + percent)
-        #: So many parts of a set may be empty before its empty parts count too.
-        self.spare = np.where(self.differ > 0, 1 + self.differ // 16, 0)
-        self.parts = self.differ + 1 + self.spare
-
-    def of(self, n: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.edges, n, side="right") - 1
 
     def allowed(self, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
         """The most hashes by which two similar sets of these sizes differ."""
         return (na + nb) * (100 - self.percent) // (100 + self.percent)
 
-    def tiles(self, sets: list[np.ndarray]) -> list[np.ndarray]:
-        """The tile keys of each set. A set that is only similar to itself has none."""
-        sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-        own = self.of(np.maximum(sizes, 1))
-        above = self.of(np.maximum(sizes * 100 // self.percent, 1))
-        keys: list[list[np.ndarray]] = [[] for _ in sets]
-        joined = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-        for step in range(int((above - own).max(initial=0)) + 1):
-            band = np.minimum(own + step, above)  # of the larger set of a pair
-            some = (sizes > 0) & (own + step <= above) & (self.differ[band] > 0)
-            if not some.any():
-                continue
-            doc = np.repeat(np.arange(len(sets)), sizes)
-            chosen = some[doc]
-            doc, hashes = doc[chosen], joined[chosen]
-            parts = self.parts[band][doc].astype(np.uint64)
-            part = ((hashes >> np.uint64(32)) * parts) >> np.uint64(32)
-            cut = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])])
-            holds = np.add.reduceat(mix(hashes + _C1), cut)
-            key = self._key(band[doc[cut]], part[cut], holds)
-            first = np.flatnonzero(np.r_[True, doc[cut][1:] != doc[cut][:-1]])
-            for at, these in zip(doc[cut][first], np.split(key, first[1:])):
-                keys[at].append(these)
-                b = band[at]
-                if self.parts[b] - len(these) > self.spare[b]:
-                    lo = np.searchsorted(doc[cut], at)
-                    empty = np.setdiff1d(np.arange(self.parts[b], dtype=np.uint64), part[cut][lo : lo + len(these)])
-                    keys[at].append(self._key(np.full(len(empty), b), empty, np.zeros(len(empty), dtype=np.uint64)))
-        return [np.concatenate(k) if k else np.zeros(0, dtype=np.uint64) for k in keys]
-
-    @staticmethod
-    def _key(band: np.ndarray, part: np.ndarray, holds: np.ndarray) -> np.ndarray:
-        return mix(holds + mix(part * _C1 + band.astype(np.uint64) + np.uint64(1)))
+    def first(self, n: int) -> int:
+        """So many hashes of a set of ``n``, first by an order of all, hold one of any similar set's.
+
+        It is none for a set that is only similar to itself.
+        """
+        common = -(-n * self.percent // 100)  # at least, of a similar set
+        return n - common + 1 if n and not common == n == n * 100 // self.percent else 0
+
+    def tiles(self, sets: list[np.ndarray], levels: np.ndarray) -> list[np.ndarray]:
+        """The first hashes of each set, which is sorted, by the level of their bucket and then their value."""
+        return [s[np.argsort(levels[_buckets(s)], kind="stable")[: self.first(len(s))]] for s in sets]
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
@@ -208,32 +178,62 @@ def _node(digest: bytes, shared: dict[bytes, int]) -> int:
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
     """Per row the number, half digest (``node``) and digest of its shingles.
 
-    The bitmap is given with the first text of a set in a task's run of texts.
+    The bitmap is given with the first text of a set in a task's run of texts. More rows
+    have the number of shingles by bucket of these texts, a ``block`` of buckets each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes | None] = {None}
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for start, end in _groups(texts):
                 sets = shingle_sets(texts[start:end], k)
                 digests = [_digest(s) if len(s) else None for s in sets]
                 bits: list[bytes | None] = []
+                first = []
                 for digest, found in zip(digests, sets):
                     bits.append(None if digest in seen else bitmap(found))
+                    if digest not in seen:
+                        first.append(found)
                     seen.add(digest)
+                if first:
+                    counts += np.bincount(_buckets(np.concatenate(first)), minlength=BUCKETS)
                 if len(seen) > CACHE_WORDS:
                     seen = {None}
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(i).slice(start, end - start) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([d and _node(d, {}) for d in digests], pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()),
+                        pa.nulls(end - start, pa.int32()), pa.nulls(end - start, pa.binary()),
                     ],
-                    ["doc_id", "text_hash", "n", "node", "digest", "bits"],
+                    names,
                 )
+        blocks = np.minimum(counts, np.iinfo(np.uint16).max).astype("<u2").reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1))
+        none = [pa.nulls(len(some), kind) for kind in (*[pa.int64()] * 4, *[pa.binary()] * 2)]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names)
+
+    schema = "doc_id long, text_hash long, n long, node long, digest binary, bits binary, block int, counts binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(released(run, forget), schema)
+
+
+def _levels(parts: DataFrame) -> np.ndarray:
+    """For each bucket eight times the binary logarithm of its shingles, from the ``block, counts`` of all tasks."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[block] = held.get(block, 0) + np.frombuffer(counts, "<u2").astype(np.int64)
+        made = [np.minimum(np.rint(8 * np.log2(np.maximum(counts, 1))), 255).astype(np.uint8).tobytes() for counts in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(made, pa.binary())], ["block", "levels"])
 
-    rows = docs.select("doc_id", "text_hash", "text")
-    return rows.mapInArrow(released(run, forget), "doc_id long, text_hash long, n long, node long, digest binary, bits binary")
+    levels = np.zeros(BUCKETS, np.uint8)
+    for row in parts.repartition("block").mapInArrow(add, "block int, levels binary").collect():
+        levels[row["block"] * BLOCK :][:BLOCK] = np.frombuffer(row["levels"], np.uint8)
+    return levels
 
 
 def _named(signatures: DataFrame) -> tuple[DataFrame, dict[bytes, int]]:
@@ -285,9 +285,9 @@ def _sets(docs: DataFrame, k: int, shared: dict[bytes, int], columns, schema: st
     return docs.select("text").mapInArrow(released(run, forget), schema)
 
 
-def _tiles(docs: DataFrame, k: int, shared: dict[bytes, int], bands: Bands) -> DataFrame:
+def _tiles(docs: DataFrame, k: int, shared: dict[bytes, int], bounds: Bounds, levels: Broadcast) -> DataFrame:
     def columns(nodes, sets):
-        keys = bands.tiles(sets)
+        keys = bounds.tiles(sets, levels.value)
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         return [pa.array(flat.view(np.int64)), pa.array(np.repeat(np.asarray(nodes, np.int64), [len(own) for own in keys]))]
 
@@ -317,11 +317,11 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(leaders[other]), pa.array(nodes[other])], ["a", "b"])
 
 
-def _near(docs: DataFrame, k: int, shared: dict[bytes, int], bands: Bands) -> DataFrame:
+def _near(docs: DataFrame, k: int, shared: dict[bytes, int], bounds: Bounds, levels: Broadcast) -> DataFrame:
     """(a, b, tiles): nodes b that share so many tiles with their leader a. Rows of a tile are streamed, not held."""
-    tiles = _tiles(docs, k, shared, bands)
+    tiles = _tiles(docs, k, shared, bounds, levels)
     some = docs.where(F.pmod(F.col("text_hash"), F.lit(SAMPLE)) == 0)
-    counted = _tiles(some, k, shared, bands).groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
+    counted = _tiles(some, k, shared, bounds, levels).groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(counted.where(F.col("n") * SAMPLE > HOT_ROWS).select("tile"), "jaccard-hot")
     parts = []
     if not hot.isEmpty():  # their leader is a minimum that folds before the shuffle
@@ -340,15 +340,15 @@ def _facts(nodes: DataFrame, name: str, *columns: str) -> DataFrame:
     return nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
+def _possible(pairs: DataFrame, nodes: DataFrame, bounds: Bounds) -> DataFrame:
     """The pairs (a, b) that sizes and then bitmaps do not rule out."""
-    p = bands.percent
+    p = bounds.percent
     drawn = lookup(lookup(pairs, _facts(nodes, "a", "n", "bits"), "a", "b"), _facts(nodes, "b", "n", "bits"), "b", "a")
     drawn = drawn.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            allowed = bands.allowed(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            allowed = bounds.allowed(batch.column(2).to_numpy(), batch.column(3).to_numpy())
             left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             keep = [least_difference(x, y) <= d for x, y, d in zip(left, right, allowed.tolist())]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -388,7 +388,7 @@ def _labelled(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
 
 
 def _crossing(
-    near: DataFrame, found: DataFrame, compared: DataFrame, nodes: DataFrame, bands: Bands, most: int
+    near: DataFrame, found: DataFrame, compared: DataFrame, nodes: DataFrame, bounds: Bounds, most: int
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs under one leader, itself included, that are in different components and that bitmaps do not rule out.
 
@@ -412,13 +412,13 @@ def _crossing(
     keys = [F.col("a"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
     rows = dealt.select(*keys, "block", "b", "b_c", "n_b", "bits_b")
     sorted_ = rows.repartition("a", "low", "high").sortWithinPartitions("a", "low", "high", "n_b", "b")
-    given = sorted_.mapInArrow(released(lambda batches: _tile_pairs(batches, bands, most)), "a long, b long, again long")
+    given = sorted_.mapInArrow(released(lambda batches: _tile_pairs(batches, bounds, most)), "a long, b long, again long")
     given = materialize(given.distinct(), "jaccard-crossing")
     pairs = given.where("again IS NULL").select("a", "b").join(compared, ["a", "b"], "left_anti")
     return materialize(pairs, "jaccard-pairs"), given.where("again IS NOT NULL").select(F.col("again").alias("a")).distinct()
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch], bands: Bands, most: int) -> Iterator[pa.RecordBatch]:
+def _tile_pairs(batches: Iterator[pa.RecordBatch], bounds: Bounds, most: int) -> Iterator[pa.RecordBatch]:
     """The possible pairs of each run of rows with the same leader, low and high block."""
     held: pa.Table | None = None
     for batch in batches:
@@ -427,20 +427,20 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], bands: Bands, most: int) -> I
         keys = [held.column(i).to_numpy() for i in range(3)]
         cut = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(held) else []
         if len(cut) > 1:
-            yield _pairs_of(held.slice(0, int(cut[-1])), cut[:-1], bands, most)
+            yield _pairs_of(held.slice(0, int(cut[-1])), cut[:-1], bounds, most)
             held = held.slice(int(cut[-1]))
     if held is not None and len(held):
-        yield _pairs_of(held, np.zeros(1, dtype=np.int64), bands, most)
+        yield _pairs_of(held, np.zeros(1, dtype=np.int64), bounds, most)
 
 
-def _pairs_of(table: pa.Table, cut: np.ndarray, bands: Bands, most: int) -> pa.RecordBatch:
+def _pairs_of(table: pa.Table, cut: np.ndarray, bounds: Bounds, most: int) -> pa.RecordBatch:
     leader, low, high, block, ids, component, n = (table.column(i).to_numpy() for i in range(7))
     bits = table.column(7).to_pylist()
     out: set[tuple[int | None, int | None, int | None]] = set()
     for start, end in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
         own = slice(start, end)
         blocks = block[own] if low[start] != high[start] else None
-        found = list(_similar_bits(bits[own], n[own], component[own], blocks, bands, most))
+        found = list(_similar_bits(bits[own], n[own], component[own], blocks, bounds, most))
         if not found:
             continue
         *found, cut_short = zip(*found)
@@ -460,7 +460,7 @@ def _pairs_of(table: pa.Table, cut: np.ndarray, bands: Bands, most: int) -> pa.R
 
 
 def _similar_bits(
-    bits, n, component, blocks, bands: Bands, most: int
+    bits, n, component, blocks, bounds: Bounds, most: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
     """Places of rows, sorted by ``n``, whose sizes and bitmaps allow them to be similar, in different components.
 
@@ -474,7 +474,7 @@ def _similar_bits(
     if (component == component[0]).all():
         return
     widths = np.fromiter(map(len, bits), np.int64, len(bits))
-    last = np.searchsorted(n, n * 100 // bands.percent, side="right")
+    last = np.searchsorted(n, n * 100 // bounds.percent, side="right")
     for width in np.unique(widths).tolist():
         first = int(np.argmax(widths >= width))
         rows = np.frombuffer(b"".join(_folded(b, width) for b in bits[first:]), np.uint64).reshape(len(bits) - first, -1)
@@ -486,7 +486,7 @@ def _similar_bits(
             at = np.flatnonzero(keep) + i + 1
             if not len(at):
                 continue
-            allowed = bands.allowed(n[at], n[i])
+            allowed = bounds.allowed(n[at], n[i])
             if short is not None:
                 near = np.bitwise_count(short[at - first] ^ short[i - first]).sum(axis=1) <= allowed
                 at, allowed = at[near], allowed[near]
@@ -508,25 +508,27 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     xxhash64 of the text. A row is judged by its text alone, so rows that repeat a
     doc_id, or have none, are compared like all others.
     """
-    bands = Bands(percent)
+    bounds = Bounds(percent)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    named, shared = _named(materialize(_signatures(rows, k), "jaccard-signatures"))
+    signatures = materialize(_signatures(rows, k), "jaccard-signatures")
+    levels = rows.sparkSession.sparkContext.broadcast(_levels(signatures.where("block IS NOT NULL").select("block", "counts")))
+    named, shared = _named(signatures.where("block IS NULL").drop("block", "counts"))
     some = named.where("n > 0")
     picked = F.max(F.struct(F.col("bits").isNotNull(), "text_hash", "bits")).alias("one")
     nodes = materialize(
         some.groupBy("node").agg(F.max("n").alias("n"), picked).select("node", "n", "one.text_hash", "one.bits"), "jaccard-nodes"
     )
-    near = _near(rows, k, shared, bands)
+    near = _near(rows, k, shared, bounds, levels)
     closest = near.groupBy("b").agg(F.max_by("a", F.struct("tiles", -F.col("a"))).alias("a"))  # one pair a node links most copies
-    likely = _possible(closest.select("a", "b"), nodes, bands)
+    likely = _possible(closest.select("a", "b"), nodes, bounds)
     links = _verified(likely, rows, nodes, k, percent, shared)
     found = components(links)
     compared, most = likely, LIKELIEST
     while True:
-        rest, again = _crossing(near, found, compared, nodes, bands, most)
+        rest, again = _crossing(near, found, compared, nodes, bounds, most)
         last = again.isEmpty()
         if not rest.isEmpty():
-            links = links.unionByName(_verified(_possible(rest, nodes, bands), rows, nodes, k, percent, shared))
+            links = links.unionByName(_verified(_possible(rest, nodes, bounds), rows, nodes, k, percent, shared))
             found = components(links)
         if last:
             break

@@ -13,6 +13,7 @@ from newsloom.llm import (
     decontaminate, jaccard, language, licenses, maintext, neighbours, packing, pii, queries, toxicity, urlrules,
 )
 from newsloom.llm.components import components
+from newsloom.session import materialize
 from oracle import connect, difference, duckdb_result, spark_result
 
 SF = "/root/testdata/sf0.001"
@@ -295,6 +296,43 @@ def test_jaccard_hot_tiles_find_the_same_groups(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.join(docs(spark, texts)).collect())) == want
 
 
+def test_jaccard_common_passages_bring_no_texts_together(spark, monkeypatch):
+    rng = random.Random(9)
+    passages = [" ".join(f"p{i}q{j}" for j in range(14)) for i in range(3)]
+    texts = []
+    for i in range(300):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 120))]
+        texts.append(" ".join(own[:30] + rng.sample(passages, 2) + own[30:]))
+    texts += [t + " end" for t in texts[:20]]
+    met = []
+
+    def written(df, label, *by):
+        made = materialize(df, label, *by)
+        if label == "jaccard-near":
+            met.append(made.count())
+        return made
+
+    monkeypatch.setattr(jaccard, "materialize", written)
+    got = sorted(map(tuple, jaccard.join(docs(spark, texts), 5, 80).collect()))
+    assert got == brute_groups(texts, 5, 80)
+    assert 20 <= met[0] <= 30
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_jaccard_first_hashes_of_similar_sets_meet(percent):
+    rng = np.random.default_rng(10)
+    bounds, levels = jaccard.Bounds(percent), rng.integers(0, 9, jaccard.BUCKETS).astype(np.uint8)
+    for _ in range(400):
+        both, more = rng.integers(1, 40), rng.integers(0, 12)
+        hashes = rng.integers(0, 2**63, both + more, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        left = rng.random(more) < 0.5
+        a, b = (np.sort(np.r_[hashes[:both], hashes[both:][own]]) for own in (left, ~left))
+        similar = 100 * both >= percent * (both + more)
+        if similar and more:
+            x, y = bounds.tiles([a, b], levels)
+            assert len(np.intersect1d(x, y))
+
+
 def test_jaccard_sets_with_one_half_digest_get_names_of_their_own(spark):
     half = int.from_bytes(b"12345678", "little")
     rows = [(i, 0, 5, half, bytearray(d), None) for i, d in enumerate([b"12345678aaaaaaaa", b"12345678bbbbbbbb", b"12345678bbbbbbbb"])]
