@@ -13,12 +13,13 @@ from newsloom.functions.stopwords import STOP_WORDS
 from newsloom.models import embed_with, score_with, summarize_with
 from newsloom.operators import cluster as C
 from newsloom.operators import silhouette as S
-from newsloom.operators import tfidf
+from newsloom.operators import similar, tfidf
 from newsloom.operators.similar import filter_similar, filter_similar_topics
 from newsloom.operators.tfidf import TfidfSpace, cluster_keywords, global_labels
 from newsloom.operators.topics import cluster_topics, rank_topics
 from newsloom.plans import digest as D
 from newsloom.plans.enrich import enrich_files, summarize_by_chunks
+from newsloom.session import materialize
 
 
 def points(spark, vectors, labels=None):
@@ -153,6 +154,19 @@ def test_filter_similar_chain_and_equality(spark):
     assert filter_similar(df.limit(0)).count() == 0
 
 
+def test_filter_similar_makes_a_length_once_a_row(spark, monkeypatch):
+    seen = []
+
+    def written(df, label, *by):
+        seen.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return materialize(df, label, *by)
+
+    monkeypatch.setattr(similar, "materialize", written)
+    df = points(spark, [[1.0, 0.0], [3.0, 4.0]]).select(F.lit(0).alias("digest"), F.col("id").alias("pos"), "vec")
+    assert [r["pos"] for r in filter_similar(df, threshold=0.6).collect()] == [0]
+    assert [plan.count("aggregate(") for label, plan in seen if label == "similar-units"] == [1]
+
+
 def test_filter_similar_topics(spark):
     topics = [(0, ["bank", "rates"]), (1, ["rates", "bank"]), (2, ["rain"]), (3, ["bank", "rates", "rain", "wind", "fog"])]
     df = spark.createDataFrame(topics, "pos long, keywords array<string>").withColumn("digest", F.lit(0))
